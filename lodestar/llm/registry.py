@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from . import line_dedup, quality_rules, sharding, simhash
+from . import bpe, line_dedup, quality_classifier, quality_rules, secrets, sharding, simhash, toxicity
 
 QUERIES = {
     "op1_simhash_near_dedup": simhash.query,
+    "op2_toxicity": toxicity.query,
     "op3_line_dedup": line_dedup.query,
     "op4_sharding": sharding.query,
+    "op5_secret_scan": secrets.query,
     "op7_quality_rules": quality_rules.query,
+    "op9_bpe": bpe.query,
+    "op10_quality_classifier": quality_classifier.query,
 }
 ORACLES = {"op3_line_dedup": line_dedup.SQL}
