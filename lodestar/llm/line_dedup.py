@@ -36,12 +36,13 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     and is found in at least min_docs documents are dropped everywhere but in the document with the smallest id that
     holds the key, where all of them stay. Other lines stay, joined by \\n; with none left the text is empty.
     Documents are told apart by id: rows that share an id are one document, repeated rows come out alike. A null id
-    counts as one id smaller than all others. An empty table gives an empty result. Any other columns are passed on,
-    whatever their names are.
+    counts as one id smaller than all others. An empty table gives an empty result. Other columns are passed on;
+    those with the names of the new ones are replaced.
     """
+    keep = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     keyed = docs.select(
-        *docs.columns,
+        *keep,
         F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("__id"),
         F.xxhash64(text).alias("__text_hash"),
         F.split(text, "\n", -1).alias("__lines"),
@@ -55,7 +56,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     kept = F.array_except(F.sequence(F.lit(0), n - 1), dropped)
     new = F.when(F.col("__drops").isNull(), F.array_join("__lines", "\n")).otherwise(F.array_join(F.transform(kept, lambda i: F.get("__lines", i)), "\n"))
     return found.select(
-        *[new.alias(c) if c == text_col else F.col(c) for c in docs.columns],
+        *[new.alias(c) if c == text_col else F.col(c) for c in keep],
         n.cast("long").alias("n_lines"), F.size(dropped).cast("long").alias("n_dropped"),
     )
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, line_dedup, quality_classifier, quality_rules, secrets, sharding, simhash, toxicity
+from . import bpe, line_dedup, mixing, permutation_index, quality_classifier, quality_rules, secrets, sharding, simhash, toxicity
 
 QUERIES = {
     "op1_simhash_near_dedup": simhash.query,
@@ -10,7 +10,9 @@ QUERIES = {
     "op3_line_dedup": line_dedup.query,
     "op4_sharding": sharding.query,
     "op5_secret_scan": secrets.query,
+    "op6_permutation_index": permutation_index.query,
     "op7_quality_rules": quality_rules.query,
+    "op8_mixing": mixing.query,
     "op9_bpe": bpe.query,
     "op10_quality_classifier": quality_classifier.query,
 }
