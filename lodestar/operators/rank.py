@@ -95,7 +95,7 @@ def confidence(results: DataFrame, intent: Column, cold: Column) -> DataFrame:
 
 def template_reason(query: Column, name: Column, aliases: Column, intro: Column, score: Column) -> Column:
     """Why a row was found, by the field that holds a word of the query."""
-    tokens, tail = F.array_distinct(tokenize(query)), F.concat(F.lit("综合分"), F.format_string("%.4f", score), F.lit("。"))
+    tokens, tail = F.array_distinct(tokenize(query)), F.concat(F.lit("综合分"), F.format_string("%.4f", F.round(score, 4)), F.lit("。"))
     name_hit = F.exists(tokens, lambda t: name.contains(t)) | ((name != "") & F.contains(query, name))
     alias = F.get(F.filter(aliases, lambda a: (a != "") & (F.contains(query, a) | F.exists(tokens, lambda t: a.contains(t)))), 0)
     return (

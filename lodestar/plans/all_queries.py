@@ -1,6 +1,6 @@
 """Every query of the engine proper, by name."""
 
-from . import catalog  # noqa: F401
+from . import catalog, retrieval  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
