@@ -68,7 +68,7 @@ def windows(metrics: DataFrame, size: str, slide: str | None = None) -> DataFram
     """Counts and means per tumbling or sliding window of event time; the same expression serves batch and stream."""
     at = metrics if dict(metrics.dtypes)["ts"] == "timestamp" else metrics.withColumn("ts", F.timestamp_micros((F.col("ts") * 1e6).cast("long")))
     w = F.window("ts", size, slide) if slide else F.window("ts", size)
-    return at.groupBy(w).agg(F.count("*").alias("n"), F.count_if("error").alias("errors"), F.round(F.avg("total_ms"), 4).alias("avg_ms")).select(F.col("window.start").alias("start"), "n", "errors", "avg_ms")
+    return at.groupBy(w).agg(F.count("*").alias("n"), F.count_if("error").alias("errors"), F.round(F.avg("total_ms"), 6).alias("avg_ms")).select(F.col("window.start").alias("start"), "n", "errors", "avg_ms")
 
 
 def consecutive_failures(external: DataFrame) -> DataFrame:

@@ -164,3 +164,37 @@ def suggest(queries: DataFrame, vocabulary: DataFrame, text_col: str = "text") -
     fixed = tokens.join(corrections(tokens, vocabulary), "token", "left")
     out = fixed.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", F.coalesce("candidate", "token").alias("t")))), lambda s: s["t"]), " ").alias("suggestion"), F.count("candidate").alias("n"))
     return out.where("n > 0").select("query_id", "suggestion")
+
+
+def rescued(queries: DataFrame, kb: DataFrame, vocabulary: DataFrame, text_col: str = "text") -> DataFrame:
+    """(query_id, class, rescued): a query classed as not normal is taken back if it has a word of the vocabulary (term), or is
+    part of a name or alias."""
+    c = queries.select("query_id", text_col, preclassify(F.col(text_col)).alias("class"))
+    odd = c.where("class <> 'normal'")
+    by_word = odd.select("query_id", F.explode(tokenize(F.col(text_col))).alias("term")).join(vocabulary, "term", "left_semi").select("query_id")
+    names = kb.select(F.explode(F.transform(F.concat(F.array("service_name"), F.col("aliases")), F.lower)).alias("w")).distinct()
+    asked = odd.select("query_id", F.lower(strip_(F.col(text_col))).alias("q")).where("q <> ''")
+    by_name = asked.join(names, F.contains(F.col("w"), F.col("q")), "left_semi").select("query_id")
+    back = by_word.union(by_name).distinct().withColumn("__back", F.lit(True))
+    return c.join(back, "query_id", "left").select("query_id", "class", F.coalesce("__back", F.lit(False)).alias("rescued"))
+
+
+def phonetic(tokens: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """(token, candidate): the shortest term that sounds alike (soundex, which stands in for a dictionary of sounds)."""
+    oov = tokens.select("token").distinct().join(vocabulary.withColumnRenamed("term", "token"), "token", "left_anti").withColumn("s", F.soundex("token"))
+    hit = oov.join(vocabulary.select("term", F.soundex("term").alias("s")), "s").groupBy("token").agg(F.min(F.struct(F.char_length("term").alias("n"), "term")).alias("b"))
+    return hit.select("token", F.col("b.term").alias("candidate"))
+
+
+def deep_expand(queries: DataFrame, kb: DataFrame, groups: DataFrame, limit: int = 40, text_col: str = "text") -> DataFrame:
+    """(query_id, token, n): the query's tokens, then those of synonyms, then those of names and aliases that share a token with
+    the query; limit tokens at most, each kind in order of the token."""
+    own = queries.select("query_id", F.explode(tokenize(F.col(text_col))).alias("token")).distinct()
+    wide = expand(own, groups)
+    sets = kb.select(F.array_sort(F.array_distinct(tokenize(F.concat_ws(" ", "service_name", F.array_join("aliases", " "))))).alias("toks")).distinct()
+    by_token = sets.select(F.explode("toks").alias("token"), "toks").select("token", F.explode("toks").alias("other")).distinct()
+    near = own.join(by_token, "token").select("query_id", F.col("other").alias("token")).distinct()
+    every = own.withColumn("kind", F.lit(0)).unionByName(wide.withColumn("kind", F.lit(1))).unionByName(near.withColumn("kind", F.lit(2)))
+    first = every.groupBy("query_id", "token").agg(F.min("kind").alias("kind"))
+    w = Window.partitionBy("query_id").orderBy("kind", "token")
+    return first.withColumn("n", F.row_number().over(w)).where(F.col("n") <= limit).select("query_id", "token", "n")
