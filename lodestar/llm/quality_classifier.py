@@ -106,21 +106,18 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int =
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", positives: int = MAX_POSITIVES, unlabelled: int = MAX_UNLABELLED) -> Model:
-    """A model from the good rows outside the held-out fold, and from a sample of all documents without their labels."""
+    """A model from the good rows outside the held-out fold, and from a sample of all documents without their labels.
+
+    The sample is of the whole corpus, trained positives included, so that the prior is the share of good ones in it.
+    """
     learn = fold(F.col(id_col), FOLDS) != HELD_OUT
     shares = labels.where(learn & F.col(label_col).isNotNull()).agg(F.avg((F.col(label_col) == 1).cast("double"))).first()[0]
     prior = min(max(shares if shares is not None else 0.5, 0.02), 0.98)
     good = labelled_texts(docs, labels, label_col, learn & (F.col(label_col) == 1), positives, id_col, text_col)
     rest = thinned(docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")), "__id", unlabelled, "unlabelled")
-    rest = rest.join(F.broadcast(thinned_ids(labels, learn, id_col, label_col, positives)), "__id", "left_anti")
     return fit(np.array([features(t) for t, _ in good]).reshape(-1, 16), np.array([features(r[1]) for r in sorted(rest.collect(), key=lambda r: (r[0] is None, r[0]))]).reshape(-1, 16), prior)
 
 
-def thinned_ids(labels: DataFrame, learn, id_col: str, label_col: str, most: int) -> DataFrame:
-    """The ids of the positives that are trained on, which are no unlabelled rows."""
-    return thinned(labels.where(learn & (F.col(label_col) == 1)).select(F.col(id_col).cast("long").alias("__id")).dropna().dropDuplicates(["__id"]), "__id", most, label_col)
-
-
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, score) of every row of docs, in one pass without a shuffle.
 
