@@ -25,7 +25,7 @@ def shared_lines(lines: DataFrame, min_docs: int) -> DataFrame:
     """lines (h1, h2, __id) -> (h1, h2, first) of the keys in at least min_docs distinct documents; first: smallest id."""
     if min_docs == 2:
         return lines.groupBy("h1", "h2").agg(F.min("__id").alias("first"), F.max("__id").alias("last")).where("first < last").drop("last")
-    once = lines.groupBy("h1", "h2", "__id").agg()
+    once = lines.select("h1", "h2", "__id").distinct()
     return once.groupBy("h1", "h2").agg(F.min("__id").alias("first"), F.count("*").alias("n")).where(F.col("n") >= min_docs).drop("n")
 
 
