@@ -98,11 +98,11 @@ def mix(
     plan = weighted.select("__source", "weight", F.floor(F.col("budget") / F.col("supply")).alias("passes"), (F.col("budget") % F.col("supply")).alias("rest"))
     order = Window.partitionBy("__source").orderBy(F.xxhash64(F.lit(seed), "__source", "mix_block"), "mix_block")
     placed = by_block.withColumns({"mix_order": F.row_number().over(order), "before": F.sum("tokens").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("tokens")})
-    told = placed.join(plan, "__source", "left").select("__source", "mix_block", "mix_order", F.coalesce("weight", F.lit(0.0)).alias("mix_weight"), F.coalesce("passes", F.lit(0)).alias("passes"), (F.coalesce("rest", F.lit(0)) - F.col("before")).alias("left"))
+    told = placed.join(plan, "__source", "left").select("__source", "mix_block", "mix_order", F.coalesce("weight", F.lit(0.0)).alias("mix_weight"), F.coalesce("passes", F.lit(0)).alias("__passes"), (F.coalesce("rest", F.lit(0)) - F.col("before")).alias("__left"))
     inside = Window.partitionBy("__source", "mix_block").orderBy(F.xxhash64(F.lit(seed), "__hash"), "__hash").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rows = sized.withColumn("__before", F.sum("mix_tokens").over(inside) - F.col("mix_tokens"))
     out = rows.join(told, ["__source", "mix_block"])
-    copies = F.col("passes") + F.when(F.col("__before") < F.col("left"), 1).otherwise(0)
+    copies = F.col("__passes") + F.when(F.col("__before") < F.col("__left"), 1).otherwise(0)
     return out.select(*keep, "mix_tokens", "mix_weight", copies.cast("int").alias("mix_copies"), "mix_block", "mix_order")
 
 
