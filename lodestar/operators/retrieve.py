@@ -12,13 +12,30 @@ from lodestar.operators import rank as R
 from lodestar.operators import vector as V
 
 
+#: Queries that are broadcast against the catalog at a time.
+BATCH = 1_000
+
+
+def every_pair(batch: DataFrame, kb: DataFrame) -> DataFrame:
+    """Every query with every service, the catalog's partitions staying where they are.
+
+    A batch of up to BATCH rows is broadcast, its size having been counted; a larger one meets the catalog in blocks of that size.
+    """
+    n = batch.count()
+    if n <= BATCH:
+        return kb.crossJoin(F.broadcast(batch))
+    blocks = -(-n // BATCH)
+    cut = batch.withColumn("__block", F.pmod(F.xxhash64(*batch.columns), F.lit(blocks)).cast("int"))
+    return kb.withColumn("__block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(cut, "__block").drop("__block")
+
+
 def scores(batch: DataFrame, kb: DataFrame, index: B.Index, popularity: DataFrame, mode: str = "hybrid", query_vectors: DataFrame | None = None, vectors: DataFrame | None = None) -> DataFrame:
     """(query_id, service_id, ord, cos, vec, bmn, popn, score) of every query and service, as the full scan scores them.
 
     BM25 is normalised over all services, zeros included; popularity over the services that have any. The modes leave a
     signal's plan out, not just its weight. Every query meets every service by contract; the batch is the small side.
     """
-    every = batch.select("query_id", F.lit(1).alias("__one")).join(kb.select("service_id", "ord", F.lit(1).alias("__one")), "__one").drop("__one")
+    every = every_pair(batch.select("query_id"), kb.select("service_id", "ord"))
     pop = N.minmax(popularity, "popularity", "popn").select("service_id", "popn")
     out = every.join(pop, "service_id", "left")
     if mode != "semantic":

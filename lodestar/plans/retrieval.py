@@ -85,7 +85,7 @@ def vocabulary(spark, sf):
 @query("bm25_multifield", INDEX + " SELECT query_id, service_id, round(bm25, 6) AS bm25 FROM bm")
 def bm25_multifield(spark, sf):
     s = B.score(index(spark, sf), B.query_terms(S.query_batch(spark))).withColumnRenamed("id", "service_id")
-    every = S.query_batch(spark).select("query_id", F.lit(1).alias("one")).join(S.catalog(spark, sf).select("service_id", F.lit(1).alias("one")), "one").drop("one")
+    every = retrieve.every_pair(S.query_batch(spark).select("query_id"), S.catalog(spark, sf).select("service_id"))
     return every.join(s, ["query_id", "service_id"], "left").select("query_id", "service_id", F.round(F.coalesce("bm25", F.lit(0.0)), 6).alias("bm25"))
 
 
@@ -301,5 +301,5 @@ SELECT query_id, service_id, CASE w WHEN 1 THEN c1 WHEN 2 THEN c2 ELSE decision_
 def component_pick(spark, sf):
     from lodestar.operators.kb import clean_components
 
-    pairs = S.query_batch(spark).select("query_id", F.array_distinct(tokenize(F.col("text"))).alias("q"), F.lit(1).alias("one")).join(S.catalog(spark, sf).withColumn("one", F.lit(1)), "one")
+    pairs = retrieve.every_pair(S.query_batch(spark).select("query_id", F.array_distinct(tokenize(F.col("text"))).alias("q")), S.catalog(spark, sf))
     return pairs.select("query_id", "service_id", retrieve.pick_component(F.col("q"), clean_components(F.col("components")), F.col("decision_button"), F.col("path")).alias("c")).select("query_id", "service_id", "c.label", "c.action", "c.href")
