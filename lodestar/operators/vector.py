@@ -42,10 +42,10 @@ def token_bytes(token: Column) -> Column:
 def hash_embedding(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id_col, vec): unit vector of the sum over a text's tokens, repeats included. Digests are taken once per distinct token."""
     tokens = docs.select(id_col, F.explode(tokenize(F.col(text_col))).alias("tok")).groupBy(id_col, "tok").agg(F.count("*").cast("double").alias("tf"))
-    codes = tokens.select("tok").distinct().select("tok", F.posexplode(token_bytes(F.col("tok"))).alias("i", "x"))
-    sums = tokens.join(codes, "tok").groupBy(id_col, "i").agg(F.sum(F.col("tf") * F.col("x")).alias("x"))
-    vec = F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"])
-    return sums.groupBy(id_col).agg(normalize(vec).alias("vec"))
+    codes = tokens.select("tok").distinct().select("tok", token_bytes(F.col("tok")).alias("code"))
+    # One sum per dimension: fixed-width buffers that are combined before the shuffle.
+    sums = tokens.join(codes, "tok").groupBy(id_col).agg(*[F.sum(F.col("tf") * F.get("code", i)).alias(f"__{i}") for i in range(HASH_DIM)])
+    return sums.select(id_col, F.array(*[F.col(f"__{i}") for i in range(HASH_DIM)]).alias("vec")).select(id_col, normalize(F.col("vec")).alias("vec"))
 
 
 def embed_distinct(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
