@@ -9,10 +9,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_CHARS, let, words_of
+from .common import let, words_of
 
 WINDOW = 5
-SYMBOLS = "#*$%&|<>"
+#: Letters that a line needs before its capitals count.
+SHORT = 12
 #: Phrases that mark a line of page furniture, not prose.
 BOILERPLATE = (
     "all rights reserved", "cookie policy", "privacy policy", "terms of use", "terms of service", "subscribe to our newsletter",
@@ -23,38 +24,49 @@ BOILERPLATE = (
 def repeat_words(words: Column) -> Column:
     """Words inside 5-word windows that occur at least twice, the first one included."""
     n = F.size(words)
-    at = F.sequence(F.lit(1), F.greatest(n - (WINDOW - 1), F.lit(1)))
-    windows = F.transform(at, lambda i: F.struct(F.xxhash64(F.concat_ws(" ", F.slice(words, i, WINDOW))).alias("h"), i.alias("p")))
+    hashes = F.transform(F.sequence(F.lit(0), F.greatest(n - WINDOW, F.lit(0))), lambda i: F.xxhash64(*[F.get(words, i + k) for k in range(WINDOW)]))
 
-    def places(s: Column) -> Column:
-        """Of sorted (h, p): the places of windows whose neighbour has the same hash, in order."""
-        same = F.filter(s, lambda x, i: (F.get(s, i - 1)["h"].eqNullSafe(x["h"])) | (F.get(s, i + 1)["h"].eqNullSafe(x["h"])))
-        return F.array_sort(F.transform(same, lambda x: x["p"]))
+    def places(h: Column) -> Column:
+        """The places of windows whose hash occurs more than once, in order: neighbours in the order of the hash."""
+        pairs = F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("p"))))
+
+        def same(s: Column) -> Column:
+            return F.filter(s, lambda x, i: (F.get(s, i - 1)["h"].eqNullSafe(x["h"])) | (F.get(s, i + 1)["h"].eqNullSafe(x["h"])))
+
+        return F.array_sort(F.transform(let(pairs, same), lambda x: x["p"]))
 
     def covered(p: Column) -> Column:
         """Length of the union of the windows that begin at the places p."""
         steps = F.transform(p, lambda x, i: F.least(F.lit(WINDOW), F.coalesce(F.get(p, i + 1) - x, F.lit(WINDOW))))
         return F.aggregate(steps, F.lit(0), lambda a, x: a + x)
 
-    return F.when(n > WINDOW, let(F.sort_array(windows), lambda s: let(places(s), covered))).otherwise(F.lit(0))
-
-
-def bad_line(line: Column, symbol_share: float, shout_share: float) -> Column:
-    """True if a line with words fails a rule: punctuation, navigation or boilerplate."""
-    chars = F.char_length(F.translate(line, SPACE_CHARS, ""))
-    symbols = F.char_length(line) - F.char_length(F.translate(line, SYMBOLS + "!", ""))
-    separators = F.char_length(line) - F.char_length(F.translate(line, "|»›·•", ""))
-    letters = F.regexp_replace(line, r"[^\p{L}]", "")
-    upper = F.char_length(letters) - F.char_length(F.regexp_replace(letters, r"\p{Lu}", ""))
-    lower = F.lower(line)
-    boiler = F.lit(False)
-    for phrase in BOILERPLATE:
-        boiler = boiler | lower.contains(phrase)
-    return (chars > 0) & (
-        (symbols > symbol_share * chars)
-        | (separators >= 3)
-        | ((F.char_length(letters) >= 12) & (upper > shout_share * F.char_length(letters)))
-        | boiler
+    # Most texts repeat no window; a hash set tells before anything is sorted.
+    found = let(hashes, lambda h: F.when(F.size(F.array_distinct(h)) < F.size(h), let(places(h), covered)).otherwise(F.lit(0)))
+    return F.when(n > WINDOW, found).otherwise(F.lit(0))
+
+
+def count_of(text: Column, pattern: str) -> Column:
+    return F.regexp_count(text, F.lit(pattern))
+
+
+def bad_line(line: Column, chars: Column, symbol_share: float, shout_share: float) -> Column:
+    """True if a line with so many characters besides white space fails a rule: punctuation, navigation or boilerplate.
+
+    Cheap tests stand before dear ones, which are then left out for most lines.
+    """
+    letters, upper = count_of(line, r"\p{L}"), count_of(line, r"\p{Lu}")
+
+    def boiler(low: Column) -> Column:
+        out = F.lit(False)
+        for phrase in BOILERPLATE:
+            out = out | low.contains(phrase)
+        return out
+
+    return (
+        (count_of(line, r"[#*$%&|<>!]") > symbol_share * chars)
+        | (count_of(line, r"[|»›·•]") >= 3)
+        | ((upper > shout_share * SHORT) & (letters >= SHORT) & (upper > shout_share * letters))
+        | let(F.lower(line), boiler)
     )
 
 
@@ -75,30 +87,21 @@ def quality_rules(
     base = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     wide = base.select("doc_id", "text", words_of(F.col("text")).alias("words"), F.split("text", "\n", -1).alias("lines"))
 
-    def total(a: Column) -> Column:
-        return F.aggregate(a, F.lit(0).cast("long"), lambda s, x: s + x)
-
-    def solid(x: Column) -> Column:
-        return F.char_length(F.translate(x, SPACE_CHARS, "")).cast("long")
-
     def counted(words: Column) -> Column:
-        return F.struct(
-            F.size(words).cast("long").alias("n_words"),
-            total(F.transform(words, lambda w: F.char_length(w).cast("long"))).alias("word_chars"),
-            repeat_words(words).cast("long").alias("n_repeat_words"),
-        )
+        return F.struct(F.size(words).cast("long").alias("n_words"), F.char_length(F.array_join(words, "")).cast("long").alias("word_chars"), repeat_words(words).cast("long").alias("n_repeat_words"))
 
     def by_line(lines: Column) -> Column:
-        full = F.filter(lines, lambda x: F.btrim(x, F.lit(SPACE_CHARS)) != "")
+        sized = F.transform(lines, lambda x: F.struct(x.alias("x"), F.char_length(F.regexp_replace(x, r"[\x20\x09-\x0D]+", "")).cast("long").alias("n")))
+        full = F.filter(sized, lambda x: x["n"] > 0)
         return let(
             full,
             lambda f: let(
-                F.filter(f, lambda x: ~bad_line(x, symbol_share, shout_share)),
+                F.filter(f, lambda x: ~bad_line(x["x"], x["n"], symbol_share, shout_share)),
                 lambda good: F.struct(
-                    (F.size(f) - F.size(F.array_distinct(f))).cast("long").alias("n_dup_lines"),
+                    (F.size(f) - F.size(F.array_distinct(F.transform(f, lambda x: x["x"])))).cast("long").alias("n_dup_lines"),
                     (F.size(f) - F.size(good)).cast("long").alias("n_bad_lines"),
-                    total(F.transform(good, solid)).alias("good_chars"),
-                    F.array_join(good, "\n").alias("clean"),
+                    F.aggregate(good, F.lit(0).cast("long"), lambda s, x: s + x["n"]).alias("good_chars"),
+                    F.array_join(F.transform(good, lambda x: x["x"]), "\n").alias("clean"),
                 ),
             ),
         )
@@ -108,7 +111,7 @@ def quality_rules(
     lost = F.when(F.col("w.word_chars") > 0, 1 - F.col("l.good_chars") / F.col("w.word_chars")).otherwise(F.lit(1.0))
     return got.select(
         "doc_id", F.col("l.clean").alias("text"), "w.n_words", "w.word_chars",
-        (F.char_length("text") - F.char_length(F.translate("text", SYMBOLS, ""))).cast("long").alias("n_symbols"),
+        count_of(F.col("text"), r"[#*$%&|<>]").cast("long").alias("n_symbols"),
         "l.n_dup_lines", "w.n_repeat_words", failed.alias("base_failed"), "l.n_bad_lines", lost.alias("lost_share"),
         (~failed & (lost <= max_lost) & (F.col("l.good_chars") > 0)).alias("kept"),
     )
