@@ -190,7 +190,7 @@ def session_rollback(spark, sf):
 DIN = f"""{with_('kb', 'batch', 'queries')}, {EMBED}, h0 AS (SELECT b.query_id, q.query, row_number() OVER (PARTITION BY b.query_id ORDER BY q.id DESC) AS i FROM batch b JOIN queries q ON q.user_id = b.user_id QUALIFY i <= 50),
 ht AS (SELECT DISTINCT query FROM h0), {embed_sql('hv', 'ht', 'query', 'query')}, w AS (SELECT query_id, i, hv.vec, 0.7 * greatest(0, list_inner_product(qv.vec, hv.vec)) + 0.3 / i AS w FROM h0 JOIN hv USING (query) JOIN qv USING (query_id)),
 d AS (SELECT query_id, j, sum(w * vec[j]) / sum(w) AS x FROM w CROSS JOIN range(1, 33) r(j) GROUP BY ALL), m AS (SELECT query_id, j, 0.8 * qv.vec[j] + 0.2 * x AS x FROM d JOIN qv USING (query_id)), n AS (SELECT query_id, sqrt(sum(x * x)) AS n FROM m GROUP BY 1)
-SELECT query_id, j - 1 AS i, round(x / n, 6) AS x FROM m JOIN n USING (query_id)"""
+SELECT query_id, j - 1 AS i, round(x / n, 6) AS x FROM m JOIN n USING (query_id) UNION ALL SELECT query_id, unnest(range(32)), round(unnest(vec), 6) FROM qv WHERE query_id NOT IN (SELECT query_id FROM w)"""
 
 
 @query("din_query_vector", DIN)
