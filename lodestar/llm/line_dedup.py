@@ -11,9 +11,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, SPACE_CHARS, ascii_lower
+from .common import NULL_ID, SPACE_CHARS, ascii_lower, stored
 
 _OWN = ("__id", "__text_hash")
+#: Lines with more than this part of all occurrences of shared lines are broadcast; there cannot be more of them than this.
+HOT = 1_000
 
 
 def line_key(line: Column) -> Column:
@@ -22,11 +24,23 @@ def line_key(line: Column) -> Column:
 
 
 def shared_lines(lines: DataFrame, min_docs: int) -> DataFrame:
-    """lines (h1, h2, __id) -> (h1, h2, first) of the keys in at least min_docs distinct documents; first: smallest id."""
+    """lines (h1, h2, __id) -> (h1, h2, first, n) of the keys in at least min_docs distinct documents; first: smallest id, n: how
+    often the key occurs (for min_docs over 2, in how many documents)."""
     if min_docs == 2:
-        return lines.groupBy("h1", "h2").agg(F.min("__id").alias("first"), F.max("__id").alias("last")).where("first < last").drop("last")
+        return lines.groupBy("h1", "h2").agg(F.min("__id").alias("first"), F.max("__id").alias("last"), F.count("*").alias("n")).where("first < last").drop("last")
     once = lines.select("h1", "h2", "__id").distinct()
-    return once.groupBy("h1", "h2").agg(F.min("__id").alias("first"), F.count("*").alias("n")).where(F.col("n") >= min_docs).drop("n")
+    return once.groupBy("h1", "h2").agg(F.min("__id").alias("first"), F.count("*").alias("n")).where(F.col("n") >= min_docs)
+
+
+def verdicts(lines: DataFrame, shared: DataFrame) -> DataFrame:
+    """lines with first, the document that keeps the key, for keys of shared, and null for all others."""
+    total = shared.agg(F.sum("n")).first()[0] or 0
+    hot = shared.where(F.col("n") > total / HOT).select("h1", "h2", F.col("first").alias("hot_first"))
+    marked = lines.join(F.broadcast(hot), ["h1", "h2"], "left")
+    # A row whose verdict is known goes anywhere: its key is replaced by one of its own.
+    known = F.col("hot_first").isNotNull()
+    dealt = marked.withColumns({"h1": F.when(known, F.xxhash64("__id", "pos")).otherwise(F.col("h1"))})
+    return dealt.join(shared.drop("n"), ["h1", "h2"], "left").withColumn("first", F.coalesce("hot_first", "first"))
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = 2, min_chars: int = 10) -> DataFrame:
@@ -49,7 +63,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
     keys = keyed.select(*_OWN, F.posexplode("__lines").alias("pos", "line")).select(*_OWN, "pos", line_key(F.col("line")).alias("key"))
     lines = keys.where(F.char_length("key") >= min_chars).select(*_OWN, "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit("line"), "key").alias("h2"))
-    hits = lines.join(shared_lines(lines, min_docs), ["h1", "h2"]).where(F.col("__id") != F.col("first"))
+    hits = verdicts(lines, stored(shared_lines(lines, min_docs), "shared_lines")).where(F.col("__id") != F.col("first"))
     drops = hits.groupBy(*_OWN).agg(F.collect_set("pos").alias("__drops"))
     found = keyed.join(drops, list(_OWN), "left")
     n, dropped = F.size("__lines"), F.coalesce(F.col("__drops"), F.array().cast("array<int>"))
