@@ -106,7 +106,9 @@ def fingerprint_links(distinct: DataFrame, radius: int = 3) -> DataFrame:
     plan = views(radius)
     # What a view leaves out carries the view's number, so that views do not meet.
     keyed = [F.transform(F.array(*[F.lit(_signed(f ^ (k + 1 << (21 * k) if len(plan) > 1 else 0))) for f in flips]), (lambda keep: lambda f: F.col("fp").bitwiseAND(F.lit(_signed(keep))).bitwiseXOR(f))(keep)) for k, (keep, flips) in enumerate(plan)]
-    variants = distinct.select(F.explode(F.concat(*keyed)).alias("k"), "fp")
+    # Few and narrow rows become many: spread them first, by a count that adaptive execution does not lower.
+    n = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    variants = distinct.repartition(n).select(F.explode(F.concat(*keyed)).alias("k"), "fp")
     dealt = variants.repartition("k").sortWithinPartitions("k")
 
     def run(batches):
