@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import text_batches
-from .training import fold, labelled_texts, thinned
+from .training import fold, labelled_ids, thinned
 
 #: Positives, and unlabelled documents, that the model is fitted on, at most (about).
 MAX_POSITIVES = 8_000
@@ -105,6 +105,20 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int =
     return Model(mean, scale, (theta[0], theta[1], theta[2], float(theta[3][0])))
 
 
+def sampled_features(rows: DataFrame) -> np.ndarray:
+    """rows (__id, __text) -> one row of features each, in order of the id, nulls last. The texts stay on the executors:
+    16 numbers a row come to the driver, however long the texts are."""
+    text_batches(rows.sparkSession)
+
+    def run(batches):
+        for b in batches:
+            x = [features(t) for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(x, pa.list_(pa.float64()))], names=["id", "x"])
+
+    got = rows.select(F.col("__id").cast("long"), F.col("__text").cast("string")).mapInArrow(run, "id long, x array<double>").collect()
+    return np.array([r[1] for r in sorted(got, key=lambda r: (r[0] is None, r[0] or 0, r[1]))]).reshape(-1, 16)
+
+
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", positives: int = MAX_POSITIVES, unlabelled: int = MAX_UNLABELLED) -> Model:
     """A model from the good rows outside the held-out fold, and from a sample of all documents without their labels.
 
@@ -113,9 +127,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     learn = fold(F.col(id_col), FOLDS) != HELD_OUT
     shares = labels.where(learn & F.col(label_col).isNotNull()).agg(F.avg((F.col(label_col) == 1).cast("double"))).first()[0]
     prior = min(max(shares if shares is not None else 0.5, 0.02), 0.98)
-    good = labelled_texts(docs, labels, label_col, learn & (F.col(label_col) == 1), positives, id_col, text_col)
-    rest = thinned(docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")), "__id", unlabelled, "unlabelled")
-    return fit(np.array([features(t) for t, _ in good]).reshape(-1, 16), np.array([features(r[1]) for r in sorted(rest.collect(), key=lambda r: (r[0] is None, r[0]))]).reshape(-1, 16), prior)
+    texts = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).alias("__text"))
+    good = texts.join(labelled_ids(labels, label_col, learn & (F.col(label_col) == 1), positives, id_col), "__id", "left_semi")
+    return fit(sampled_features(good), sampled_features(thinned(texts, "__id", unlabelled, "unlabelled")), prior)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -21,14 +21,17 @@ def thinned(rows: DataFrame, id_col: str, most: int, salt: str) -> DataFrame:
     return rows.where(F.pmod(F.xxhash64(F.lit(salt), F.col(id_col)), F.lit(BUCKETS)) < int(BUCKETS * most / n))
 
 
-def labelled_texts(docs: DataFrame, labels: DataFrame, label_col: str, keep: Column, most: int, id_col: str, text_col: str) -> list[tuple[str, int]]:
-    """(text, label) of a sample of the labelled rows that keep admits, about `most` rows at most.
+def labelled_ids(labels: DataFrame, label_col: str, keep: Column, most: int, id_col: str) -> DataFrame:
+    """(__id, __label) of a sample of the labelled rows that keep admits, about `most` rows at most, to be broadcast.
 
-    Rows without id or label are left out; of rows that repeat an id, one counts. Only the sampled ids, whose number
-    is bounded, are broadcast against the documents.
+    Rows without id or label are left out; of rows that repeat an id, one counts: the one with the smallest label.
     """
-    known = labels.where(keep).select(F.col(id_col).cast("long").alias("__id"), F.col(label_col).cast("int").alias("__label")).dropna().dropDuplicates(["__id"])
-    some = F.broadcast(thinned(known, "__id", most, label_col))
+    known = labels.where(keep).select(F.col(id_col).cast("long").alias("__id"), F.col(label_col).cast("int").alias("__label")).dropna()
+    return F.broadcast(thinned(known.groupBy("__id").agg(F.min("__label").alias("__label")), "__id", most, label_col))
+
+
+def labelled_texts(docs: DataFrame, labels: DataFrame, label_col: str, keep: Column, most: int, id_col: str, text_col: str) -> list[tuple[str, int]]:
+    """(text, label) of the documents of labelled_ids(), whose number is bounded."""
     own = docs.select(F.col(id_col).cast("long").alias("__id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("__text"))
-    got = own.join(some, "__id").select("__id", "__text", "__label").collect()
+    got = own.join(labelled_ids(labels, label_col, keep, most, id_col), "__id").select("__id", "__text", "__label").collect()
     return [(r[1], r[2]) for r in sorted(got)]
