@@ -17,26 +17,50 @@ def percentile(values: Column, p: float) -> Column:
     return F.when(n > 0, F.get(F.sort_array(values), at)).otherwise(F.lit(0.0))
 
 
-def latency_percentiles(metrics: DataFrame) -> DataFrame:
-    v = metrics.agg(F.collect_list("total_ms").alias("v"))
-    return v.select(*[F.round(percentile(F.col("v"), p), 6).alias(f"p{p}") for p in (50, 95, 99)])
+#: Buckets to a unit of the logarithm: values in one bucket differ by 0.4 % at most, and doubles have under 400,000 buckets.
+LOG_BUCKETS = 256
 
 
-def exact_percentiles(metrics: DataFrame, ps=(50, 95, 99)) -> DataFrame:
-    """The same percentiles over any number of rows: values are ranked by a range-partitioned sort, none is gathered."""
-    counts = metrics.groupBy("total_ms").agg(F.count("*").alias("n"))
-    n = counts.agg(F.sum("n")).first()[0] or 0
-    w = Window.orderBy("total_ms").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = counts.withColumn("upto", F.sum("n").over(w))
-    return ranked.agg(*[F.round(F.coalesce(F.min(F.when(F.col("upto") > min(n * p // 100, n - 1), F.col("total_ms"))), F.lit(0.0)), 6).alias(f"p{p}") for p in ps])
+def _bucket(v: Column) -> Column:
+    """Number of the bucket of a double on a logarithmic scale; it never falls as v rises, NaN last."""
+    at = F.signum(v).cast("long") * F.floor(F.log1p(F.abs(v)) * LOG_BUCKETS)
+    return F.when(F.isnan(v), F.lit(2**63 - 1)).otherwise(at)
 
 
-def stage_percentiles(metrics: DataFrame) -> DataFrame:
+def ranked_percentiles(counts: DataFrame, by: str, ps=(50, 95, 99)) -> DataFrame:
+    """counts (by, v, n), how often each value occurs -> (by, n, p..): the percentiles of percentile(), over any number of values.
+
+    Values are ranked inside buckets, and buckets among themselves, so no task holds all values of a group; a value that
+    occurs often is one row.
+    """
+    placed = counts.withColumn("bucket", _bucket(F.col("v")))
+    among = Window.partitionBy(by).orderBy("bucket")
+    sums = placed.groupBy(by, "bucket").agg(F.sum("n").alias("m"))
+    sums = sums.withColumns({"before": F.sum("m").over(among) - F.col("m"), "total": F.sum("m").over(Window.partitionBy(by))})
+    # Only buckets that hold a wanted place are ranked inside.
+    places = [F.least(F.floor(F.col("total") * p / 100), F.col("total") - 1) for p in ps]
+    held = F.lit(False)
+    for at in places:
+        held = held | ((at >= F.col("before")) & (at < F.col("before") + F.col("m")))
+    inside = Window.partitionBy(by, "bucket").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    found = placed.join(sums.where(held), [by, "bucket"]).withColumn("upto", F.col("before") + F.sum("n").over(inside))
+    return found.groupBy(by).agg(F.max("total").alias("n"), *[F.round(F.min(F.when(F.col("upto") > at, F.col("v"))), 6).alias(f"p{p}") for p, at in zip(ps, places, strict=True)])
+
+
+def latency_percentiles(metrics: DataFrame, ps=(50, 95, 99)) -> DataFrame:
+    """One row: percentiles of total_ms, 0 where there are no events. Null totals do not count."""
+    counts = metrics.where(F.col("total_ms").isNotNull()).groupBy(F.lit(0).alias("g"), F.col("total_ms").cast("double").alias("v")).agg(F.count("*").alias("n"))
+    return ranked_percentiles(counts, "g", ps).agg(*[F.coalesce(F.max(f"p{p}"), F.lit(0.0)).alias(f"p{p}") for p in ps])
+
+
+def stage_percentiles(metrics: DataFrame, ps=(50, 95, 99)) -> DataFrame:
     """(stage, n, p50, p95, p99) over events with stages; an event without that stage counts as 0."""
-    with_stages = metrics.where(F.size("stages") > 0)
-    names = with_stages.select(F.explode(F.map_keys("stages")).alias("stage")).distinct()
-    v = with_stages.crossJoin(F.broadcast(names)).groupBy("stage").agg(F.collect_list(F.coalesce(F.element_at("stages", F.col("stage")), F.lit(0.0))).alias("v"))
-    return v.select("stage", F.size("v").alias("n"), *[F.round(percentile(F.col("v"), p), 6).alias(f"p{p}") for p in (50, 95, 99)])
+    seen = metrics.where(F.size("stages") > 0)
+    counts = seen.select(F.explode("stages").alias("stage", "x")).groupBy("stage", F.coalesce(F.col("x").cast("double"), F.lit(0.0)).alias("v")).agg(F.count("*").alias("n"))
+    # Events without a stage are not listed: they are as many zeros as the stage's own events leave.
+    rest = counts.groupBy("stage").agg(F.sum("n").alias("own")).join(F.broadcast(seen.agg(F.count("*").alias("events"))), F.lit(True))
+    zeros = rest.where("events > own").select("stage", F.lit(0.0).alias("v"), (F.col("events") - F.col("own")).alias("n"))
+    return ranked_percentiles(counts.unionByName(zeros), "stage", ps)
 
 
 def health(metrics: DataFrame, external: DataFrame, recent: int = RECENT) -> DataFrame:

@@ -17,7 +17,7 @@ def pct(v: str, p: int) -> str:
 
 @query("latency_percentiles", with_("metrics") + f", v AS (SELECT list(total_ms) AS v FROM metrics) SELECT {pct('v', 50)}, {pct('v', 95)}, {pct('v', 99)} FROM v")
 def latency_percentiles(spark, sf):
-    return M.exact_percentiles(S.metrics(spark, sf))
+    return M.latency_percentiles(S.metrics(spark, sf))
 
 
 @query("stage_percentiles", with_("metrics") + f", s AS (SELECT 'retrieval' AS stage, total_ms * 0.6 AS x FROM metrics UNION ALL SELECT 'rerank', CASE WHEN cache_hit THEN 0 ELSE total_ms * 0.3 END FROM metrics), v AS (SELECT stage, list(x) AS v FROM s GROUP BY 1) SELECT stage, len(v) AS n, {pct('v', 50)}, {pct('v', 95)}, {pct('v', 99)} FROM v")

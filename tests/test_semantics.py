@@ -1,6 +1,7 @@
 """Small hand-computed cases, and parity with plain Python where an operator is a fold."""
 
 import math
+import random
 
 import numpy as np
 import pytest
@@ -175,7 +176,20 @@ def test_percentiles(spark):
     v = F.array(*[F.lit(float(x)) for x in range(10, 101, 10)])
     assert list(one(spark, M.percentile(v, 50), M.percentile(v, 95), M.percentile(F.array().cast("array<double>"), 50))) == [60, 100, 0]
     m = spark.createDataFrame([(float(x),) for x in range(10, 101, 10)], "total_ms double")
-    assert tuple(M.exact_percentiles(m).first()) == (60, 100, 100) == tuple(M.latency_percentiles(m).first())
+    assert tuple(M.latency_percentiles(m).first()) == (60, 100, 100)
+    assert tuple(M.latency_percentiles(m.where("total_ms < 0")).first()) == (0, 0, 0)
+
+
+@pytest.mark.parametrize("spread", [1e-3, 1.0, 1e9])
+def test_ranked_percentiles_against_sorting(spark, spread):
+    """Ties, signs, outliers and infinities: the same as sorting all values of a stage."""
+    rng = random.Random(spread)
+    values = [round(rng.gauss(0, spread), 4) for _ in range(400)] + [7.5] * 150 + [0.0, -0.0, 1e300, float("inf"), float("-inf")]
+    events = [({"a": v, "b": -v} if i % 3 else {"a": v},) for i, v in enumerate(values)] + [({},), (None,)]
+    got = {r.stage: tuple(r)[1:] for r in M.stage_percentiles(spark.createDataFrame(events, "stages map<string,double>")).collect()}
+    for stage in "ab":
+        v = sorted(e[0].get(stage, 0.0) for e in events if e[0])
+        assert got[stage] == (len(v), *[pytest.approx(v[min(len(v) * p // 100, len(v) - 1)], abs=1e-6) for p in (50, 95, 99)])
 
 
 def test_understanding(spark):
