@@ -11,12 +11,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestar.functions.text import tokenize
 from lodestar.operators import answers as A
 from lodestar.operators import bm25 as B
 from lodestar.operators import kb as K
+from lodestar.operators import logs as L
+from lodestar.operators import monitor as M
 from lodestar.operators import rank as R
 from lodestar.operators import recommend as C
 from lodestar.operators import retrieve
+from lodestar.operators import session as H
 from lodestar.operators import signals as G
 from lodestar.operators import understand as U
 from lodestar.operators import vector as V
@@ -28,6 +32,9 @@ FACTS = {
     "queries": "id long, user_id long, query string, ts double",
     "feedback": "id long, user_id long, service_id string, dwell_ms int, ts double",
     "op_logs": "id long, op string, version_id string, ok boolean, ts double",
+    "searches": "id long, user_id long, query string, top_ids array<string>, latencies map<string,double>, cache_hit boolean, degraded boolean, error boolean, clicked_sid string, ts double",
+    "external": "id long, service string, ok boolean, latency_ms double",
+    "turns": "session_id string, turn_idx int, query string, top_ids array<string>",
 }
 Embedder = Callable[[DataFrame, str, str], DataFrame]
 
@@ -78,6 +85,17 @@ class Engine:
             self.vectors = self.spark.read.parquet(f"{path}/vectors")
         return kb_hash
 
+    def versions(self) -> DataFrame:
+        """(created_at, version_id, active) of the imported versions, newest first."""
+        pointed = self.spark.read.parquet(f"{self.root}/kb/active").first()[0]
+        made = self.facts("op_logs").where("op = 'import' AND ok").groupBy("version_id").agg(F.max("ts").alias("created_at"))
+        return K.list_versions(made).withColumn("active", F.col("version_id") == pointed)
+
+    def embedding_status(self) -> DataFrame:
+        """One row: total, embedded and missing services of the active version."""
+        own = self.kb.select("service_id").join(self.vectors.select("service_id", "vec"), "service_id", "left")
+        return own.agg(F.count("*").alias("total"), F.count("vec").alias("embedded")).withColumn("missing", F.col("total") - F.col("embedded"))
+
     def export(self, path: str) -> None:
         self.kb.drop("searchable").write.mode("overwrite").json(path)
 
@@ -87,7 +105,7 @@ class Engine:
         rows.write.mode("append").parquet(f"{self.root}/{fact}")
 
     def record(self, fact: str, rows: DataFrame) -> None:
-        """Append clicks, queries or feedback; clicks on services that are not in the catalog are marked deprecated."""
+        """Append rows of a fact; clicks on services that are not in the catalog are marked deprecated."""
         if fact == "clicks":
             known = self.kb.select("service_id", F.lit(False).alias("__gone"))
             rows = rows.drop("deprecated").join(known, "service_id", "left").withColumn("deprecated", F.col("__gone").isNull()).drop("__gone")
@@ -130,6 +148,47 @@ class Engine:
         lists = top.withColumnRenamed("query_id", "sub").join(wide.select("sub", "query_id", "list"), "sub").select("query_id", "list", F.col("service_id").alias("id"), "rank")
         return R.intersect(lists, ["query_id"], recall)
 
+    def route(self, batch: DataFrame, connectors=U.CONNECTORS) -> DataFrame:
+        """(query_id, class, intent, route, sub_queries): the method that answers each query.
+
+        A query of an odd class that the catalog's words do not take back is refused, an attack always; several
+        sub-queries go to intersection, requests for steps to guide, running sessions (a column session_id that is not
+        null) to session, all others to search.
+        """
+        judged = U.rescued(batch, self.kb, self.index.postings.select("term").distinct())
+        running = F.col("session_id").isNotNull() if "session_id" in batch.columns else None
+        meant = U.classify(batch, self.kb, connectors=connectors, has_session=running).select("query_id", "intent", "sub_queries")
+        refused = (F.col("class") == "prompt_attack") | (F.col("class") != "normal") & ~F.col("rescued")
+        way = (
+            F.when(refused, "refuse").when(F.size("sub_queries") > 1, "intersection").when(F.col("intent") == "guide", "guide")
+            .when(F.col("intent") == "conversational", "session").otherwise("search")
+        )
+        return judged.join(meant, "query_id").select("query_id", "class", "intent", way.alias("route"), "sub_queries")
+
+    def session(self, turns: DataFrame, now: float, k: int = 40) -> DataFrame:
+        """turns (query_id, user_id, text, session_id, turn) -> (query_id, service_id, score, rank): all that a session has found
+        up to a turn, ranked for that turn."""
+        scored = self.scores(turns.select("query_id", "user_id", "text"), now)
+        return H.refined(scored, retrieve.recall(scored, 20), turns.select("query_id", "session_id", "turn"), k)
+
+    def undo_turn(self) -> DataFrame:
+        """(session_id, turn_idx, query) of the recorded sessions without their last turn."""
+        return H.rollback(self.facts("turns"))
+
+    def guide(self, steps: DataFrame) -> DataFrame:
+        """steps (step_id, raw) that a model wrote -> (step_id, step_text, services), with references to known services alone."""
+        return A.guide_steps(steps, self.kb)
+
+    def components(self, pairs: DataFrame) -> DataFrame:
+        """pairs (query_id, text, service_id) -> (query_id, service_id, label, action, href): what to show of each service."""
+        own = pairs.join(self.kb.select("service_id", "components", "decision_button", "path"), "service_id")
+        picked = retrieve.pick_component(F.array_distinct(tokenize(F.col("text"))), F.col("components"), F.col("decision_button"), F.col("path"))
+        return own.select("query_id", "service_id", picked.alias("c")).select("query_id", "service_id", "c.label", "c.action", "c.href")
+
+    def execute(self, requests: DataFrame) -> DataFrame:
+        """requests (service_id, name, action) with allowed: the catalog offers that action."""
+        return K.whitelisted(requests, self.kb)
+
     def deep_search(self, batch: DataFrame, now: float) -> DataFrame:
         return A.deep_search(batch, self.kb, self.index, self.popularity(now), self._groups())
 
@@ -155,6 +214,45 @@ class Engine:
     def op_logs(self, op: str | None = None, limit: int = 50) -> DataFrame:
         return K.op_logs(self.facts("op_logs"), op, limit)
 
+    # Logs and monitoring -------------------------------------------------------------------------------------------
+
+    def no_click(self, since: float, limit: int | None = None) -> DataFrame:
+        return L.no_click(self.searches(), since, limit)
+
+    def slow(self, since: float, threshold_ms: float = 1000.0) -> DataFrame:
+        return L.slow(self.facts("searches"), since, threshold_ms)
+
+    def degradation(self, since: float) -> DataFrame:
+        return L.degradation(self.facts("searches"), since)
+
+    def recent_searches(self, limit: int = 50) -> DataFrame:
+        return L.recent(self.searches(), limit)
+
+    def searches(self) -> DataFrame:
+        """The search log with each click put on the search that showed its service."""
+        logs = self.facts("searches")
+        shown = logs.select(F.col("id").alias("log_id"), F.explode("top_ids").alias("service_id")).distinct()
+        late = L.backfill_clicks(logs, self.facts("clicks"), shown).select(F.col("log_id").alias("id"), F.col("clicked_sid").alias("__late"))
+        return logs.join(late, "id", "left").withColumn("clicked_sid", F.coalesce("clicked_sid", "__late")).drop("__late")
+
+    def metrics(self) -> DataFrame:
+        """The search log as events: id, ts, total_ms, stages, error, cache_hit, degraded."""
+        total = F.coalesce(F.try_element_at("latencies", F.lit("total")), F.lit(0.0))
+        stages = F.map_filter("latencies", lambda k, _: k != "total")
+        return self.facts("searches").select("id", "ts", total.alias("total_ms"), stages.alias("stages"), "error", "cache_hit", "degraded")
+
+    def health(self) -> DataFrame:
+        return M.health(self.metrics(), self.facts("external"))
+
+    def alerts(self) -> DataFrame:
+        return M.alerts(self.health(), M.consecutive_failures(self.facts("external")))
+
+    def exposition(self) -> DataFrame:
+        return M.exposition(self.health(), self.facts("external"))
+
+    def realtime(self, now: float, window_s: float = 60.0) -> DataFrame:
+        return M.realtime(self.metrics(), now, window_s)
+
     def sql(self, text: str, **args) -> DataFrame:
         """SQL over the engine's tables by name: {kb}, {clicks}, {queries}, {feedback}; values are passed as parameters, not as text."""
         return self.spark.sql(text, args=args or None, kb=self.kb, **{f: self.facts(f) for f in FACTS})

@@ -13,14 +13,14 @@ def _close(a: Column, b: Column) -> Column:
 def minmax(df: DataFrame, value: str, out: str, by: list[str] | None = None) -> DataFrame:
     """(v - min) / (max - min); all 0 where the values are equal."""
     s = df.groupBy(*(by or [])).agg(F.min(value).alias("__lo"), F.max(value).alias("__hi"))
-    joined = df.join(F.broadcast(s), by) if by else df.crossJoin(F.broadcast(s))
+    joined = df.join(s, by) if by else df.crossJoin(F.broadcast(s))
     return joined.withColumn(out, F.when(_close(F.col("__hi"), F.col("__lo")), 0.0).otherwise((F.col(value) - F.col("__lo")) / (F.col("__hi") - F.col("__lo")))).drop("__lo", "__hi")
 
 
 def zscore(df: DataFrame, value: str, out: str, by: list[str] | None = None) -> DataFrame:
     """(v - mean) / population deviation; 0 where that is 0."""
     s = df.groupBy(*(by or [])).agg(F.avg(value).alias("__mean"), F.stddev_pop(value).alias("__std"))
-    joined = df.join(F.broadcast(s), by) if by else df.crossJoin(F.broadcast(s))
+    joined = df.join(s, by) if by else df.crossJoin(F.broadcast(s))
     return joined.withColumn(out, F.when(F.col("__std") == 0, 0.0).otherwise((F.col(value) - F.col("__mean")) / F.col("__std"))).drop("__mean", "__std")
 
 
