@@ -27,8 +27,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The largest mixture of the sources at the target entropy that uses no document twice."""
-    return mixing.realised(mixing.mix(docs, max_repeats=1.0, load=None), docs.columns)
+    """As many tokens as come in, with the sources' weights tempered as far as no source is used more than twice."""
+    return mixing.realised(mixing.mix(docs, max_repeats=2.0, load=1.0), docs.columns)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -45,3 +45,19 @@ def test_run_equals_stages(spark):
 def test_stages_name_operators():
     assert [n for n, _ in C.STAGES] == ["quality", "lines", "near_duplicates", "mixture", "tokens"]
     assert L and mixing and simhash
+
+
+def test_a_tiny_source_does_not_shrink_the_mixture(spark):
+    """A source with a third of the tokens, 19 others, and one of two words: the others stay."""
+    sources = ["hot"] * 950 + [f"s{i % 19}" for i in range(1900)]
+    data = [(i, "ten words that are all alike in each text here", s, "en", 46) for i, s in enumerate(sources)]
+    tiny = [(9999, "two words", None, "en", 9)]
+    share = {}
+    for name, rows in (("plain", data), ("tiny", data + tiny)):
+        docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, n_chars long")
+        used = [r.doc_id for r in C.mixture(spark, docs, SF).collect()]
+        share[name] = len(set(used)) / len(rows)
+        assert abs(len(used) - len(rows)) <= 25  # the budget is all tokens, met to a document of each source
+        assert max(used.count(i) for i in set(used[:50])) <= 2
+    print("kept share", share)
+    assert share["tiny"] >= share["plain"] - 0.01 and share["plain"] > 0.75
