@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.llm import bpe, line_dedup, mixing, quality_classifier, simhash
+from lodestar.llm import bpe, line_dedup, mixing, quality_classifier, similar, simhash
 from lodestar.llm.common import stored
 
 
@@ -22,10 +22,15 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates."""
+    """One document of each group of near-duplicates by fingerprints: the first pass of the stage."""
     return simhash.keep_one(docs)
 
 
+def all_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """What the fingerprints leave, without the texts whose five-word shingles are 0.8 or more similar to another's."""
+    return similar.keep_dissimilar(docs, ids=near_duplicates(spark, docs, sf_dir).select("doc_id"))
+
+
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """As many tokens as come in, with the sources' weights tempered as far as no source is used more than twice."""
     return mixing.realised(mixing.mix(docs, max_repeats=2.0, load=1.0), docs.columns)
@@ -37,7 +42,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return bpe.digests(encoded, "ids")
 
 
-STAGES = [("quality", quality), ("lines", lines), ("near_duplicates", near_duplicates), ("mixture", mixture), ("tokens", tokens)]
+STAGES = [("quality", quality), ("lines", lines), ("near_duplicates", all_near_duplicates), ("mixture", mixture), ("tokens", tokens)]
 
 #: SQL cannot express the classifier, fingerprints and encoder; the tests hold the stages against brute force.
 ORACLE_SQL = None

@@ -26,20 +26,24 @@ BITS = 64
 _TABLE = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 
 
-def fingerprint(text: str | None, shingle: int = 3) -> int:
-    """Unsigned 64-bit SimHash of a text's word shingles, repeats included; 0 without words."""
+def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
+    """xxh64 of each of a text's word shingles, repeats included; of all words if they are fewer than a shingle has."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     n = len(words)
-    if not n:
-        return 0
     norm = b" ".join(words)
     if n <= shingle:
-        hashes = np.array([xxhash.xxh64_intdigest(norm, 42)], dtype=np.uint64)
-    else:
-        ends = np.cumsum(np.fromiter(map(len, words), np.int64, n) + 1)
-        starts = np.concatenate(([0], ends[: n - shingle])).tolist()
-        digest = xxhash.xxh64_intdigest
-        hashes = np.array([digest(norm[a:b], 42) for a, b in zip(starts, (ends[shingle - 1 :] - 1).tolist(), strict=True)], dtype=np.uint64)
+        return np.array([xxhash.xxh64_intdigest(norm, 42)], dtype=np.uint64)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, n) + 1)
+    starts = np.concatenate(([0], ends[: n - shingle])).tolist()
+    digest = xxhash.xxh64_intdigest
+    return np.array([digest(norm[a:b], 42) for a, b in zip(starts, (ends[shingle - 1 :] - 1).tolist(), strict=True)], dtype=np.uint64)
+
+
+def fingerprint(text: str | None, shingle: int = 3) -> int:
+    """Unsigned 64-bit SimHash of a text's word shingles, repeats included; 0 without words."""
+    if not (text or "").encode("utf-8", "surrogatepass").split():
+        return 0
+    hashes = shingle_hashes(text, shingle)
     by_byte = hashes.view(np.uint8).reshape(-1, 8)
     out = 0
     for j in range(8):
