@@ -1,7 +1,7 @@
 """Secret scan by token efficiency.
 
 Random strings take many tokens: a string with few characters per token under a vocabulary learned from prose is
-reported, after known digests (hex of usual lengths) and identifiers (UUIDs, plain words, numbers, dates, addresses)
+reported, after known digests (hex of usual lengths) and identifiers (UUIDs, numbers, dates, words that the vocabulary knows)
 are set aside. Three fixed patterns (assignments, access keys, hex runs) are always reported beside it.
 """
 
@@ -22,12 +22,13 @@ ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:
 ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")
 HEX = re.compile(r"[0-9a-f]{32,}")
 #: A candidate string: unbroken, from the alphabets that keys are written in.
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 UUID = re.compile(r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}")
 #: Hex lengths of common digests.
 DIGEST_CHARS = (32, 40, 56, 64, 96, 128)
 #: Parts of an identifier: words, numbers, camel case, joined by _ - / or =.
 IDENTIFIER = re.compile(r"(?:[A-Z]?[a-z]+|[A-Z]+|[0-9]+)(?:[-_/=]+(?:[A-Z]?[a-z]+|[A-Z]+|[0-9]+))*[-_/=]*")
+LETTERS = re.compile(r"[A-Za-z]+")
 
 
 def default_vocabulary() -> str:
@@ -47,13 +48,19 @@ def load(path: str):
     return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-def _known(s: str) -> bool:
-    """A digest or identifier, which is not reported."""
+def _known(s: str, encoding, max_chars_per_token: float) -> bool:
+    """A digest, number or identifier of words that the vocabulary knows, which is not reported."""
     core = s.strip("-_=/+")
     if UUID.fullmatch(core) or len(core) in DIGEST_CHARS and re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", core):
         return True
-    classes = any(c.isdigit() for c in core) + any("a" <= c <= "z" for c in core) + any("A" <= c <= "Z" for c in core)
-    return classes < 2 or bool(IDENTIFIER.fullmatch(core))
+    # Strings of one class are judged by their tokens like all others, but for numbers and dates.
+    return bool(IDENTIFIER.fullmatch(core)) and all(_word(w.lower(), encoding, max_chars_per_token) for w in LETTERS.findall(core))
+
+
+def _word(w: str, encoding, max_chars_per_token: float) -> bool:
+    """A word of one token, or of few for its length, at the start of a text or after a space."""
+    n = min(len(encoding.encode_ordinary(w)), len(encoding.encode_ordinary(" " + w)))
+    return n == 1 or len(w) / n >= max_chars_per_token
 
 
 def spans(text: str | None, encoding, max_chars_per_token: float = 2.2) -> list[tuple[int, int, str]]:
@@ -67,9 +74,9 @@ def spans(text: str | None, encoding, max_chars_per_token: float = 2.2) -> list[
     found += [(m.start(), m.end(), 2) for m in HEX.finditer(text)]
     base = list(found)
     for m in CANDIDATE.finditer(text):
-        if any(a < m.end() and m.start() < b for a, b, _ in base) or _known(m[0]):
+        if any(a < m.end() and m.start() < b for a, b, _ in base):
             continue
-        if len(m[0]) / len(encoding.encode_ordinary(m[0])) < max_chars_per_token:
+        if len(m[0]) / len(encoding.encode_ordinary(m[0])) < max_chars_per_token and not _known(m[0], encoding, max_chars_per_token):
             found.append((m.start(), m.end(), 3))
     return [(a, b, KINDS[k]) for a, b, k in sorted(found, key=lambda x: (x[0], x[2], x[1]))]
 

@@ -47,6 +47,21 @@ def test_random_strings_and_known_ones():
     assert not S.spans("A" * 5000 + " supercalifragilisticexpialidocious and /usr/local/lib/python/site-packages", encoding)
 
 
+def test_random_strings_by_length_and_alphabet():
+    encoding, rnd = S.load(S.default_vocabulary()), random.Random(1)
+    low, up, digits = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+
+    def found(make, n=100):
+        return sum(any(k == "random" for _, _, k in S.spans(f"so {make()} it is", encoding)) for _ in range(n))
+
+    for alphabet in (low, up, low + digits, up + digits, low + up + digits):
+        for length in (16, 17, 18, 19, 20, 32, 40):
+            assert found(lambda a=alphabet, n=length: "".join(rnd.choices(a, k=n))) >= 95, (alphabet, length)
+    assert found(lambda: "-".join("".join(rnd.choices(up, k=5)) for _ in range(5))) >= 95
+    for s in ("internationalization", "known-words-in-lower-case", "KNOWN_WORDS_OF_A_CONSTANT", "4929-1234-5678-9012-3456", "1234567890123456", "2024-01-01-12-00-00", "9233A8ECF7C5B09FE5949719B6B82BC439E9329B"):
+        assert not S.spans(f"so {s} it is", encoding), s
+
+
 def test_secret_odd_rows(odd, empty, clashing, spark):
     got = S.digests(S.scan(odd))
     assert got.count() == odd.count() and S.scan(empty).count() == 0
