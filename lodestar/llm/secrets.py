@@ -22,7 +22,8 @@ ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:
 ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")
 HEX = re.compile(r"[0-9a-f]{32,}")
 #: A candidate string: unbroken, from the alphabets that keys are written in.
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+LEAST_CHARS = 16
+CANDIDATE = re.compile(rf"[A-Za-z0-9+/_=-]{{{LEAST_CHARS},}}")
 UUID = re.compile(r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}")
 #: Hex lengths of common digests.
 DIGEST_CHARS = (32, 40, 56, 64, 96, 128)
@@ -63,6 +64,15 @@ def _word(w: str, encoding, max_chars_per_token: float) -> bool:
     return n == 1 or len(w) / n >= max_chars_per_token
 
 
+def _outside(start: int, end: int, taken: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """The pieces of start to end that no span of taken covers."""
+    out = []
+    for a, b, _ in sorted(x for x in taken if x[0] < end and start < x[1]):
+        out.append((start, a))
+        start = max(start, b)
+    return [(a, b) for a, b in [*out, (start, end)] if a < b]
+
+
 def spans(text: str | None, encoding, max_chars_per_token: float = 2.2) -> list[tuple[int, int, str]]:
     """(start, end, kind) in code points, by start and then kind."""
     text = text or ""
@@ -74,10 +84,10 @@ def spans(text: str | None, encoding, max_chars_per_token: float = 2.2) -> list[
     found += [(m.start(), m.end(), 2) for m in HEX.finditer(text)]
     base = list(found)
     for m in CANDIDATE.finditer(text):
-        if any(a < m.end() and m.start() < b for a, b, _ in base):
-            continue
-        if len(m[0]) / len(encoding.encode_ordinary(m[0])) < max_chars_per_token and not _known(m[0], encoding, max_chars_per_token):
-            found.append((m.start(), m.end(), 3))
+        for start, end in _outside(m.start(), m.end(), base):
+            s = text[start:end]
+            if end - start >= LEAST_CHARS and len(s) / len(encoding.encode_ordinary(s)) < max_chars_per_token and not _known(s, encoding, max_chars_per_token):
+                found.append((start, end, 3))
     return [(a, b, KINDS[k]) for a, b, k in sorted(found, key=lambda x: (x[0], x[2], x[1]))]
 
 
@@ -85,7 +95,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabu
     """(doc_id, spans array<struct<kind, start, end>>) of every row of docs, in one pass without a shuffle.
 
     Offsets are code points, end exclusive, sorted by start and then in the order of KINDS. Null and empty texts have no
-    spans. A candidate of the token test that overlaps a span of a fixed pattern is part of that finding. Repeated rows come out
+    spans. Of a candidate of the token test, what no span of a fixed pattern covers is tested. Repeated rows come out
     alike. An empty table gives an empty result. vocabulary is a tiktoken rank file that every executor has at that path.
     Other columns are not looked at.
     """
