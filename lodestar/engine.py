@@ -123,7 +123,9 @@ class Engine:
     # Questions ----------------------------------------------------------------------------------------------------
 
     def _groups(self) -> DataFrame:
-        return U.synonym_groups(U.synonym_pairs(self.spark, self.synonyms))
+        """Of the dictionary, and then of each service's name with its aliases."""
+        known = U.DOMAIN_SYNONYMS if self.synonyms is None else self.synonyms
+        return U.synonym_groups(U.synonym_pairs(self.spark, known).unionByName(U.kb_synonym_pairs(self.kb, len(known))))
 
     def scores(self, batch: DataFrame, now: float, mode: str = "hybrid") -> DataFrame:
         """All services scored for each query (query_id, user_id, text)."""

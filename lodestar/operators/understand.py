@@ -106,8 +106,10 @@ def synonym_pairs(spark: SparkSession, dictionary: dict[str, list[str]] | None =
 
 
 def kb_synonym_pairs(kb: DataFrame, offset: int = 0) -> DataFrame:
-    """A service's name and aliases as a group, registered after offset others."""
-    return kb.select((F.col("ord") + offset).cast("int").alias("ord"), F.lower("service_name").alias("canonical"), F.explode(F.transform(F.concat(F.array("service_name"), F.col("aliases")), F.lower)).alias("word"))
+    """A service's name and aliases as a group, registered after offset others. Blank words are left out."""
+    words = F.concat(F.array("service_name"), F.coalesce("aliases", F.array().cast("array<string>")))
+    pairs = kb.select((F.col("ord") + offset).cast("long").alias("ord"), F.lower("service_name").alias("canonical"), F.explode(F.transform(words, F.lower)).alias("word"))
+    return pairs.where("word <> ''")
 
 
 def synonym_groups(pairs: DataFrame, max_rounds: int = 50) -> DataFrame:

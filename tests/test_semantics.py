@@ -251,6 +251,19 @@ def test_engine_scenario(spark, tmp_path):
     assert {(r.version_id, r.active) for r in e.versions().collect()} == {("v1", True), ("v2", False)} and e.embedding_status().first().missing == 0
 
 
+def test_engine_takes_synonyms_from_the_catalog(spark, tmp_path):
+    e = Engine(spark, str(tmp_path))
+    raw = S.catalog(spark, SF).where("ord < 5").withColumn("aliases", F.when(F.col("ord") == 2, F.array(F.lit("Zzalias"), F.lit(""))).otherwise(F.array(F.lit(""))))
+    e.import_catalog(raw, "v1")
+    name = raw.where("ord = 2").first().service_name.lower()
+    groups = e._groups()
+    canonical = {r.word: r.canonical for r in groups.collect()}
+    assert canonical["zzalias"] == canonical[name] == name and "" not in canonical and canonical["账户"] == "资金"
+    q = spark.createDataFrame([(1, "zzalias")], "query_id long, text string")
+    assert U.normalize(q, groups).first().normalized == name
+    assert name in {r.token for r in U.expand(q.select("query_id", F.col("text").alias("token")), groups).collect()}
+
+
 def test_engine_logs_and_routes(spark, tmp_path):
     e = Engine(spark, str(tmp_path))
     e.import_catalog(S.catalog(spark, SF).where("ord < 50"), "v1")
