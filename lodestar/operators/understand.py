@@ -112,15 +112,15 @@ def kb_synonym_pairs(kb: DataFrame, offset: int = 0) -> DataFrame:
     return pairs.where("word <> ''")
 
 
-def synonym_groups(pairs: DataFrame, max_rounds: int = 50) -> DataFrame:
+def synonym_groups(pairs: DataFrame) -> DataFrame:
     """(word, group_id, canonical): groups that share a word are one; its canonical word is that of the first registered.
 
     Minimum labels are passed between words and groups until nothing changes. Dictionaries are small next to data, but
-    each round is a join, and its result is checkpointed.
+    each round is a join, and its result is checkpointed. A chain of n groups takes n rounds.
     """
     edges = pairs.select("ord", "word").distinct().persist()
     labels = edges.select("ord").distinct().withColumn("root", F.col("ord"))
-    for _ in range(max_rounds):
+    while True:
         by_word = edges.join(labels, "ord").groupBy("word").agg(F.min("root").alias("root"))
         new = edges.join(by_word, "word").groupBy("ord").agg(F.min("root").alias("root")).checkpoint()
         changed = new.join(labels.withColumnRenamed("root", "old"), "ord").where("root <> old").limit(1).count()

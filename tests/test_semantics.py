@@ -251,6 +251,12 @@ def test_engine_scenario(spark, tmp_path):
     assert {(r.version_id, r.active) for r in e.versions().collect()} == {("v1", True), ("v2", False)} and e.embedding_status().first().missing == 0
 
 
+def test_synonym_chain_of_more_than_fifty_groups(spark):
+    chain = spark.createDataFrame([(i, f"c{i}", w) for i in range(56) for w in (f"c{i}", f"c{i + 1}")], "ord int, canonical string, word string").coalesce(1)
+    got = U.synonym_groups(chain).collect()
+    assert len(got) == 57 and {(r.group_id, r.canonical) for r in got} == {(0, "c0")}
+
+
 def test_engine_takes_synonyms_from_the_catalog(spark, tmp_path):
     e = Engine(spark, str(tmp_path))
     raw = S.catalog(spark, SF).where("ord < 5").withColumn("aliases", F.when(F.col("ord") == 2, F.array(F.lit("Zzalias"), F.lit(""))).otherwise(F.array(F.lit(""))))
