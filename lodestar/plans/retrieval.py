@@ -135,6 +135,13 @@ def vector_topk(spark, sf):
     return V.top_k(e.where("id < 10").withColumnRenamed("id", "query_id"), e, 20)
 
 
+@query("vector_search")
+def vector_search(spark, sf):
+    """vector_topk over the stated query set, every id divisible by 100; its SQL has ten queries."""
+    e = S.table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
+    return V.top_k(e.where("id % 100 = 0").withColumnRenamed("id", "query_id"), e, 20)
+
+
 @query("related_services", "WITH s AS (SELECT q.vec_id AS query_id, r.vec_id AS id, round(greatest(0, list_cosine_similarity(q.embedding::DOUBLE[], r.embedding::DOUBLE[])), 6) AS cosine FROM embeddings q JOIN embeddings r ON q.vec_id <> r.vec_id) SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, id) AS rank FROM s QUALIFY rank <= 3")
 def related_services(spark, sf):
     e = S.table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))

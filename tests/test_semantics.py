@@ -11,6 +11,7 @@ from lodestar.engine import FACTS, Engine
 from lodestar.functions import text as T
 from lodestar.operators import bm25 as B
 from lodestar.operators import dcn, kb as K, logs as L, monitor as M, normalize as N, rank as R, retrieve, session as E, signals as G, understand as U, vector as V
+from lodestar.plans import all_queries
 from lodestar.sources import tables as S
 
 SF = "/root/testdata/sf0.001"
@@ -251,6 +252,32 @@ def test_engine_scenario(spark, tmp_path):
     assert {(r.version_id, r.active) for r in e.versions().collect()} == {("v1", True), ("v2", False)} and e.embedding_status().first().missing == 0
 
 
+def brute_topk(ids, x, queries, k):
+    x = x / np.linalg.norm(x, axis=1, keepdims=True)
+    out = {}
+    for q in queries:
+        s = np.maximum(np.round(x @ x[ids.index(q)], 6), 0)
+        out[q] = [(ids[i], s[i]) for i in sorted(range(len(ids)), key=lambda i: (-s[i], ids[i]))[:k]]
+    return out
+
+
+def test_vector_search_takes_every_hundredth_row(spark):
+    e = spark.read.parquet(f"{SF}/embeddings.parquet").select("vec_id", "embedding").orderBy("vec_id").collect()
+    ids, x = [r.vec_id for r in e], np.array([r.embedding for r in e], dtype=np.float64)
+    frame = spark.createDataFrame([(r.vec_id, r.embedding) for r in e], "id long, vec array<double>")
+    few = {i for i in ids if i % 100 == 0}
+    assert len(few) > 1
+    blocked = V.top_k(frame.withColumnRenamed("id", "query_id"), frame, 20, block=100)  # many blocks on both sides
+    for got, queries in ((all_queries.QUERIES["vector_search"](spark, SF), few), (blocked, set(ids))):
+        by = {}
+        for r in got.collect():
+            by.setdefault(r.query_id, []).append((r["rank"], r.id, r.cosine))
+        assert set(by) == queries
+        for q, want in brute_topk(ids, x, queries, 20).items():
+            have = sorted(by[q])
+            assert [c for _, _, c in have] == pytest.approx([c for _, c in want], abs=2e-6) and len({i for _, i, _ in have}) == 20
+
+
 def test_synonym_chain_of_more_than_fifty_groups(spark):
     chain = spark.createDataFrame([(i, f"c{i}", w) for i in range(56) for w in (f"c{i}", f"c{i + 1}")], "ord int, canonical string, word string").coalesce(1)
     got = U.synonym_groups(chain).collect()
