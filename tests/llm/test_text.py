@@ -109,12 +109,29 @@ def test_bpe_random_texts(pair):
 
 
 def test_bpe_cache_turnover(pair, monkeypatch):
-    monkeypatch.setattr(B, "CACHE_WORDS", 3)
+    monkeypatch.setattr(B, "CACHE_BYTES", 500)
     fresh = B.WordBpe(B.default_vocabulary())
     check((fresh, pair[1]), ["one two three four five", "one six seven", "two one eight nine ten"])
     check((fresh, pair[1]), ["five four nine", "one"])
 
 
+def test_bpe_long_words_and_shared_prefixes(pair):
+    """Words around the room of a batch's arrays, longer ones, and many branches below shared prefixes."""
+    rnd = random.Random(4)
+    for n in (1, 7, 8, 9, 16, 63, 64, 65, 200, 4095, 4096, 4097, 9000):
+        check(pair, ["".join(rnd.choice("abéß日ing") for _ in range(n)), "x" * n])
+    stems = ["".join(rnd.choice("aeinrst") for _ in range(rnd.randint(1, 12))) for _ in range(40)]
+    check(pair, [" ".join(rnd.choice(stems) + rnd.choice(stems)[: rnd.randint(0, 6)] for _ in range(200)) for _ in range(50)])
+
+
+def test_bpe_decodes_from_ids(pair):
+    import numpy as np
+
+    ids = np.array([0, 5, 49407, 300], np.int32)
+    got = pair[0].decode_arrays(ids, np.array([0, 2, 2, 4])).to_pylist()
+    assert got == [pair[1].decode(x, skip_special_tokens=False) for x in ([0, 5], [], [49407, 300])]
+
+
 def test_bpe_frames(odd, empty, clashing):
     got = B.digests(B.encode(odd))
     assert got.count() == odd.count() and B.encode(empty).count() == 0
