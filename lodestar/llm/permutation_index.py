@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import stored
-from .training import thinned
+from .training import sample
 
 PIVOTS = 128
 #: Rows that pivots are drawn from, at most (about).
@@ -99,9 +99,9 @@ def search(
     square = F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)
     stats = own.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n"), F.count_if("asks").alias("asks"), F.max(square).alias("longest")).collect()
     longest = {r.d: r.longest for r in stats}
-    sample = sorted((r[0], r[1], r[2]) for r in thinned(own, "id", PIVOT_SAMPLE, "pivots").select(F.xxhash64("id"), "id", "v").collect())
+    drawn = sorted((r[0], r[1], r[2]) for r in sample(own, "id", "v", PIVOT_SAMPLE, "pivots").select(F.xxhash64("id"), "id", "v").collect())
     chosen = {}
-    for d, p in choose_pivots([(i, v) for _, i, v in sample], pivots).items():
+    for d, p in choose_pivots([(i, v) for _, i, v in drawn], pivots).items():
         chosen[d] = np.hstack([p, np.sqrt(np.maximum(longest[d] - (p * p).sum(1), 0))[:, None]])
     # Blocks by a hash of the id, as many as the rows ask for. The numbers of blocks are scalars of each dimension.
     blocks = {r.d: (max(1, math.ceil(r.n / ROW_BLOCK)), max(1, math.ceil(r.asks / QUERY_BLOCK))) for r in stats}

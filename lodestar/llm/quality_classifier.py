@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import text_batches
-from .training import fold, labelled_ids, thinned
+from .training import fold, labelled_rows, sample
 
 #: Positives, and unlabelled documents, that the model is fitted on, at most (about).
 MAX_POSITIVES = 8_000
@@ -122,14 +122,17 @@ def sampled_features(rows: DataFrame) -> np.ndarray:
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", positives: int = MAX_POSITIVES, unlabelled: int = MAX_UNLABELLED) -> Model:
     """A model from the good rows outside the held-out fold, and from a sample of all documents without their labels.
 
-    The sample is of the whole corpus, trained positives included, so that the prior is the share of good ones in it.
+    The sample is of the whole corpus, trained positives included, so that the prior is the share of good ones in it. At most
+    about `positives` and `unlabelled` documents are drawn; of documents that share an id one is a positive, and repeated rows
+    are one unlabelled document. Null ids and null labels are no positives, null texts are empty. Without positives or
+    documents every score is the prior, and without labels that is one half.
     """
     learn = fold(F.col(id_col), FOLDS) != HELD_OUT
     shares = labels.where(learn & F.col(label_col).isNotNull()).agg(F.avg((F.col(label_col) == 1).cast("double"))).first()[0]
     prior = min(max(shares if shares is not None else 0.5, 0.02), 0.98)
-    texts = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).alias("__text"))
-    good = texts.join(labelled_ids(labels, label_col, learn & (F.col(label_col) == 1), positives, id_col), "__id", "left_semi")
-    return fit(sampled_features(good), sampled_features(thinned(texts, "__id", unlabelled, "unlabelled")), prior)
+    texts = docs.select(F.col(id_col).cast("long").alias("__id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("__text"))
+    good = labelled_rows(docs, labels, label_col, learn & (F.col(label_col) == 1), positives, id_col, text_col)
+    return fit(sampled_features(good), sampled_features(sample(texts, "__id", "__text", unlabelled, "unlabelled")), prior)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -149,7 +152,11 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
 
 def keep_good(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of docs with a score of threshold or more, columns unchanged."""
+    """The rows of docs with a score of threshold or more, columns unchanged, in one pass without a shuffle.
+
+    A score of exactly the threshold stays. Null and empty texts have the score of no words. Repeated rows stay or go
+    together. An empty table gives an empty result. Other columns, of any name, are passed on.
+    """
     text_batches(docs.sparkSession)
     at = docs.columns.index(text_col)
 

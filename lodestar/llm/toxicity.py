@@ -16,11 +16,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_batches
-from .training import fold, labelled_texts
+from .common import stored, text_batches
+from .training import fold, labelled_rows
 
 #: Labelled documents that the model is fitted on, at most (about).
 MAX_TRAINING_DOCS = 12_000
+#: Words and beginnings of words that a model has at most: those that tell most.
 MAX_WORDS = 4_000
 FOLDS = 5
 
@@ -65,48 +66,65 @@ class Model:
         return 1 - math.exp(-calm), found
 
 
-def fit(rows: list[tuple[str, int]], steps: int = 300, rate: float = 0.15, decay: float = 5e-5, most_words: int = MAX_WORDS) -> Model:
+def least_documents(n1: int) -> int:
+    """In how many of n1 toxic documents a word occurs at least if it gets a weight."""
+    return max(4, n1 // 100)
+
+
+def lift(toxic: int, other: int, n1: int, n0: int) -> float:
+    """How many times as often a word occurs in toxic documents as in others."""
+    return (toxic + 0.5) / (n1 + 1) / ((other + 0.5) / (n0 + 1))
+
+
+def choose(seen: list[tuple[str, int, int]], n1: int, n0: int, most_words: int) -> list[str]:
+    """The words of seen (word, toxic documents, other documents) that get a weight, the most telling ones first."""
+    told = [(w, k, lift(k, other, n1, n0)) for w, k, other in seen if k >= least_documents(n1)]
+    return [w for w, k, x in sorted(told, key=lambda r: (-math.log(r[2]) * r[1], r[0])) if x > 5][:most_words]
+
+
+def bag(text: str, index: dict[str, int]) -> tuple[list[list[int]], int]:
+    """(features of each sentence that has some, number of the other sentences)."""
+    out, quiet = [], 0
+    for s in SENTENCE.findall(text.lower()):
+        if known := units(set(WORD.findall(s))) & index.keys():
+            out.append(sorted(index[w] for w in known))
+        else:
+            quiet += 1
+    return out, quiet
+
+
+def fit(rows: list[tuple[str, int]], most_words: int = MAX_WORDS) -> Model:
     """A model from (text, label) rows. Words that occur in few toxic documents, or hardly more often there than
     elsewhere, get no weight. Without rows of both labels the model has no words and scores (nearly) the base rate."""
+    toxic, other = (Counter(u for t, y in rows if (y == 1) == one for u in units(set(WORD.findall(t.lower())))) for one in (True, False))
     n1 = sum(y == 1 for _, y in rows)
-    n0 = len(rows) - n1
-    if not n1 or not n0:
-        return Model({}, -20.0 if not n1 else 5.0)
-    least = max(4, n1 // 100)
-    seen: Counter = Counter()
-    for t, y in rows:
-        if y == 1:
-            seen.update(units(set(WORD.findall(t.lower()))))
-    seen = Counter({w: k for w, k in seen.items() if k >= least})
-    elsewhere: Counter = Counter()
-    for t, y in rows:
-        if y != 1:
-            elsewhere.update(units(set(WORD.findall(t.lower()))) & seen.keys())
-    lift = {w: (k + 0.5) / (n1 + 1) / ((elsewhere[w] + 0.5) / (n0 + 1)) for w, k in seen.items()}
-    chosen = sorted((w for w, x in lift.items() if x > 5), key=lambda w: (-math.log(lift[w]) * seen[w], w))[:most_words]
+    chosen = choose([(w, k, other[w]) for w, k in toxic.items()], n1, len(rows) - n1, most_words)
     index = {w: i for i, w in enumerate(chosen)}
-    doc, quiet, feature, sentence = [], np.zeros(len(rows)), [], []
-    for d, (t, _) in enumerate(rows):
-        for s in SENTENCE.findall(t.lower()):
-            if known := units(set(WORD.findall(s))) & index.keys():
-                feature += [index[w] for w in sorted(known)]
-                sentence += [len(doc)] * len(known)
-                doc.append(d)
-            else:
-                quiet[d] += 1
-    doc, feature, sentence = np.array(doc, np.int64), np.array(feature, np.int64), np.array(sentence, np.int64)
-    y = np.array([y for _, y in rows], np.float64)
+    return optimised(chosen, [(*bag(t, index), y) for t, y in rows])
+
+
+def optimised(chosen: list[str], bags: list[tuple[list[list[int]], int, int]], steps: int = 300, rate: float = 0.15, decay: float = 5e-5) -> Model:
+    """The model of least loss for bags of (features by sentence, number of other sentences, label)."""
+    n1 = sum(y == 1 for *_, y in bags)
+    if not n1 or n1 == len(bags):
+        return Model({}, -20.0 if not n1 else 5.0)
+    doc = [d for d, (found, _, _) in enumerate(bags) for _ in found]
+    feature = [f for found, _, _ in bags for s in found for f in s]
+    sentence = np.repeat(np.arange(len(doc)), [len(s) for found, _, _ in bags for s in found])
+    quiet = np.array([q for _, q, _ in bags], np.float64)
+    doc, feature, sentence = np.array(doc, np.int64), np.array(feature, np.int64), sentence.astype(np.int64)
+    y = np.array([y == 1 for *_, y in bags], np.float64)
     w = np.full(len(chosen), 2.0)
     theta = np.concatenate([w, [-6.0]])
     m, v = np.zeros_like(theta), np.zeros_like(theta)
     for step in range(1, steps + 1):
         z = np.bincount(sentence, theta[feature], minlength=len(doc)) + theta[-1]
         p, p0 = 1 / (1 + np.exp(-z)), 1 / (1 + np.exp(-theta[-1]))
-        calm = np.bincount(doc, np.logaddexp(0, z), minlength=len(rows)) + quiet * np.logaddexp(0, theta[-1])
+        calm = np.bincount(doc, np.logaddexp(0, z), minlength=len(bags)) + quiet * np.logaddexp(0, theta[-1])
         toxic = np.clip(-np.expm1(-calm), 1e-9, 1)
         pull = np.where(y == 1, -np.exp(-calm) / toxic, 1.0)  # of the loss by each sentence's score, over that score
         by_sentence = p * pull[doc]
-        grad = np.concatenate([np.bincount(feature, by_sentence[sentence], minlength=len(chosen)), [by_sentence.sum() + p0 * (quiet * pull).sum()]]) / len(rows)
+        grad = np.concatenate([np.bincount(feature, by_sentence[sentence], minlength=len(chosen)), [by_sentence.sum() + p0 * (quiet * pull).sum()]]) / len(bags)
         grad[:-1] += decay * theta[:-1]
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
         theta -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
@@ -133,9 +151,42 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("t")).mapInArrow(run, "doc_id long, score double, sentences array<struct<start:int,end:int,score:double>>")
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most: int = MAX_TRAINING_DOCS) -> Model:
-    """A model from the labels outside the held-out fold."""
-    return fit(labelled_texts(docs, labels, label_col, fold(F.col(id_col), FOLDS) != 0, most, id_col, text_col))
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most: int = MAX_TRAINING_DOCS, most_words: int = MAX_WORDS) -> Model:
+    """A model from the labels outside the held-out fold: of about `most` labelled documents at most, with most_words words
+    and beginnings at most.
+
+    Words are counted and looked up on the executors; the driver gets counts of the words that toxic documents have often,
+    and numbers for the sentences that have chosen ones, but no text. Of rows that repeat an id one counts, in labels that
+    with the smallest label. Null ids and null labels are left out, null texts are empty. An empty table, or labels of one
+    kind alone, give a model without words.
+    """
+    text_batches(docs.sparkSession)
+    rows = stored(labelled_rows(docs, labels, label_col, fold(F.col(id_col), FOLDS) != 0, most, id_col, text_col).select("__id", "__text", "__label"), "labelled")
+    n, n1 = rows.agg(F.count("*"), F.count_if(F.col("__label") == 1)).first()
+
+    def counted(batches):
+        for b in batches:
+            toxic, other = Counter(), Counter()
+            for t, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                (toxic if y == 1 else other).update(units(set(WORD.findall(t.lower()))))
+            words = [*toxic, *(other.keys() - toxic.keys())]
+            yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array([toxic[w] for w in words], pa.int64()), pa.array([other[w] for w in words], pa.int64())], names=["w", "toxic", "other"])
+
+    by_word = rows.select("__text", "__label").mapInArrow(counted, "w string, toxic long, other long").groupBy("w").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
+    more = (F.col("toxic") + 0.5) / F.lit(n1 + 1) > 5 * (F.col("other") + 0.5) / F.lit(n - n1 + 1)
+    often = by_word.where((F.col("toxic") >= least_documents(n1)) & more)
+    telling = often.orderBy(F.desc(F.log((F.col("toxic") + 0.5) / (F.col("other") + 0.5)) * F.col("toxic")), "w").limit(2 * most_words)
+    chosen = choose([tuple(r) for r in telling.collect()], n1, n - n1, most_words)
+    index = {w: i for i, w in enumerate(chosen)}
+    kind = pa.list_(pa.list_(pa.int32()))
+
+    def bagged(batches):
+        for b in batches:
+            got = [bag(t, index) for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([g[0] for g in got], kind), pa.array([g[1] for g in got], pa.int64()), b.column(2)], names=["id", "found", "quiet", "label"])
+
+    bags = rows.mapInArrow(bagged, "id long, found array<array<int>>, quiet long, label int").collect()
+    return optimised(chosen, [(r.found, r.quiet, r.label) for r in sorted(bags, key=lambda r: r.id)])
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -19,11 +19,60 @@ def test_fold(spark):
     assert [r[0] for r in df.select(training.fold(F.col("i"), 5)).collect()] == [zlib.crc32(b"1") % 5, zlib.crc32(b"77") % 5, 0]
 
 
-def test_thinned_bound_and_repeatability(spark):
-    df = spark.range(20_000).withColumnRenamed("id", "i")
-    a = rows(training.thinned(df, "i", 1_000, "x"))
-    assert 800 < len(a) < 1_200 and a == rows(training.thinned(df, "i", 1_000, "x"))
-    assert training.thinned(df.limit(10), "i", 1_000, "x").count() == 10
+def test_sample_bound_and_repeatability(spark):
+    df = spark.range(20_000).select(F.col("id").alias("i"), F.lit("x").alias("t"))
+    a = rows(training.sample(df, "i", "t", 1_000, "x"))
+    assert 800 < len(a) < 1_200 and a == rows(training.sample(df, "i", "t", 1_000, "x"))
+    assert training.sample(df.limit(10), "i", "t", 1_000, "x").count() == 10
+
+
+def test_sample_of_odd_tables(spark):
+    """Null ids, one id, repeated ids, repeated rows, and a hot id with a third of the rows: neither empty nor over the bound."""
+    base = spark.range(30_000)
+    text = F.concat(F.lit("t"), F.col("id"))
+    ids = {"null": F.lit(None).cast("long"), "one": F.lit(7), "repeated": F.col("id") % 150, "hot": F.when(F.col("id") % 3 == 0, 5).otherwise(F.col("id"))}
+    for name, i in ids.items():
+        assert 750 < training.sample(base.select(i.alias("i"), text.alias("t")), "i", "t", 1_000, "x").count() < 1_500, name
+    same = base.select(F.lit(7).alias("i"), F.lit("same").alias("t"))
+    assert training.sample(same, "i", "t", 1_000, "x").count() == 1
+    few = base.select((F.col("id") % 150).alias("i"), F.lit("same").alias("t"))
+    assert training.sample(few, "i", "t", 100, "x").count() in range(60, 150)
+
+
+def test_sample_at_any_size(spark, monkeypatch):
+    """At 1e11 rows the limit still lets the wanted share through."""
+    for n in (10**6, 2 * 10**10, 10**11, 10**15):
+        assert abs(training.limit_of(12_000, n) / training.HASHES * n / 12_000 - 1) < 0.01
+    df = spark.range(200_000).select(F.col("id").alias("i"), F.lit("x").alias("t"))
+    monkeypatch.setattr(training, "sizes", lambda rows, id_col: (10**11, 10**11))
+    assert 700 < training.sample(df, "i", "t", 5 * 10**8, "x").count() < 1_300
+
+
+def test_labelled_rows_are_bounded(spark):
+    """Each id has 200 rows: one of them counts."""
+    docs = spark.range(40_000).select((F.col("id") % 200).alias("doc_id"), F.concat(F.lit("text "), F.col("id")).alias("text"))
+    labels = spark.range(200).select(F.col("id").alias("doc_id"), (F.col("id") % 2).cast("int").alias("toxic"))
+    got = training.labelled_rows(docs, labels, "toxic", F.lit(True), 100, "doc_id", "text")
+    assert 60 < got.count() <= 150 and rows(got) == rows(got) and got.select("__id").distinct().count() == got.count()
+
+
+def test_toxicity_training_equals_local_fit(spark):
+    """Counted and looked up on the executors, the model is the one that fit() makes from the same texts."""
+    data = [(i, f"Some plain words here. You are a {w} person. More plain words number {i % 7}.", y) for i, (w, y) in enumerate([("clod", 1), ("lout", 1), ("good", 0), ("fine", 0), ("kind", 0), ("calm", 0)] * 30)]
+    df = spark.createDataFrame(data, "doc_id long, text string, toxic int").repartition(3)
+    got = T.train(df, df.select("doc_id", "toxic"))
+    want = T.fit([(t, y) for i, t, y in data if zlib.crc32(str(i).encode()) % 5])
+    assert got.weights.keys() == want.weights.keys() and all(abs(got.weights[w] - want.weights[w]) < 1e-6 for w in want.weights) and abs(got.bias - want.bias) < 1e-6
+
+
+def test_scores_at_the_threshold(spark):
+    """A score of exactly 0.5 or 0.7 counts as reached."""
+    m = T.Model({"even": 0.0}, 0.0)  # one sentence, logit 0
+    df = spark.createDataFrame([(1, "even"), (2, "")], "doc_id long, text string")
+    assert [r.score for r in T.score(df, m).orderBy("doc_id").collect()] == [0.5, 0.0]
+    assert [[tuple(x) for x in r.sentences] for r in T.score(df, m).orderBy("doc_id").collect()] == [[(0, 4, 0.5)], []]
+    flat = Q.Model(np.zeros(16), np.ones(16), (np.zeros((16, 1)), np.zeros(1), np.zeros(1), 0.0))
+    assert Q.keep_good(df, flat, threshold=0.5).count() == 2 and Q.keep_good(df, flat, threshold=0.5000001).count() == 0
 
 
 def test_toxicity_held_out(spark):
