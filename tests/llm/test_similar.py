@@ -43,7 +43,7 @@ def check(texts, kept):
         assert any(j < i and jaccard(sets[i], sets[j]) >= 0.8 for j in texts), i
 
 
-def test_no_near_pair_stays_and_nothing_else_goes(spark):
+def test_no_near_pair_stays_and_nothing_else_goes(spark, monkeypatch):
     rnd = random.Random(9)
     base = [" ".join(f"w{rnd.randint(0, 3000)}" for _ in range(rnd.choice([3, 5, 6, 20, 60, 200]))) for _ in range(60)]
     data, _ = edited(base, 1)
@@ -55,12 +55,39 @@ def test_no_near_pair_stays_and_nothing_else_goes(spark):
     long = [f"l{i}" for i in range(6000)]
     data += [(len(data), " ".join(long)), (len(data) + 1, " ".join(long[:5000])), (len(data) + 2, " ".join(long[:4500]))]
     df = spark.createDataFrame(data, "doc_id long, text string").repartition(5)
-    for limit in (M.PAIRS_PER_ROW, 0):  # all pairs at once, or one text of each key after the other
-        M.PAIRS_PER_ROW, before = limit, M.PAIRS_PER_ROW
-        try:
-            check(dict(data), {r.doc_id for r in M.keep_dissimilar(df).collect()})
-        finally:
-            M.PAIRS_PER_ROW = before
+    found = []
+    for small, block in ((M.SMALL, M.BLOCK), (1, 256), (1, 3)):  # pairs of small keys, or all keys in blocks of texts
+        monkeypatch.setattr(M, "SMALL", small)
+        monkeypatch.setattr(M, "BLOCK", block)
+        found.append({r.doc_id for r in M.keep_dissimilar(df).collect()})
+        check(dict(data), found[-1])
+    assert found[0] == found[1] == found[2]
+
+
+def test_a_large_group_that_is_alike_but_not_near(spark, monkeypatch):
+    """Copies of an absent text, about 0.75 similar to each other, some of them near: more than one block of them."""
+    rnd = random.Random(3)
+    base = [f"w{i}" for i in range(150)]
+    data = []
+    for i in range(150):
+        words = list(base)
+        for at in rnd.sample(range(150), rnd.choice([2, 3, 4, 4, 5])):
+            words[at] = f"x{rnd.getrandbits(30)}"
+        data.append((i, " ".join(words)))
+    monkeypatch.setattr(M, "BLOCK", 40)
+    df = spark.createDataFrame(data, "doc_id long, text string").repartition(4)
+    kept = {r.doc_id for r in M.keep_dissimilar(df).collect()}
+    check(dict(data), kept)
+    assert 30 < len(kept) < 140
+
+
+def test_shared_counts():
+    import numpy as np
+
+    rnd = np.random.default_rng(0)
+    sets = [np.unique(rnd.integers(0, 9000, n)) for n in (0, 1, 50, 5000, 9000, 9000)]
+    got = M._shared(sets, sets[::-1])
+    assert got.tolist() == [[len(set(a.tolist()) & set(b.tolist())) for b in sets[::-1]] for a in sets]
 
 
 def test_stage_catches_near_copies(spark):
