@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -23,10 +24,13 @@ TEXT_BATCH_ROWS = 256
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share, as spark.checkpoint.dir names it.
 
-    Only where the setting is absent (local tests) is a temporary folder made and set.
+    Only where the setting is absent in local mode (tests) is a temporary folder made and set; on a cluster that is an error,
+    as executors do not see a folder of the driver.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         path = f"file://{tempfile.mkdtemp(prefix='lodestar-')}"
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -50,6 +54,25 @@ def text_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(TEXT_BATCH_ROWS))
 
 
+def quoted(name: str) -> Column:
+    """The column of that very name, dots and all."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def packed(docs: DataFrame, new: tuple[str, ...] = ()) -> tuple[Column, list[str]]:
+    """(all columns of docs in one struct named row, their names), but for those that new ones replace.
+
+    Inside the struct no name of the caller meets a name of an operator. Names are compared as Spark does, without case.
+    """
+    names = [c for c in docs.columns if c.lower() not in new]
+    return F.struct(*[quoted(c).alias(c) for c in names]).alias("row"), names
+
+
+def unpacked(names: list[str]) -> list[Column]:
+    """The columns of packed() again."""
+    return [F.col("row").getField(c).alias(c) for c in names]
+
+
 def ascii_lower(text: Column) -> Column:
     """A-Z to a-z and nothing else."""
     return F.translate(text, UPPER, LOWER)

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, SPACE_CHARS, ascii_lower, stored
+from .common import NULL_ID, SPACE_CHARS, ascii_lower, packed, quoted, stored, unpacked
 
 _OWN = ("__id", "__text_hash")
 #: Lines with more than this part of all occurrences of shared lines are broadcast; there cannot be more of them than this.
@@ -39,7 +39,7 @@ def verdicts(lines: DataFrame, shared: DataFrame) -> DataFrame:
     marked = lines.join(F.broadcast(hot), ["h1", "h2"], "left")
     # A row whose verdict is known goes anywhere: its key is replaced by one of its own.
     known = F.col("hot_first").isNotNull()
-    dealt = marked.withColumns({"h1": F.when(known, F.xxhash64("__id", "pos")).otherwise(F.col("h1"))})
+    dealt = marked.withColumns({"h1": F.when(known, F.xxhash64(*_OWN, "pos")).otherwise(F.col("h1"))})
     return dealt.join(shared.drop("n"), ["h1", "h2"], "left").withColumn("first", F.coalesce("hot_first", "first"))
 
 
@@ -51,13 +51,13 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     holds the key, where all of them stay. Other lines stay, joined by \\n; with none left the text is empty.
     Documents are told apart by id: rows that share an id are one document, repeated rows come out alike. A null id
     counts as one id smaller than all others. An empty table gives an empty result. Other columns are passed on;
-    those with the names of the new ones are replaced.
+    those with the names of the new ones, in any case, are replaced.
     """
-    keep = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    row, keep = packed(docs, ("n_lines", "n_dropped"))
+    text = F.coalesce(quoted(text_col).cast("string"), F.lit(""))
     keyed = docs.select(
-        *keep,
-        F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("__id"),
+        row,
+        F.coalesce(quoted(id_col).cast("long"), F.lit(NULL_ID)).alias("__id"),
         F.xxhash64(text).alias("__text_hash"),
         F.split(text, "\n", -1).alias("__lines"),
     )
@@ -70,7 +70,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     kept = F.array_except(F.sequence(F.lit(0), n - 1), dropped)
     new = F.when(F.col("__drops").isNull(), F.array_join("__lines", "\n")).otherwise(F.array_join(F.transform(kept, lambda i: F.get("__lines", i)), "\n"))
     return found.select(
-        *[new.alias(c) if c == text_col else F.col(c) for c in keep],
+        *[new.alias(c) if c == text_col else own for c, own in zip(keep, unpacked(keep), strict=True)],
         n.cast("long").alias("n_lines"), F.size(dropped).cast("long").alias("n_dropped"),
     )
 

@@ -14,7 +14,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored, words_of
+from .common import packed, quoted, stored, unpacked, words_of
 
 BLOCKS = 4_096
 #: Exponents tried in one job; four bits of the bisection each.
@@ -74,20 +74,23 @@ def mix(
     as a multiple of all tokens; with None it is the largest one that uses no source more than max_repeats times. A source's
     budget is met to within its last document. A null source is a source of its own. Rows without words (null and empty
     texts too) cost nothing: they are used as often as their source's whole passes, and once more in a block that is taken.
-    Repeated rows share a block. An empty table gives an empty result. Columns of docs with the names of the new ones are replaced.
+    Rows that repeat id, text and source are one document: they share a block, are used equally often, and are counted before
+    anything is ordered, so that no task holds them all. An empty table gives an empty result. Columns of docs with the names
+    of the new ones, in any case, are replaced; all others are passed on.
     """
-    keep = [c for c in docs.columns if c not in OUT]
+    row, keep = packed(docs, OUT)
     sized = docs.select(
-        *keep,
-        F.coalesce(F.concat(F.lit("="), F.col(source_col).cast("string")), F.lit("")).alias("__source"),
-        F.size(words_of(F.col(text_col).cast("string"))).cast("long").alias("mix_tokens"),
-        F.xxhash64(F.col(id_col).cast("string"), F.col(text_col).cast("string")).alias("__hash"),
-    ).withColumn("mix_block", F.pmod("__hash", F.lit(blocks)).cast("int"))
-    by_block = stored(sized.groupBy("__source", "mix_block").agg(F.sum("mix_tokens").alias("tokens")), "blocks")
-    sources = stored(by_block.groupBy("__source").agg(F.sum("tokens").alias("supply")), "sources")
+        row,
+        F.coalesce(F.concat(F.lit("="), quoted(source_col).cast("string")), F.lit("")).alias("source"),
+        F.size(words_of(quoted(text_col).cast("string"))).cast("long").alias("mix_tokens"),
+        F.xxhash64(quoted(id_col).cast("string"), quoted(text_col).cast("string")).alias("hash"),
+    ).withColumn("mix_block", F.pmod("hash", F.lit(blocks)).cast("int"))
+    units = stored(sized.groupBy("source", "mix_block", "hash").agg(F.sum("mix_tokens").alias("tokens")), "units")
+    by_block = stored(units.groupBy("source", "mix_block").agg(F.sum("tokens").alias("tokens")), "blocks")
+    sources = stored(by_block.groupBy("source").agg(F.sum("tokens").alias("supply")), "sources")
     total, n, smallest = sources.where("supply > 0").agg(F.sum("supply"), F.count("*"), F.min("supply")).first()
     total = total or 0
-    shares = sources.where("supply > 0").select("__source", "supply", (F.col("supply") / F.lit(float(total or 1))).alias("p"))
+    shares = sources.where("supply > 0").select("source", "supply", (F.col("supply") / F.lit(float(total or 1))).alias("p"))
     exponent, z, fraction = 0.0, 1.0, 0.0
     if n:
         least = smallest / total
@@ -95,20 +98,24 @@ def mix(
         ((z, _),) = moments(shares, [exponent])
         fraction = load if load is not None else (max_repeats or 1.0) * z / least ** (exponent - 1)
     weighted = shares.withColumn("weight", F.pow("p", F.lit(exponent)) / z).withColumn("budget", F.round(F.col("weight") * (fraction * total)).cast("long"))
-    plan = weighted.select("__source", "weight", F.floor(F.col("budget") / F.col("supply")).alias("passes"), (F.col("budget") % F.col("supply")).alias("rest"))
-    order = Window.partitionBy("__source").orderBy(F.xxhash64(F.lit(seed), "__source", "mix_block"), "mix_block")
+    plan = weighted.select("source", "weight", F.floor(F.col("budget") / F.col("supply")).alias("passes"), (F.col("budget") % F.col("supply")).alias("rest"))
+    order = Window.partitionBy("source").orderBy(F.xxhash64(F.lit(seed), "source", "mix_block"), "mix_block")
     placed = by_block.withColumns({"mix_order": F.row_number().over(order), "before": F.sum("tokens").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("tokens")})
-    told = placed.join(plan, "__source", "left").select("__source", "mix_block", "mix_order", F.coalesce("weight", F.lit(0.0)).alias("mix_weight"), F.coalesce("passes", F.lit(0)).alias("__passes"), (F.coalesce("rest", F.lit(0)) - F.col("before")).alias("__left"))
-    inside = Window.partitionBy("__source", "mix_block").orderBy(F.xxhash64(F.lit(seed), "__hash"), "__hash").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = sized.withColumn("__before", F.sum("mix_tokens").over(inside) - F.col("mix_tokens"))
-    out = rows.join(told, ["__source", "mix_block"])
-    copies = F.col("__passes") + F.when(F.col("__before") < F.col("__left"), 1).otherwise(0)
-    return out.select(*keep, "mix_tokens", "mix_weight", copies.cast("int").alias("mix_copies"), "mix_block", "mix_order")
+    told = placed.join(plan, "source", "left").select("source", "mix_block", "mix_order", F.coalesce("weight", F.lit(0.0)).alias("mix_weight"), F.coalesce("passes", F.lit(0)).alias("passes"), (F.coalesce("rest", F.lit(0)) - F.col("before")).alias("left"))
+    inside = Window.partitionBy("source", "mix_block").orderBy(F.xxhash64(F.lit(seed), "hash"), "hash").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    dealt = units.withColumn("before", F.sum("tokens").over(inside) - F.col("tokens")).join(told, ["source", "mix_block"])
+    copies = (F.col("passes") + F.when(F.col("before") < F.col("left"), 1).otherwise(0)).cast("int").alias("mix_copies")
+    used = dealt.select("source", "mix_block", "hash", "mix_weight", copies, "mix_order")
+    return sized.join(used, ["source", "mix_block", "hash"]).select(*unpacked(keep), "mix_tokens", "mix_weight", "mix_copies", "mix_block", "mix_order")
 
 
 def realised(mixed: DataFrame, columns: list[str]) -> DataFrame:
-    """The rows of mix()'s result as often as they are to be used, with those columns alone."""
-    return mixed.where("mix_copies > 0").withColumn("__use", F.explode(F.sequence(F.lit(1), F.col("mix_copies")))).select(*columns)
+    """The rows of mix()'s result as often as they are to be used, with those columns alone; rows with no use, or null, go.
+
+    Repeated rows are repeated each. An empty table gives an empty result.
+    """
+    row = F.struct(*[quoted(c).alias(c) for c in columns]).alias("row")
+    return mixed.where("mix_copies > 0").select(row, F.explode(F.sequence(F.lit(1), F.col("mix_copies"))).alias("use")).select(*unpacked(columns))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

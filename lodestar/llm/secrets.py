@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_batches
+from .common import packed, text_batches, unpacked
 
 KINDS = ("assign", "access", "hex", "random")
 ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
@@ -113,17 +113,25 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabu
 
 
 def redact(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark: str = "[secret]") -> DataFrame:
-    """docs with each span of found, the result of scan(), replaced by mark; overlapping spans are one."""
+    """docs with each span of found, the result of scan(), replaced by mark; overlapping spans are one.
+
+    Null and empty texts, and texts without spans, stay as they are. found has one row for each id, or rows that repeat it with
+    the same spans, as scan() gives for repeated rows; of other repeats one counts. A null id is an id. An empty table gives an
+    empty result. Other columns, of any name, are passed on.
+    """
+    row, names = packed(docs)
+    text = F.col("row").getField(text_col).cast("string")
 
     def put(acc, s):
         rest = F.greatest(s["start"], acc["at"])
-        piece = F.when(s["end"] > acc["at"], F.concat(F.expr(f"substring({text_col}, 1, 0)"), acc["out"], F.substr(F.col(text_col), acc["at"] + 1, F.greatest(rest - acc["at"], F.lit(0))), F.when(s["start"] >= acc["at"], F.lit(mark)).otherwise(F.lit("")))).otherwise(acc["out"])
+        piece = F.when(s["end"] > acc["at"], F.concat(acc["out"], F.substr(text, acc["at"] + 1, F.greatest(rest - acc["at"], F.lit(0))), F.when(s["start"] >= acc["at"], F.lit(mark)).otherwise(F.lit("")))).otherwise(acc["out"])
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), piece.alias("out"))
 
-    done = F.aggregate("spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), put, lambda a: F.concat(a["out"], F.substr(F.col(text_col), a["at"] + 1)))
-    own = found.select(F.col("doc_id").alias("__id"), "spans").dropDuplicates(["__id"])
-    out = docs.join(own, docs[id_col].eqNullSafe(F.col("__id")), "left")
-    return out.select(*[F.when(F.size(F.coalesce("spans", F.array().cast("array<struct<kind:string,start:int,end:int>>"))) > 0, done).otherwise(F.col(c)).alias(c) if c == text_col else F.col(c) for c in docs.columns])
+    done = F.aggregate("spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), put, lambda a: F.concat(a["out"], F.substr(text, a["at"] + 1)))
+    own = found.select(F.col("doc_id").alias("found_id"), "spans").dropDuplicates(["found_id"])
+    out = docs.select(row).join(own, F.col("row").getField(id_col).eqNullSafe(F.col("found_id")), "left")
+    new = F.when(F.size(F.coalesce("spans", F.array().cast("array<struct<kind:string,start:int,end:int>>"))) > 0, done).otherwise(text)
+    return out.select(*[new.alias(c) if c == text_col else own for c, own in zip(names, unpacked(names), strict=True)])
 
 
 def digests(found: DataFrame) -> DataFrame:

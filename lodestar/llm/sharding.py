@@ -14,25 +14,37 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir
+from .common import quoted, shared_dir, stored
 
 SHARDS = 40
 SLOTS = 8192
 ROW_BYTES = 16
+#: Exact repeats of a row that one task writes out at most.
+REPEATS = 10_000
 
 MAP_SCHEMA = "array<struct<virtual_slot:int,shard:int,bytes:bigint,rows:bigint,base:bigint>>"
 
 
 def with_slots(docs: DataFrame, id_col: str, text_col: str, slots: int) -> DataFrame:
-    """Adds size, text_crc32 and virtual_slot. The slot hashes the id and the text's checksum, so rows that repeat
-    an id (or have none) are still spread, but for exact repeats."""
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    out = docs.select(
-        F.col(id_col).cast("long").alias("doc_id"),
+    """(doc_id, size, text_crc32, copy, virtual_slot) of every row. copy numbers the rows that agree in all of that, from 0;
+    the slot hashes id, checksum and copy, so that neither repeated ids nor exact repeats of a row share a slot.
+
+    Repeats are counted and the counts written out again, so no task holds the rows of a hot one: counts over REPEATS are
+    first cut into parts of that many.
+    """
+    text = F.coalesce(quoted(text_col).cast("string"), F.lit(""))
+    rows = docs.select(
+        quoted(id_col).cast("long").alias("doc_id"),
         (F.octet_length(text) + ROW_BYTES).cast("long").alias("size"),
         F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"),
     )
-    return out.withColumn("virtual_slot", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(slots)).cast("int"))
+    counted = stored(rows.groupBy("doc_id", "size", "text_crc32").agg(F.count("*").alias("n")), "counted")
+    own = ["doc_id", "size", "text_crc32"]
+    few = counted.where(F.col("n") <= REPEATS).select(*own, F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("copy"))
+    many = counted.where(F.col("n") > REPEATS).select(*own, "n", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / REPEATS))).alias("part"))
+    first = F.col("part") * REPEATS
+    dealt = many.repartition("doc_id", "text_crc32", "part").select(*own, F.explode(F.sequence(first, F.least(first + REPEATS, F.col("n")) - 1)).alias("copy"))
+    return few.unionByName(dealt).withColumn("virtual_slot", F.pmod(F.xxhash64("doc_id", "text_crc32", "copy"), F.lit(slots)).cast("int"))
 
 
 def slot_stats(rows: DataFrame) -> list[dict]:
@@ -107,25 +119,46 @@ def read_map(spark: SparkSession, path: str, version: int) -> DataFrame:
     return spark.read.schema("virtual_slot int, shard int, bytes long, rows long, base long").parquet(f"{path}/version={version}")
 
 
+def last_version(spark: SparkSession, path: str) -> int:
+    """The newest version of the map under path, complete or not; 0 if there is none."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [f.getPath().getName() for f in files.listStatus(folder)] if files.exists(folder) else []
+    return max([int(x.removeprefix("version=")) for x in names if x.startswith("version=")], default=0)
+
+
+def next_map(spark: SparkSession, path: str, stats: list[dict], shards: int) -> int:
+    """Write the next version of the map and return its number: the first is planned anew, later ones edit the one before
+    for the bytes and the number of shards of now."""
+    before = last_version(spark, path)
+    if before:
+        current = {r["virtual_slot"]: r["shard"] for r in read_map(spark, path, before).collect()}  # a row for each slot at most
+        assigned = rebalanced(current, stats, shards)
+    else:
+        assigned = new_map(stats, shards)
+    write_map(map_frame(spark, assigned, stats), path, before + 1)
+    return before + 1
+
+
 def shard_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shards: int = SHARDS, slots: int = SLOTS, map_path: str | None = None) -> DataFrame:
     """(doc_id, size, text_crc32, law, shard, slot, grown_shard, virtual_slot) of every row.
 
     law is `bytes`: shards hold nearly equal bytes. size is the UTF-8 bytes of the text (null: none) plus 16. slot is
-    the row's place in its shard, gapless from 0: rows of a shard go by virtual slot, id, checksum and size. Exact
-    repeats of a row share all of that and take neighbouring places. grown_shard is null under this law; rebalanced()
-    edits the map for another number of shards. Version 1 of the map is stored under map_path (by default a folder of
-    its own in the shared folder) and read back from there. Null ids and empty texts are rows like any other. An empty
-    table gives an empty map and an empty result. Other columns are not looked at.
+    the row's place in its shard, gapless from 0: rows of a shard go by virtual slot, id, checksum, size and copy. Exact
+    repeats of a row are spread over slots like any rows. grown_shard is null under this law. The map is stored under
+    map_path as its next version and read back from there: where versions exist, the last one is edited, so that few slots
+    move when data or the number of shards have changed, else version 1 is planned anew. By default it has a folder of its
+    own in the shared folder. Null ids and empty texts are rows like any other. An empty table gives an empty map and an
+    empty result. Other columns are not looked at.
     """
     spark = docs.sparkSession
     path = map_path or f"{shared_dir(spark)}/lodestar/{uuid.uuid4().hex}/slot_map"
-    rows = with_slots(docs, id_col, text_col, slots)
-    stats = slot_stats(rows)
-    write_map(map_frame(spark, new_map(stats, shards), stats), path, 1)
-    placed = rows.join(F.broadcast(read_map(spark, path, 1).select("virtual_slot", "shard", "base")), "virtual_slot")
+    rows = stored(with_slots(docs, id_col, text_col, slots), "slotted")
+    version = next_map(spark, path, slot_stats(rows), shards)
+    placed = rows.join(F.broadcast(read_map(spark, path, version).select("virtual_slot", "shard", "base")), "virtual_slot")
     return placed.select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard",
-        (F.col("base") + F.expr("row_number() OVER (PARTITION BY virtual_slot ORDER BY doc_id, text_crc32, size)") - 1).alias("slot"),
+        (F.col("base") + F.expr("row_number() OVER (PARTITION BY virtual_slot ORDER BY doc_id, text_crc32, size, copy)") - 1).alias("slot"),
         F.lit(None).cast("int").alias("grown_shard"), "virtual_slot",
     )
 

@@ -13,7 +13,6 @@ from __future__ import annotations
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -23,6 +22,10 @@ from .common import NULL_ID, stored, text_batches
 from .components import connected_components
 
 BITS = 64
+#: Fingerprints of a variant that one task compares at most.
+BUCKET = 8_192
+#: One in so many rows makes a fingerprint hot.
+HOT = 1_000
 _TABLE = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 
 
@@ -105,7 +108,9 @@ def _forest(fps: np.ndarray, radius: int) -> list[tuple[int, int]]:
 def fingerprint_links(distinct: DataFrame, radius: int = 3) -> DataFrame:
     """distinct (fp long, unique) -> (a, b): links that join exactly the fingerprints reachable by links of at most
     radius bits. Of each variant's bucket a spanning forest is kept, not all pairs. A bucket holds distinct
-    fingerprints alone, however many documents share one.
+    fingerprints alone, however many documents share one. One of more than BUCKET fingerprints is not gathered: its
+    fingerprints are dealt in blocks, and a task joins two blocks of it. The order inside a bucket is that of the
+    fingerprints, so the links are the same each time.
     """
     plan = views(radius)
     # What a view leaves out carries the view's number, so that views do not meet.
@@ -113,21 +118,37 @@ def fingerprint_links(distinct: DataFrame, radius: int = 3) -> DataFrame:
     # Few and narrow rows become many: spread them first, by a count that adaptive execution does not lower.
     n = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     variants = distinct.repartition(n).select(F.explode(F.concat(*keyed)).alias("k"), "fp")
-    dealt = variants.repartition("k").sortWithinPartitions("k")
+    dealt = variants.repartition("k").sortWithinPartitions("k", "fp")
+    most = BUCKET
 
     def run(batches):
-        tail_k, tail_fp = np.empty(0, np.int64), np.empty(0, np.int64)
+        """(a, b, false) for links, (k, fp, true) for the fingerprints of large buckets."""
+        tail_k, tail_fp, large = np.empty(0, np.int64), np.empty(0, np.int64), None
         for b in batches:
             k, fp = np.concatenate([tail_k, b.column(0).to_numpy()]), np.concatenate([tail_fp, b.column(1).to_numpy()])
+            if large is not None:  # the large bucket goes on
+                cut = int(np.searchsorted(k, large, side="right"))
+                yield from told(k[:cut], fp[:cut], True)
+                k, fp = k[cut:], fp[cut:]
             cut = int(np.searchsorted(k, k[-1])) if len(k) else 0
-            tail_k, tail_fp = k[cut:], fp[cut:]
             yield from edges(k[:cut], fp[:cut])
+            tail_k, tail_fp = k[cut:], fp[cut:]
+            if len(tail_k):
+                large = None
+            if len(tail_k) > most:
+                large = int(tail_k[0])
+                yield from told(tail_k, tail_fp, True)
+                tail_k, tail_fp = tail_k[:0], tail_fp[:0]
         yield from edges(tail_k, tail_fp)
 
+    def told(a, b, large):
+        if len(a):
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(np.full(len(a), large))], names=["a", "b", "large"])
+
     def edges(k, fp):
         if len(k) < 2:
             return
-        fp = fp.view(np.uint64)
+        signed, fp = fp, fp.view(np.uint64)
         at = np.concatenate(([0], np.nonzero(np.diff(k))[0] + 1, [len(k)]))
         size = np.diff(at)
         two = at[:-1][size == 2]
@@ -135,38 +156,59 @@ def fingerprint_links(distinct: DataFrame, radius: int = 3) -> DataFrame:
         near = np.bitwise_count(a ^ b) <= radius
         pairs = [np.stack([a[near], b[near]], axis=1)]
         for i in np.nonzero(size > 2)[0]:
-            if found := _forest(fp[at[i] : at[i + 1]], radius):
+            if size[i] > most:
+                yield from told(k[at[i] : at[i + 1]], signed[at[i] : at[i + 1]], True)
+            elif found := _forest(fp[at[i] : at[i + 1]], radius):
                 pairs.append(np.array(found, dtype=np.uint64))
         both = np.sort(np.concatenate(pairs).view(np.int64), axis=1)
-        if len(both):
-            both = np.unique(both, axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
+        both = np.unique(both[both[:, 0] < both[:, 1]], axis=0)
+        yield from told(both[:, 0], both[:, 1], False)
+
+    found = stored(dealt.mapInArrow(run, "a long, b long, large boolean"), "met")
+    links = found.where("NOT large").select("a", "b")
+    large = found.where("large").select(F.col("a").alias("k"), F.col("b").alias("fp"))
+    if not large.isEmpty():
+        links = links.union(_links_in_blocks(large, radius))
+    return links.distinct()
+
+
+def _links_in_blocks(members: DataFrame, radius: int) -> DataFrame:
+    """members (k, fp) of large buckets -> (a, b): spanning forests of every two blocks of a bucket."""
+    sizes = members.groupBy("k").agg(F.ceil(F.count("*") * 2 / BUCKET).cast("int").alias("blocks"))
+    own = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
+    dealt = members.join(sizes, "k").select("k", "fp", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+
+    def join(key, table):
+        fps = np.unique(table["fp"].to_numpy()).view(np.uint64)
+        pairs = np.sort(np.array(_forest(fps, radius), np.uint64).reshape(-1, 2).view(np.int64), axis=1)
+        return pa.table({"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1])})
 
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    return dealt.groupBy("k", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).applyInArrow(join, "a long, b long")
 
 
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 3) -> DataFrame:
-    """(doc_id, fp long, fingerprint, component_id, n_links) of every row of docs.
+    """(doc_id, fp long, fingerprint, component_id) of every row of docs.
 
-    Fingerprints at radius or fewer differing bits are linked; component_id is the smallest id reachable, n_links
-    counts the other fingerprints of the spanning links that this row's fingerprint has. Rows without words (null
-    and empty texts included) all have fingerprint zero and link like others. Repeated rows are repeated in the
+    Fingerprints at radius or fewer differing bits are linked; component_id is the smallest id reachable. Rows without
+    words (null and empty texts included) all have fingerprint zero and link like others. Repeated rows are repeated in the
     result. A null id counts as the smallest id and gives a null component_id. An empty table gives an empty result.
-    Other columns of docs are not looked at.
+    Other columns of docs are not looked at. Fingerprints that more than one in HOT rows have are at most HOT: their
+    components are broadcast, so that a hot one is not dealt to one task.
     """
     fps = stored(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
-    least = fps.groupBy("fp").agg(F.min(F.coalesce("id", F.lit(NULL_ID))).alias("least"))
+    least = stored(fps.groupBy("fp").agg(F.min(F.coalesce("id", F.lit(NULL_ID))).alias("least"), F.count("*").alias("n")), "distinct")
     links = stored(fingerprint_links(least.select("fp"), radius), "links")
     roots = connected_components(links)
-    own = least.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    own = least.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", "n", F.coalesce("root", "fp").alias("root"))
     own = stored(own, "roots")
     best = own.groupBy("root").agg(F.min("least").alias("component"))
-    degree = links.select(F.explode(F.array("a", "b")).alias("fp")).groupBy("fp").agg(F.count("*").alias("n_links"))
-    named = own.join(best, "root").join(degree, "fp", "left").select("fp", "component", F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    named = stored(named, "named")
-    return fps.join(named, "fp").select(
+    named = stored(own.join(best, "root").select("fp", "component", "n"), "named")
+    hot = named.where(F.col("n") * HOT > F.lit(fps.count())).select("fp", "component")
+    rest = fps.join(F.broadcast(hot), "fp", "left_anti").join(named.drop("n"), "fp")
+    found = fps.join(F.broadcast(hot), "fp").unionByName(rest)
+    return found.select(
         F.col("id").alias("doc_id"), "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
-        F.when(F.col("component") != NULL_ID, F.col("component")).alias("component_id"), "n_links",
+        F.when(F.col("component") != NULL_ID, F.col("component")).alias("component_id"),
     )
 
 

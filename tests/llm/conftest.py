@@ -3,7 +3,12 @@ import pytest
 SF = "/root/testdata/sf0.001"
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
 #: Names that operators use inside or add.
-CLASHING = ["line", "pos", "h1", "h2", "key", "fp", "id", "t", "v", "words", "lines", "w", "l", "shard", "slot", "size", "virtual_slot", "score", "tokens", "passes", "left", "supply", "p", "ids", "spans", "first", "n_lines", "n_dropped", "mix_copies", "kept", "asks", "d", "rb"]
+CLASHING = [
+    "line", "pos", "h1", "h2", "key", "fp", "id", "t", "v", "words", "lines", "w", "l", "shard", "slot", "size", "virtual_slot", "score", "tokens", "passes",
+    "left", "supply", "p", "ids", "spans", "first", "N_Lines", "n_dropped", "mix_copies", "Mix_Tokens", "kept", "asks", "d", "rb", "row", "hash", "copy", "n",
+    "__id", "__lines", "__text_hash", "__drops", "__source", "__hash", "__left", "__passes", "__kept", "__node", "__least", "__text", "__label", "found_id",
+    "use", "node", "least", "band", "k", "a", "b", "component", "hash_", "dotted.name",
+]
 
 
 @pytest.fixture(scope="session")

@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from lodestar.llm import line_dedup as L
 from lodestar.llm import quality_rules as Q
@@ -52,6 +53,8 @@ def test_lines_equal_sql(spark):
 def test_lines_empty_and_clashing(empty, clashing, odd):
     assert L.dedup_lines(empty).count() == 0
     got = L.dedup_lines(clashing)
+    assert {c.lower() for c in got.columns} == {c.lower() for c in clashing.columns} | {"n_lines"} and len(got.columns) == len(clashing.columns)
+    assert {r["__id"] for r in got.collect()} == {"__id"} and {r["dotted.name"] for r in got.collect()} == {"dotted.name"}
     assert rows(got.select("doc_id", "text", "n_lines", "n_dropped")) == rows(L.dedup_lines(odd).select("doc_id", "text", "n_lines", "n_dropped"))
 
 
@@ -75,6 +78,27 @@ def test_shards_are_even(spark):
     assert len(held) == 40 and max(held.values()) - min(held.values()) < 0.02 * max(held.values())
 
 
+def test_repeated_rows_are_spread(spark):
+    """Ten rows in eleven are exact repeats without an id; the repeats are written out in parts."""
+    same = spark.range(20_000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("the same text in every row").alias("text"))
+    others = spark.range(2_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("other text "), F.col("id")).alias("text"))
+    held, slots = Counter(), defaultdict(list)
+    for r in H.shard_rows(same.union(others)).collect():
+        held[r.shard] += r["size"]
+        slots[r.shard].append(r.slot)
+    assert len(held) == 40 and max(held.values()) < 1.02 * min(held.values())
+    assert sum(map(len, slots.values())) == 22_000 and all(sorted(s) == list(range(len(s))) for s in slots.values())
+
+
+def test_map_is_edited_when_shards_are_added(spark, docs, tmp_path):
+    """The public call: 8 shards, again 8, then 9; only rows that go to the new shard move."""
+    path = f"file://{tmp_path}/map"
+    one, same, more = ({r.doc_id: r.shard for r in H.shard_rows(docs, shards=n, map_path=path).collect()} for n in (8, 8, 9))
+    assert one == same and set(more.values()) == set(range(9))
+    assert {more[i] for i in one if one[i] != more[i]} == {8} and H.last_version(spark, path) == 3
+    assert H.last_version(spark, f"{path}/none") == 0
+
+
 def test_map_edits_and_versions(spark, tmp_path):
     stats = [{"virtual_slot": i, "bytes": 100 + i % 7, "rows": 1} for i in range(400)]
     one = H.new_map(stats, 8)

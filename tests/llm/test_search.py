@@ -92,6 +92,14 @@ def test_weights_meet_target_and_limit(spark):
     assert M.realised(once, df.columns).count() == once.where("mix_copies = 1").count()
 
 
+def test_repeated_rows_are_one_document(spark):
+    """Exact repeats are used equally often, and the budget is met to within them."""
+    data = [(None, "four words in here", "s")] * 900 + [(i, "two words", "s" if i % 2 else "t") for i in range(900)]
+    df = spark.createDataFrame(data, "doc_id long, text string, source string").repartition(4)
+    got = M.mix(df, load=0.5).collect()
+    assert len(got) == len(data) and len({r.mix_copies for r in got if r.doc_id is None}) == 1
+
+
 def test_blocks_are_taken_in_order(spark):
     data = [(i, "one two three", "s" if i % 3 else "t") for i in range(3000)]
     df = spark.createDataFrame(data, "doc_id long, text string, source string")
@@ -108,5 +116,7 @@ def test_mixing_odd_rows(odd, empty, clashing):
     got = M.mix(odd)
     assert got.count() == odd.count() and M.mix(empty).count() == 0
     cols = ["doc_id", "mix_tokens", "mix_copies", "mix_block"]
-    assert rows(M.mix(clashing).select(*cols)) == rows(got.select(*cols))
+    mixed = M.mix(clashing)
+    assert rows(mixed.select(*cols)) == rows(got.select(*cols))
+    assert M.realised(mixed, ["doc_id", "text", "__left", "use", "dotted.name"]).count() == sum(r.mix_copies for r in got.collect())
     assert M.mix(empty, max_repeats=1.0, load=None).count() == 0

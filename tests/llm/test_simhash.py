@@ -79,6 +79,33 @@ def test_links_join_what_brute_force_joins(spark):
     assert all(np.bitwise_count(np.uint64(r.a & (2**64 - 1)) ^ np.uint64(r.b & (2**64 - 1))) <= 3 for r in links.collect())
 
 
+def test_large_buckets_are_split(spark, monkeypatch):
+    """Fingerprints of one dense region, in buckets over the limit: the same components, and the same links each time."""
+    rnd = random.Random(6)
+    base = rnd.getrandbits(64)
+    fps = sorted({base ^ sum(1 << b for b in rnd.sample(range(10), rnd.randint(0, 5))) ^ (rnd.getrandbits(1) << 50) for _ in range(700)} | {rnd.getrandbits(64) for _ in range(200)})
+    signed = [(int(np.uint64(f).astype(np.int64)),) for f in fps]
+    df = spark.createDataFrame(signed, "fp long").repartition(3)
+    want = brute(sorted((s[0], s[0] & (2**64 - 1)) for s in signed))
+    for most in (S.BUCKET, 40):
+        monkeypatch.setattr(S, "BUCKET", most)
+        links = S.fingerprint_links(df)
+        found = {r.node: r.root for r in connected_components(links).collect()}
+        assert {s[0]: found.get(s[0], s[0]) for s in signed} == want
+        assert rows(links) == rows(S.fingerprint_links(df.repartition(7)))
+        assert all(0 < np.bitwise_count(np.uint64(r.a & (2**64 - 1)) ^ np.uint64(r.b & (2**64 - 1))) <= 3 for r in links.collect())
+
+
+def test_a_hot_fingerprint(spark):
+    """A third of the rows share a fingerprint, some of them without id."""
+    data = [(i if i % 5 else None, "the same few words in many rows") for i in range(1, 2000)] + [(5000 + i, f"other words {i} and {i * 7}") for i in range(4000)]
+    df = spark.createDataFrame(data, "doc_id long, text string").repartition(5)
+    got = S.simhash_components(df).collect()
+    want = brute(sorted({(-(2**63) if i is None else i, naive(t)) for i, t in data}))
+    assert len(got) == len(data)
+    assert all((-(2**63) if r.component_id is None else r.component_id) == want[-(2**63) if r.doc_id is None else r.doc_id] for r in got)
+
+
 def test_components_of_star_chain_and_empty(spark):
     edges = [(1, i) for i in range(2, 50)] + [(100 + i, 101 + i) for i in range(60)] + [(7, 7), (None, 3)]
     got = {r.node: r.root for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}

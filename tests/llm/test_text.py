@@ -75,6 +75,8 @@ def test_secret_odd_rows(odd, empty, clashing, spark):
     got = S.digests(S.scan(odd))
     assert got.count() == odd.count() and S.scan(empty).count() == 0
     assert rows(S.digests(S.scan(clashing))) == rows(got)
+    found = S.scan(clashing)
+    assert rows(S.redact(clashing, found).select("doc_id", "text")) == rows(clashing.select("doc_id", "text")) and S.redact(clashing, found).columns == clashing.columns
     df = spark.createDataFrame([(1, f"x {KEY} y"), (2, "plain"), (3, None)], "doc_id long, text string")
     assert {r.doc_id: r.text for r in S.redact(df, S.scan(df)).collect()} == {1: "x [secret] y", 2: "plain", 3: None}
 
