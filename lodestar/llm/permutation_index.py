@@ -37,8 +37,8 @@ def usable(vector: Column) -> Column:
 def permutations(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     """Of each row, the place of each pivot in the order of nearness (ties: lower pivot first)."""
     order = np.argsort(-(x @ pivots.T), axis=1, kind="stable")
-    place = np.empty(order.shape, np.int16)
-    np.put_along_axis(place, order, np.arange(len(pivots), dtype=np.int16)[None, :].repeat(len(x), 0), 1)
+    place = np.empty(order.shape, np.int16 if len(pivots) < 256 else np.int64)
+    np.put_along_axis(place, order, np.arange(len(pivots), dtype=place.dtype)[None, :].repeat(len(x), 0), 1)
     return place
 
 
@@ -67,7 +67,7 @@ def search_block(ids: np.ndarray, x: np.ndarray, lifted: np.ndarray, query_ids:
     for i in range(len(q)):
         rows = np.arange(n)
         if pivots is not None and take < n:
-            rule = np.zeros(n, np.int16)
+            rule = np.zeros(n, np.int16 if len(pivots) < 256 else np.int64)  # a footrule is at most half the square of the pivots
             for p in range(len(pivots)):
                 rule += np.abs(lists[p] - wanted[i, p])
             rows = np.nonzero(rule <= np.partition(rule, take - 1)[take - 1])[0]

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_batches
+from .common import packed, quoted, text_batches, unpacked
 from .training import fold, labelled_rows, sample
 
 #: Positives, and unlabelled documents, that the model is fitted on, at most (about).
@@ -158,14 +158,15 @@ def keep_good(docs: DataFrame, model: Model, text_col: str = "text", threshold:
     together. An empty table gives an empty result. Other columns, of any name, are passed on.
     """
     text_batches(docs.sparkSession)
-    at = docs.columns.index(text_col)
+    row, names = packed(docs)
+    own = docs.select(row, quoted(text_col).cast("string").alias("t"))
 
     def run(batches):
         for b in batches:
-            x = np.array([features(t) for t in b.column(at).to_pylist()]).reshape(-1, 16)
-            yield b.filter(pa.array(model.score(x) >= threshold))
+            x = np.array([features(t) for t in b.column(1).to_pylist()]).reshape(-1, 16)
+            yield b.filter(pa.array(model.score(x) >= threshold)).select(["row"])
 
-    return docs.mapInArrow(run, docs.schema)
+    return own.mapInArrow(run, own.select("row").schema).select(*unpacked(names))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -42,6 +42,20 @@ def test_run_equals_stages(spark):
     assert got == {r.doc_id: r.ids_sha256 for r in docs.collect()}
 
 
+def test_stages_on_odd_tables(spark, odd, empty, clashing, tmp_path):
+    """Nulls, empty and very long texts, repeated rows, no rows at all, and columns named like those inside the operators."""
+    labels = spark.createDataFrame([(5, 1, 0), (3, 1, 0), (10, 1, 0), (None, 0, 1), (11, None, None)], "doc_id long, quality int, toxic int")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    for name, stage in C.STAGES:
+        for df in (odd, empty, clashing):
+            got = stored(stage(spark, df, f"file://{tmp_path}"), "t")
+            assert name == "tokens" or got.columns == df.columns, name
+            assert df is not empty or got.count() == 0
+        if name in ("lines", "tokens"):
+            assert got.count() == odd.count()
+    assert sorted((r.doc_id or 0, r.text or "") for r in C.lines(spark, clashing, "").collect()) == sorted((r.doc_id or 0, r.text or "") for r in C.lines(spark, odd, "").collect())
+
+
 def test_stages_name_operators():
     assert [n for n, _ in C.STAGES] == ["quality", "lines", "near_duplicates", "mixture", "tokens"]
     assert L and mixing and simhash
