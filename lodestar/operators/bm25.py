@@ -18,7 +18,7 @@ K1, B = 1.5, 0.75
 
 @dataclass
 class Index:
-    """postings (field, term, id, tf); lengths (field, weight, id, dl); fields (field, n, avgdl); terms (field, term, df)."""
+    """postings (field, term, id, tf, dl), dl being the length of the field; lengths (field, weight, id, dl); fields (field, n, avgdl); terms (field, term, df)."""
 
     postings: DataFrame
     lengths: DataFrame
@@ -26,10 +26,22 @@ class Index:
     terms: DataFrame
 
 
-def build(docs: DataFrame) -> Index:
-    """docs: (id, field, weight, text), one row per document and field."""
+#: Distinct query terms that are broadcast to the documents.
+MAX_TERMS = 100_000
+
+
+def build(docs: DataFrame, wanted: DataFrame | None = None) -> Index:
+    """docs: (id, field, weight, text), one row per document and field.
+
+    wanted (term): for questions without a stored index, only the postings of these terms are formed. All others go before
+    anything is grouped, so the shuffle follows the matches and not the texts. A counted list of terms is broadcast.
+    """
     tokens = docs.select("id", "field", "weight", tokenize(F.coalesce("text", F.lit(""))).alias("tokens"))
-    postings = tokens.select("field", F.explode("tokens").alias("term"), "id").groupBy("field", "term", "id").agg(F.count("*").alias("tf"))
+    terms = tokens.select("field", F.explode("tokens").alias("term"), "id", F.size("tokens").alias("dl"))
+    if wanted is not None:
+        few = wanted.select("term").distinct()
+        terms = terms.join(F.broadcast(few) if few.count() <= MAX_TERMS else few, "term", "left_semi")
+    postings = terms.groupBy("field", "term", "id", "dl").agg(F.count("*").alias("tf")).select("field", "term", "id", "tf", "dl")
     lengths = tokens.select("field", "weight", "id", F.size("tokens").alias("dl"))
     fields = lengths.groupBy("field", "weight").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
     terms = postings.groupBy("field", "term").agg(F.count("*").alias("df"))
@@ -57,7 +69,7 @@ def score(index: Index, terms: DataFrame) -> DataFrame:
     stats = index.terms.join(index.fields.where("avgdl > 0"), "field")
     idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
     wanted = terms.join(stats, "term").select("query_id", "field", "term", "avgdl", (F.col("weight") * F.col("qtf") * idf).alias("w"))
-    hits = index.postings.join(wanted, ["field", "term"]).join(index.lengths.drop("weight"), ["field", "id"])
+    hits = index.postings.join(wanted, ["field", "term"])
     tf = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     return hits.groupBy("query_id", "id").agg(F.sum(F.col("w") * tf).alias("bm25"))
 

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def _close(a: Column, b: Column) -> Column:
+def close(a: Column, b: Column) -> Column:
+    """True for values that count as equal."""
     return F.abs(a - b) <= 1e-9 * F.greatest(F.abs(a), F.abs(b))
 
 
@@ -14,7 +15,7 @@ def minmax(df: DataFrame, value: str, out: str, by: list[str] | None = None) ->
     """(v - min) / (max - min); all 0 where the values are equal."""
     s = df.groupBy(*(by or [])).agg(F.min(value).alias("__lo"), F.max(value).alias("__hi"))
     joined = df.join(s, by) if by else df.crossJoin(F.broadcast(s))
-    return joined.withColumn(out, F.when(_close(F.col("__hi"), F.col("__lo")), 0.0).otherwise((F.col(value) - F.col("__lo")) / (F.col("__hi") - F.col("__lo")))).drop("__lo", "__hi")
+    return joined.withColumn(out, F.when(close(F.col("__hi"), F.col("__lo")), 0.0).otherwise((F.col(value) - F.col("__lo")) / (F.col("__hi") - F.col("__lo")))).drop("__lo", "__hi")
 
 
 def zscore(df: DataFrame, value: str, out: str, by: list[str] | None = None) -> DataFrame:

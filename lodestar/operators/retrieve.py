@@ -16,39 +16,70 @@ from lodestar.operators import vector as V
 BATCH = 1_000
 
 
+#: Parts of the catalog that a block of a larger batch meets one by one, so that a block is not one task.
+PARTS = 64
+
+
 def every_pair(batch: DataFrame, kb: DataFrame) -> DataFrame:
     """Every query with every service, the catalog's partitions staying where they are.
 
-    A batch of up to BATCH rows is broadcast, its size having been counted; a larger one meets the catalog in blocks of that size.
+    A batch of up to BATCH rows is broadcast, its size having been counted; a larger one meets the catalog in blocks of that size,
+    and each block meets the catalog in PARTS parts.
     """
     n = batch.count()
     if n <= BATCH:
         return kb.crossJoin(F.broadcast(batch))
     blocks = -(-n // BATCH)
-    cut = batch.withColumn("__block", F.pmod(F.xxhash64(*batch.columns), F.lit(blocks)).cast("int"))
-    return kb.withColumn("__block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(cut, "__block").drop("__block")
+    cut = batch.withColumns({"__block": F.pmod(F.xxhash64(*batch.columns), F.lit(blocks)).cast("int"), "__part": F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1)))})
+    dealt = kb.withColumns({"__block": F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))), "__part": F.pmod(F.xxhash64(*kb.columns), F.lit(PARTS)).cast("int")})
+    return dealt.join(cut, ["__block", "__part"]).drop("__block", "__part")
 
 
-def scores(batch: DataFrame, kb: DataFrame, index: B.Index, popularity: DataFrame, mode: str = "hybrid", query_vectors: DataFrame | None = None, vectors: DataFrame | None = None) -> DataFrame:
+def scores(
+    batch: DataFrame, kb: DataFrame, index: B.Index, popularity: DataFrame, mode: str = "hybrid",
+    query_vectors: DataFrame | None = None, vectors: DataFrame | None = None, terms: DataFrame | None = None,
+) -> DataFrame:
     """(query_id, service_id, ord, cos, vec, bmn, popn, score) of every query and service, as the full scan scores them.
 
     BM25 is normalised over all services, zeros included; popularity over the services that have any. The modes leave a
-    signal's plan out, not just its weight. Every query meets every service by contract; the batch is the small side.
+    signal's plan out, not just its weight. Each side is complete before the two meet: a service with its popularity, vector
+    and the BM25 scores of the queries that it matches, a query with its vector and the extremes of its BM25 scores. So
+    the product of both is neither joined nor shuffled again: a top-k after it keeps k rows a task. A batch over BATCH
+    queries keeps a service's matches as rows, as there is no bound for them, and joins them. terms (query_id, term, qtf)
+    are the words of the queries for BM25, if not those of their texts.
     """
-    every = every_pair(batch.select("query_id"), kb.select("service_id", "ord"))
-    pop = N.minmax(popularity, "popularity", "popn").select("service_id", "popn")
-    out = every.join(pop, "service_id", "left")
+    asked, services = batch.select("query_id"), kb.select("service_id", "ord")
+    services = services.join(N.minmax(popularity, "popularity", "popn").select("service_id", "popn"), "service_id", "left")
+    hits = None
+    if mode != "semantic":
+        raw = B.score(index, terms if terms is not None else B.query_terms(batch)).withColumnRenamed("id", "service_id")
+        raw = raw.join(kb.select("service_id"), "service_id", "left_semi")
+        found = raw.groupBy("query_id").agg(F.max("bm25").alias("hi"), F.min("bm25").alias("least"), F.count("*").alias("hits"))
+        size = kb.agg(F.count("*").alias("services"))
+        found = found.crossJoin(F.broadcast(size)).select("query_id", "hi", F.when(F.col("hits") < F.col("services"), F.lit(0.0)).otherwise(F.col("least")).alias("lo"))
+        asked = asked.join(found, "query_id", "left")
+        if batch.count() <= BATCH:
+            own = raw.groupBy("service_id").agg(F.map_from_entries(F.collect_list(F.struct("query_id", "bm25"))).alias("matches"))
+            services = services.join(own, "service_id", "left")
+        else:
+            hits = raw
+    if mode != "keyword":
+        qv = query_vectors if query_vectors is not None else V.hash_embedding(batch, "query_id", "text")
+        kv = vectors if vectors is not None else V.hash_embedding(kb, "service_id", "searchable")
+        asked = asked.join(qv.select("query_id", F.col("vec").alias("qvec")), "query_id", "left")
+        services = services.join(kv.select("service_id", F.col("vec").alias("kvec")), "service_id", "left")
+    out = every_pair(asked, services)
     if mode != "semantic":
-        raw = B.score(index, B.query_terms(batch)).withColumnRenamed("id", "service_id")
-        out = out.join(raw, ["query_id", "service_id"], "left").withColumn("bm25", F.coalesce("bm25", F.lit(0.0)))
-        out = N.minmax(out, "bm25", "bmn", ["query_id"])
+        if hits is None:
+            out = out.withColumn("bm25", F.try_element_at("matches", F.col("query_id"))).drop("matches")
+        else:
+            out = out.join(hits, ["query_id", "service_id"], "left")
+        value, lo, hi = (F.coalesce(c, F.lit(0.0)) for c in ("bm25", "lo", "hi"))
+        out = out.withColumn("bmn", F.when(N.close(hi, lo), 0.0).otherwise((value - lo) / (hi - lo))).drop("bm25", "lo", "hi")
     else:
         out = out.withColumn("bmn", F.lit(0.0))
     if mode != "keyword":
-        qv = (query_vectors if query_vectors is not None else V.hash_embedding(batch, "query_id", "text")).withColumnRenamed("vec", "qvec")
-        kv = vectors if vectors is not None else V.hash_embedding(kb, "service_id", "searchable")
-        out = out.join(qv, "query_id", "left").join(kv, "service_id", "left")
-        out = out.withColumn("cos", F.coalesce(V.dot(F.col("qvec"), F.col("vec")), F.lit(0.0))).drop("qvec", "vec")
+        out = out.withColumn("cos", F.coalesce(V.dot(F.col("qvec"), F.col("kvec")), F.lit(0.0))).drop("qvec", "kvec")
     else:
         out = out.withColumn("cos", F.lit(0.0))
     out = out.withColumns({"vec": F.greatest(F.lit(0.0), F.col("cos")), "popn": F.coalesce("popn", F.lit(0.0))})

@@ -29,15 +29,20 @@ def penalized(popularity: DataFrame, negatives: DataFrame, penalty: float = PENA
     return out.select("service_id", F.greatest(F.lit(0.0), F.coalesce("popularity", F.lit(0.0)) - penalty * F.coalesce("negatives", F.lit(0))).alias("popularity"))
 
 
-def collaborative(clicks: DataFrame, seeds_per_user: int = 0) -> DataFrame:
+def collaborative(clicks: DataFrame, users: DataFrame | None = None) -> DataFrame:
     """(user_id, service_id, co_count): services clicked by users who share a clicked service with user_id, without those
-    that user_id has clicked; co_count: how many such users. Deprecated clicks bridge, but are neither seed nor result."""
+    that user_id has clicked; co_count: how many such users. Deprecated clicks bridge, but are neither seed nor result.
+
+    users (user_id): only for these. The plan starts from their services and goes outward, so that pairs of users
+    are formed for those who ask alone.
+    """
     live = clicks.where(~F.col("deprecated")).select("user_id", "service_id").distinct()
+    seeds = live if users is None else live.join(users.select("user_id").distinct(), "user_id", "left_semi")
     bridging = clicks.select(F.col("user_id").alias("other"), "service_id").distinct()
-    pairs = live.join(bridging, "service_id").where(F.col("user_id") != F.col("other")).select("user_id", "other").distinct()
+    pairs = seeds.join(bridging, "service_id").where(F.col("user_id") != F.col("other")).select("user_id", "other").distinct()
     theirs = live.select(F.col("user_id").alias("other"), "service_id")
     found = pairs.join(theirs, "other").groupBy("user_id", "service_id").agg(F.count("*").alias("co_count"))
-    return found.join(live, ["user_id", "service_id"], "left_anti")
+    return found.join(seeds, ["user_id", "service_id"], "left_anti")
 
 
 def recent_distinct(rows: DataFrame, value: str, limit: int) -> DataFrame:

@@ -85,9 +85,9 @@ def recent_queries(spark, sf):
     return G.recent_distinct(S.queries(spark, sf), "query", 3)
 
 
-@query("recent_clicks", with_("clicks") + ", " + _recent_sql("clicks", "service_id", where="NOT deprecated") + " SELECT user_id, service_id, rn FROM rec")
+@query("recent_clicks", with_("clicks") + ", " + _recent_sql("clicks", "service_id") + " SELECT user_id, service_id, rn FROM rec")
 def recent_clicks(spark, sf):
-    return G.recent_distinct(S.clicks(spark, sf).where(~F.col("deprecated")), "service_id", 3)
+    return G.recent_distinct(S.clicks(spark, sf), "service_id", 3)
 
 
 @query("query_history", with_("queries") + "SELECT user_id, n_back, query FROM (SELECT user_id, query, row_number() OVER (PARTITION BY user_id ORDER BY id DESC) AS n_back FROM queries) WHERE n_back <= 50")
@@ -158,7 +158,7 @@ REL = "rel AS (SELECT a.service_id, b.service_id AS related_id, d AS rank FROM k
 
 def guess_sql(exclude: str = "") -> str:
     ex = f" WHERE NOT EXISTS (SELECT 1 FROM shown s WHERE s.user_id = x.user_id AND s.service_id = x.service_id)" if exclude else ""
-    return f"""{CF}, u AS (SELECT DISTINCT user_id FROM clicks), {_recent_sql('clicks', 'service_id', 'rc', where='NOT deprecated')}, {HOT}, {REL}{exclude},
+    return f"""{CF}, u AS (SELECT DISTINCT user_id FROM clicks), {_recent_sql('clicks', 'service_id', 'rc')}, {HOT}, {REL}{exclude},
 cfx AS (SELECT * FROM cf x{ex}), c1 AS (SELECT user_id, 1 AS stage, row_number() OVER (PARTITION BY user_id ORDER BY co_count DESC, service_id) AS pos, service_id FROM cfx QUALIFY pos <= 3),
 c2 AS (SELECT user_id, 2 AS stage, rn * 100 + rel.rank AS pos, related_id AS service_id FROM rc JOIN rel USING (service_id)), c3 AS (SELECT user_id, 3 AS stage, rank AS pos, service_id FROM u CROSS JOIN hot),
 every AS (SELECT * FROM (SELECT * FROM c1 UNION ALL SELECT * FROM c2 UNION ALL SELECT * FROM c3) x{ex}), firsts AS (SELECT user_id, service_id, min((stage, pos)) AS f, arg_min(stage, (stage, pos)) AS stage FROM every WHERE service_id IN (SELECT service_id FROM kb) GROUP BY ALL),
@@ -209,9 +209,9 @@ def session_refine(spark, sf):
     return E.refined(s, recall(spark, sf), turns, 40)
 
 
-@query("suggest_context", with_("clicks", "queries", "kb") + ", " + _recent_sql("queries", "query", "rq", 5) + ", " + _recent_sql("clicks", "service_id", "rc", 5, "NOT deprecated") + """
+@query("suggest_context", with_("clicks", "queries", "kb") + ", " + _recent_sql("queries", "query", "rq", 5) + ", " + _recent_sql("clicks", "service_id", "rc", 5) + """
 SELECT user_id, 'query' AS kind, rn, query AS value FROM rq UNION ALL SELECT user_id, 'click', rn, service_name FROM rc JOIN kb USING (service_id)""")
 def suggest_context(spark, sf):
     q = G.recent_distinct(S.queries(spark, sf), "query", 5).select("user_id", F.lit("query").alias("kind"), "rn", F.col("query").alias("value"))
-    c = G.recent_distinct(S.clicks(spark, sf).where(~F.col("deprecated")), "service_id", 5).join(S.catalog(spark, sf), "service_id")
+    c = G.recent_distinct(S.clicks(spark, sf), "service_id", 5).join(S.catalog(spark, sf), "service_id")
     return q.unionByName(c.select("user_id", F.lit("click").alias("kind"), "rn", F.col("service_name").alias("value")))

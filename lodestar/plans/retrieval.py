@@ -58,8 +58,13 @@ def kb(spark, sf) -> DataFrame:
     return S.searchable_text(S.catalog(spark, sf))
 
 
-def index(spark, sf) -> B.Index:
-    return B.build(S.catalog_fields(S.catalog(spark, sf)).withColumnRenamed("service_id", "id"))
+def index(spark, sf, terms: DataFrame | None = None) -> B.Index:
+    return B.build(S.catalog_fields(S.catalog(spark, sf)).withColumnRenamed("service_id", "id"), terms)
+
+
+def batch_index(spark, sf) -> B.Index:
+    """The part of the index that the batch of queries reads."""
+    return index(spark, sf, B.query_terms(S.query_batch(spark)))
 
 
 def popularity(spark, sf) -> DataFrame:
@@ -67,7 +72,7 @@ def popularity(spark, sf) -> DataFrame:
 
 
 def scored(spark, sf, mode: str = "hybrid") -> DataFrame:
-    return retrieve.scores(S.query_batch(spark), kb(spark, sf), index(spark, sf), popularity(spark, sf), mode)
+    return retrieve.scores(S.query_batch(spark), kb(spark, sf), batch_index(spark, sf), popularity(spark, sf), mode)
 
 
 @query("bm25_stats", INDEX + " SELECT st.field, n, round(avgdl, 6) AS avgdl, term, df, round(ln((n - df + 0.5) / (df + 0.5) + 1), 6) AS idf FROM df JOIN st USING (field)")
@@ -84,7 +89,7 @@ def vocabulary(spark, sf):
 
 @query("bm25_multifield", INDEX + " SELECT query_id, service_id, round(bm25, 6) AS bm25 FROM bm")
 def bm25_multifield(spark, sf):
-    s = B.score(index(spark, sf), B.query_terms(S.query_batch(spark))).withColumnRenamed("id", "service_id")
+    s = B.score(batch_index(spark, sf), B.query_terms(S.query_batch(spark))).withColumnRenamed("id", "service_id")
     every = retrieve.every_pair(S.query_batch(spark).select("query_id"), S.catalog(spark, sf).select("service_id"))
     return every.join(s, ["query_id", "service_id"], "left").select("query_id", "service_id", F.round(F.coalesce("bm25", F.lit(0.0)), 6).alias("bm25"))
 
@@ -98,7 +103,8 @@ DOC_QUERIES = [(1, "the thing"), (2, "von der"), (3, "para"), (4, "idiot clown")
 
 def _doc_scores(spark, sf) -> DataFrame:
     d = S.table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.lit("text").alias("field"), F.lit(1.0).alias("weight"), "text")
-    return B.score(B.build(d), B.query_terms(spark.createDataFrame(DOC_QUERIES, "query_id int, text string")))
+    terms = B.query_terms(spark.createDataFrame(DOC_QUERIES, "query_id int, text string"))
+    return B.score(B.build(d, terms), terms)
 
 
 @query("bm25_single", "WITH " + DOCS + " SELECT query_id, doc_id, round(bm25, 6) AS bm25 FROM s")

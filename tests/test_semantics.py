@@ -229,6 +229,24 @@ def test_every_pair_in_blocks(spark, monkeypatch):
     assert got.count() == 70 == got.distinct().count()
 
 
+def test_scores_in_blocks_equal_those_of_a_batch(spark, monkeypatch):
+    """Queries over the limit of a broadcast batch: matches are joined, not kept in maps."""
+    from lodestar.plans import retrieval as P
+
+    want = P.scored(spark, SF).collect()
+    monkeypatch.setattr(retrieve, "BATCH", 3)
+    got = P.scored(spark, SF).collect()
+    plain = lambda rows: sorted((r.query_id, r.service_id, r.score, round(r.bmn, 9), round(r.cos, 9)) for r in rows)
+    assert plain(got) == plain(want) and len(want) > 0
+
+
+def test_collaborative_for_some_users(spark):
+    c = S.clicks(spark, SF)
+    some = c.where("user_id % 7 = 0").select("user_id")
+    got = {tuple(r) for r in G.collaborative(c, some).collect()}
+    assert got == {tuple(r) for r in G.collaborative(c).collect() if r.user_id % 7 == 0} and got
+
+
 def test_engine_scenario(spark, tmp_path):
     raw = S.catalog(spark, SF)
     e = Engine(spark, str(tmp_path))
