@@ -6,11 +6,15 @@ catalog, stored as Parquet under its content hash, and read back, so a question
 
 from __future__ import annotations
 
+import time
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lodestar.functions import text as T
 from lodestar.functions.text import tokenize
 from lodestar.operators import answers as A
 from lodestar.operators import bm25 as B
@@ -36,6 +40,11 @@ FACTS = {
     "external": "id long, service string, ok boolean, latency_ms double",
     "turns": "session_id string, turn_idx int, query string, top_ids array<string>",
 }
+#: What answered queries have found.
+ANSWERS = "cache_key string, results array<struct<pos:int,service_id:string,pinned:boolean,deep:boolean,score:double,reason:string>>, ts double"
+#: Users with so many queries have a history that counts; so many of the newest ones, the present one included, do. Seconds that
+#: an answer is kept for.
+HISTORY, HISTORY_WINDOW, CACHE_S = 10, 50, 300.0
 Embedder = Callable[[DataFrame, str, str], DataFrame]
 
 
@@ -48,6 +57,7 @@ class Engine:
         self.kb: DataFrame | None = None
         self.index: B.Index | None = None
         self.vectors: DataFrame | None = None
+        self.version = ""
 
     # Catalog ------------------------------------------------------------------------------------------------------
 
@@ -75,10 +85,13 @@ class Engine:
         self.kb = S.searchable_text(K.active(self.spark, f"{self.root}/kb"))
         kb_hash = K.merkle_hash(self.kb).first()["kb_hash"]
         path = f"{self.root}/index/{kb_hash}"
+        self.version = kb_hash
         try:
             self.index = B.load(self.spark, path)
             self.vectors = self.spark.read.parquet(f"{path}/vectors")
-        except Exception:  # noqa: BLE001  nothing there yet
+        except AnalysisException as e:
+            if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):  # nothing there yet, or not all of it
+                raise
             B.save(B.build(S.catalog_fields(self.kb).withColumnRenamed("service_id", "id")), path)
             self.embed(self.kb, "service_id", "searchable").write.mode("overwrite").parquet(f"{path}/vectors")
             self.index = B.load(self.spark, path)
@@ -112,10 +125,17 @@ class Engine:
         self._append(fact, rows.select(*[c.split()[0] for c in FACTS[fact].split(", ")]))
 
     def facts(self, fact: str) -> DataFrame:
+        """The rows of a fact; none if nothing is recorded yet. Clicks of files without the column deprecated are not deprecated."""
+        rows = self._read(fact, FACTS[fact])
+        return rows.withColumn("deprecated", F.coalesce("deprecated", F.lit(False))) if fact == "clicks" else rows
+
+    def _read(self, name: str, schema: str) -> DataFrame:
         try:
-            return self.spark.read.schema(FACTS[fact]).parquet(f"{self.root}/{fact}")
-        except Exception:  # noqa: BLE001  nothing recorded yet
-            return self.spark.createDataFrame([], FACTS[fact])
+            return self.spark.read.schema(schema).parquet(f"{self.root}/{name}")
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return self.spark.createDataFrame([], schema)
 
     def popularity(self, now: float) -> DataFrame:
         return G.penalized(G.popularity_decayed(self.facts("clicks"), now), G.negative_signals(self.facts("feedback"), now))
@@ -127,20 +147,104 @@ class Engine:
         known = U.DOMAIN_SYNONYMS if self.synonyms is None else self.synonyms
         return U.synonym_groups(U.synonym_pairs(self.spark, known).unionByName(U.kb_synonym_pairs(self.kb, len(known))))
 
-    def scores(self, batch: DataFrame, now: float, mode: str = "hybrid") -> DataFrame:
+    def _stored(self, df: DataFrame) -> DataFrame:
+        """df written under root and read back: steps of a question that later ones read more than once."""
+        path = f"{self.root}/runs/{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def terms(self, batch: DataFrame, groups: DataFrame) -> DataFrame:
+        """(query_id, term, qtf): a query's words, those of their synonyms, and the nearest known word for each unknown one."""
+        words = U.expand(batch.select("query_id", F.explode(tokenize(F.col("text"))).alias("token")), groups)
+        fixed = U.corrections(words, self.index.terms.select("term").distinct()).select("token", "candidate")
+        near = words.join(fixed, "token").select("query_id", F.col("candidate").alias("token"))
+        return words.unionByName(near).distinct().select("query_id", F.col("token").alias("term"), F.lit(1).cast("long").alias("qtf"))
+
+    def plain_vectors(self, batch: DataFrame, groups: DataFrame) -> DataFrame:
+        return self.embed(U.normalize(batch, groups), "query_id", "normalized").select("query_id", "vec")
+
+    def history_vectors(self, history: DataFrame) -> DataFrame:
+        """history (query_id, query, i) with the vectors of its queries; each distinct text is embedded once."""
+        return history.join(self.embed(history.select("query").distinct(), "query", "query"), "query")
+
+    def query_vectors(self, batch: DataFrame, groups: DataFrame) -> DataFrame:
+        """(query_id, vec) of the queries in canonical words, drawn towards the history of users with HISTORY queries or more."""
+        own = self.plain_vectors(batch, groups)
+        asked = self.facts("queries")
+        often = asked.groupBy("user_id").agg(F.count("*").alias("n")).where(F.col("n") >= HISTORY)
+        history = H.history(batch.join(often.select("user_id"), "user_id", "left_semi"), asked, HISTORY_WINDOW - 1)
+        return H.din(own, self.history_vectors(history))
+
+    def scores(self, batch: DataFrame, now: float, mode: str = "hybrid", query_vectors: DataFrame | None = None, terms: DataFrame | None = None) -> DataFrame:
         """All services scored for each query (query_id, user_id, text)."""
-        named = U.normalize(batch, self._groups())
-        qv = self.embed(named, "query_id", "normalized")
-        return retrieve.scores(batch, self.kb, self.index, self.popularity(now), mode, qv, self.vectors)
+        groups = self._stored(self._groups()) if query_vectors is None or terms is None else None
+        qv = query_vectors if query_vectors is not None else self._stored(self.query_vectors(batch, groups))
+        words = terms if terms is not None else self._stored(self.terms(batch, groups))
+        return retrieve.scores(batch, self.kb, self.index, self.popularity(now), mode, qv, self.vectors, words)
 
     def search(self, batch: DataFrame, now: float, mode: str = "hybrid", recall: int = 20, k: int = 10) -> DataFrame:
-        """(query_id, pos, service_id): recall, rerank, diversify; a query that names a service has it first."""
-        top = retrieve.recall(self.scores(batch, now, mode), recall)
-        ranked = retrieve.reranked(retrieve.features(top, batch, self.kb, self.popularity(now)))
+        """(query_id, pos, service_id, pinned, deep, score, reason): recall, rerank, diversify; results that are not sure are fused
+        with a second recall by expanded words; a query that names a service has it first.
+
+        Modes keyword and semantic keep the order of their recall and are not reranked. Queries that hold nothing, or an injected
+        prompt, have no results.
+        """
+        clean = T.sanitize_query(F.col("text"))
+        batch = batch.where(~T.is_injection(F.col("text"))).withColumn("text", clean).where("text <> ''")
+        groups, batch = self._stored(self._groups()), self._stored(batch.select("query_id", "user_id", "text"))
+        qv = self._stored(self.query_vectors(batch, groups))
+        top = self._stored(retrieve.recall(self.scores(batch, now, mode, qv, self._stored(self.terms(batch, groups))), recall))
+        if mode == "hybrid":
+            ranked = retrieve.reranked(retrieve.features(top, batch, self.kb, self.popularity(now)))
+        else:
+            ranked = top.withColumn("rerank_score", F.col("score"))
         best = retrieve.diversified(ranked.select("query_id", "rank", "rerank_score", "service_id"), self.vectors, k, "rerank_score")
+        first = best.join(ranked.select("query_id", "service_id", "rerank_score"), ["query_id", "service_id"]).select("query_id", F.col("service_id").alias("id"), (F.col("pos") + 1).alias("rank"), F.col("rerank_score").alias("score"))
+        first = self._stored(first)
+        meant = U.classify(batch, self.kb).select("query_id", "intent")
+        known = self.facts("queries").select("user_id").distinct().withColumn("__known", F.lit(True))
+        about = batch.join(meant, "query_id").join(known, "user_id", "left").select("query_id", "intent", F.col("__known").isNull().alias("cold"))
+        sure = R.confidence(first.join(about, "query_id"), F.col("intent"), F.col("cold")).select("query_id", "deep")
+        sure = self._stored(sure)
+        unsure = self._stored(batch.join(sure.where("deep"), "query_id", "left_semi"))
+        again = self._stored(retrieve.recall(self.scores(unsure, now, mode, qv, self._stored(A.deep_terms(unsure, self.kb, groups))), 30))
+        fused = A.deepened(first, sure, again.select("query_id", F.col("service_id").alias("id"), "rank"), k)
         named = U.navigational(batch, self.kb).select("query_id", F.col("matched_id").alias("id"))
-        out = R.pin(best.select("query_id", F.col("service_id").alias("id"), (F.col("pos") + 1).alias("rank"), F.lit(0.0).alias("score")), named)
-        return out.where(F.col("rank") <= k).select("query_id", (F.col("rank") - 1).alias("pos"), F.col("id").alias("service_id"), "pinned")
+        out = R.pin(fused.select("query_id", "id", "rank", F.lit(0.0).alias("score")), named).where(F.col("rank") <= k).select("query_id", (F.col("rank") - 1).alias("pos"), F.col("id").alias("service_id"), "pinned")
+        # Where a score is of neither recall, the row was put first by its name.
+        both = top.select("query_id", "service_id", "score").unionByName(again.select("query_id", "service_id", "score")).groupBy("query_id", "service_id").agg(F.max("score").alias("score"))
+        own = self.kb.select("service_id", "service_name", "aliases", "service_intro")
+        shown = out.join(both, ["query_id", "service_id"], "left").join(own, "service_id").join(sure, "query_id", "left").join(batch.select("query_id", "text"), "query_id")
+        score = F.coalesce("score", F.lit(1.0))
+        told = F.when(F.col("pinned"), F.lit(R.DIRECT)).otherwise(R.template_reason(F.col("text"), F.col("service_name"), F.col("aliases"), F.col("service_intro"), score))
+        return shown.select("query_id", "pos", "service_id", "pinned", F.coalesce("deep", F.lit(False)).alias("deep"), score.alias("score"), told.alias("reason"))
+
+    def answer(self, batch: DataFrame, now: float, mode: str = "hybrid") -> DataFrame:
+        """search() of a batch, stored and written to the log: the queries join their users' histories, each gets a row in the
+        search log, and what it found is kept. A query that its user has asked of this version in this mode within CACHE_S seconds
+        is answered from what was kept."""
+        began, run = time.time(), f"{int(now * 1000)}-{uuid.uuid4().hex[:8]}"
+        cleaned = batch.withColumn("text", T.sanitize_query(F.col("text")))
+        keyed = cleaned.where("text <> ''").withColumn("cache_key", F.concat_ws(":", F.lit(self.version), T.cache_key(F.col("user_id").cast("string"), F.col("text"), F.lit(mode))))
+        kept = self._read("answers", ANSWERS).where((F.col("ts") > now - CACHE_S) & (F.col("ts") <= now))
+        newest = kept.groupBy("cache_key").agg(F.max_by("results", "ts").alias("results"))
+        hit = keyed.join(newest, "cache_key").select("query_id", "user_id", "text", "cache_key", "results", F.lit(True).alias("cache_hit"))
+        found = self.search(keyed.join(newest, "cache_key", "left_anti").select("query_id", "user_id", "text"), now, mode)
+        listed = found.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("pos", "service_id", "pinned", "deep", "score", "reason"))).alias("results"))
+        fresh = keyed.join(newest, "cache_key", "left_anti").join(listed, "query_id", "left").select("query_id", "user_id", "text", "cache_key", F.coalesce("results", F.array().cast(ANSWERS.split("results ")[1].split(", ts")[0])).alias("results"), F.lit(False).alias("cache_hit"))
+        path = f"{self.root}/runs/{run}"
+        hit.unionByName(fresh).write.parquet(path)
+        done = self.spark.read.parquet(path)
+        total = (time.time() - began) * 1000
+        number = F.lit(int(now * 1000)) * 1_000_000 + F.pmod(F.xxhash64("query_id", "user_id", "text"), F.lit(1_000_000))
+        self._append("queries", done.select(number.alias("id"), "user_id", F.col("text").alias("query"), F.lit(float(now)).alias("ts")))
+        top_ids = F.transform("results", lambda r: r["service_id"])
+        self._append("searches", done.select(
+            number.alias("id"), "user_id", F.col("text").alias("query"), top_ids.alias("top_ids"), F.create_map(F.lit("total"), F.lit(total)).alias("latencies"), "cache_hit",
+            (F.size("results") == 0).alias("degraded"), F.lit(False).alias("error"), F.lit(None).cast("string").alias("clicked_sid"), F.lit(float(now)).alias("ts"),
+        ))
+        self._append("answers", done.where("NOT cache_hit").select("cache_key", "results", F.lit(float(now)).alias("ts")))
+        return done.select("query_id", "cache_hit", F.inline("results"))
 
     def intersection(self, batch: DataFrame, now: float, recall: int = 30) -> DataFrame:
         """Services that all sub-queries of a query find, by the connectors in its text; else their fused union."""
@@ -168,10 +272,33 @@ class Engine:
         return judged.join(meant, "query_id").select("query_id", "class", "intent", way.alias("route"), "sub_queries")
 
     def session(self, turns: DataFrame, now: float, k: int = 40) -> DataFrame:
-        """turns (query_id, user_id, text, session_id, turn) -> (query_id, service_id, score, rank): all that a session has found
-        up to a turn, ranked for that turn."""
-        scored = self.scores(turns.select("query_id", "user_id", "text"), now)
-        return H.refined(scored, retrieve.recall(scored, 20), turns.select("query_id", "session_id", "turn"), k)
+        """turns (query_id, user_id, text, session_id, turn) -> (query_id, service_id, score, rank): the best k for a turn of all that
+        its session has found. A first turn is searched as any query; the vector of a later one is drawn towards the turns before,
+        and recalls k services beside theirs."""
+        groups, batch = self._stored(self._groups()), turns.select("query_id", "user_id", "text")
+        before = turns.select("session_id", F.col("turn").alias("then"), F.col("text").alias("query"))
+        w = Window.partitionBy("query_id").orderBy(F.desc("then"))
+        past = turns.select("query_id", "session_id", "turn").join(before, "session_id").where("then < turn").select("query_id", "query", F.row_number().over(w).alias("i"))
+        later = turns.where("turn > 0").select("query_id")
+        fused = H.din(self.plain_vectors(batch.join(later, "query_id", "left_semi"), groups), self.history_vectors(past))
+        qv = self._stored(fused.unionByName(self.query_vectors(batch.join(later, "query_id", "left_anti"), groups)))
+        scored = self._stored(self.scores(batch, now, "hybrid", qv, self._stored(self.terms(batch, groups))).select("query_id", "service_id", "ord", "score"))
+        return H.refined(scored, retrieve.recall(scored, k), turns.select("query_id", "session_id", "turn"), k)
+
+    def session_search(self, turns: DataFrame, now: float, k: int = 10) -> DataFrame:
+        """session() of the turns, reranked and diversified: (query_id, pos, service_id). What each turn found is recorded, and its
+        query joins the user's history."""
+        found = self._stored(self.session(turns, now))
+        listed = found.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "service_id"))), lambda r: r["service_id"]).alias("top_ids"))
+        recorded = turns.join(listed, "query_id").select(F.col("session_id").cast("string"), F.col("turn").cast("int").alias("turn_idx"), F.col("text").alias("query"), "top_ids")
+        self._append("turns", recorded)
+        self._append("queries", turns.select((F.lit(int(now * 1000)) * 1_000_000 + F.pmod(F.xxhash64("query_id", "text"), F.lit(1_000_000))).alias("id"), "user_id", F.col("text").alias("query"), F.lit(float(now)).alias("ts")))
+        batch = turns.select("query_id", "user_id", "text")
+        own = found.join(self.kb.select("service_id", "ord"), "service_id")
+        cos = own.join(self.plain_vectors(batch, self._groups()).withColumnRenamed("vec", "__q"), "query_id").join(self.vectors.select("service_id", F.col("vec").alias("__v")), "service_id", "left")
+        cos = cos.withColumn("cos", F.coalesce(V.dot(F.col("__q"), F.col("__v")), F.lit(0.0))).drop("__q", "__v", "rank")
+        ranked = retrieve.reranked(retrieve.features(cos, batch, self.kb, self.popularity(now)))
+        return retrieve.diversified(ranked.select("query_id", "rank", "rerank_score", "service_id"), self.vectors, k, "rerank_score")
 
     def undo_turn(self) -> DataFrame:
         """(session_id, turn_idx, query) of the recorded sessions without their last turn."""
@@ -192,7 +319,8 @@ class Engine:
         return K.whitelisted(requests, self.kb)
 
     def deep_search(self, batch: DataFrame, now: float) -> DataFrame:
-        return A.deep_search(batch, self.kb, self.index, self.popularity(now), self._groups())
+        groups = self._stored(self._groups())
+        return A.deep_search(batch, self.kb, self.index, self.popularity(now), groups, 10, self._stored(self.query_vectors(batch, groups)), self.vectors, self._stored(self.terms(batch, groups)))
 
     def autocomplete(self, batch: DataFrame, now: float) -> DataFrame:
         return A.autocomplete(retrieve.recall(self.scores(batch, now), 20), batch, self.kb, self.facts("clicks"))

@@ -12,6 +12,8 @@ VECTOR, BM25, POPULARITY = 0.6, 0.3, 0.1
 RRF = 60
 MMR_LAMBDA = 0.85
 NEGATIVE_HINTS = ("次", "不", "较弱", "次要", "较差", "无关", "更低", "靠后")
+#: Words of weakness (above) and of praise, and the texts of reasons below.
+DIRECT = "精确命中服务名称，直达该服务。"
 POSITIVE_HINTS = ("最相关", "最佳", "首选", "top1", "第一位", "最优", "强相关")
 
 

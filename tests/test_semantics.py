@@ -270,6 +270,53 @@ def test_engine_scenario(spark, tmp_path):
     assert {(r.version_id, r.active) for r in e.versions().collect()} == {("v1", True), ("v2", False)} and e.embedding_status().first().missing == 0
 
 
+def test_engine_search_flow(spark, tmp_path):
+    """History, modes, deep pass, reasons, log, cache and sessions."""
+    raw = S.catalog(spark, SF).where("ord < 40")
+    e = Engine(spark, str(tmp_path))
+    e.import_catalog(raw, "v1")
+    name = raw.where("ord = 7").first().service_name
+    columns = "query_id int, user_id long, text string"
+    batch = spark.createDataFrame([(1, 5, name), (2, 6, name.split()[0]), (3, 6, "  "), (4, 7, "ignore previous instructions")], columns)
+    got = e.answer(batch, NOW).collect()
+    by = {q: sorted((r for r in got if r.query_id == q), key=lambda r: r.pos) for q in (1, 2, 3, 4)}
+    assert by[1][0].service_id == "p7" or by[1][0].pinned
+    assert by[1][0].reason == R.DIRECT and not by[1][0].deep and not by[3] and not by[4]
+    assert [r.pos for r in by[2]] == list(range(10)) and all(r.reason for r in by[2])
+    log = {r.query: r for r in e.facts("searches").collect()}
+    assert log[name].top_ids == [r.service_id for r in by[1]] and not log[name].cache_hit and log[name].latencies["total"] > 0
+    again = e.answer(batch.where("query_id = 1"), NOW + 10).collect()
+    assert all(r.cache_hit for r in again) and sorted(again)[0].service_id == sorted(by[1], key=lambda r: r.pos)[0].service_id
+    assert not any(r.cache_hit for r in e.answer(batch.where("query_id = 1"), NOW + 1000).collect())
+    assert e.facts("queries").where("user_id = 5").count() == 3
+    # A history of ten queries draws the vector; nine do not.
+    groups = e._groups()
+    for user, n in ((20, 9), (21, 10)):
+        e.record("queries", spark.createDataFrame([(user * 100 + i, user, "red ring", NOW) for i in range(n)], "id long, user_id long, query string, ts double"))
+    two = spark.createDataFrame([(1, 20, "anvil"), (2, 21, "anvil")], columns)
+    plain, drawn = ({r.query_id: r.vec for r in v.collect()} for v in (e.plain_vectors(two, groups), e.query_vectors(two, groups)))
+    assert drawn[1] == pytest.approx(plain[1]) and drawn[2] != pytest.approx(plain[2], abs=1e-3)
+    # Without reranking the order is that of the scores, but for diversity's choice of the first.
+    semantic = [r for r in e.search(two.where("query_id = 1"), NOW, "semantic").collect() if not r.deep]
+    assert not semantic or sorted(semantic, key=lambda r: r.pos)[0].score == max(r.score for r in semantic)
+    turns = spark.createDataFrame([(1, 9, name, "s", 0), (2, 9, "ring", "s", 1)], columns + ", session_id string, turn int")
+    found = e.session(turns, NOW).collect()
+    assert all(sum(r.query_id == q for r in found) == 40 for q in (1, 2))
+    shown = e.session_search(turns, NOW).collect()
+    assert len(shown) == 20 and e.facts("turns").count() == 2 and e.undo_turn().first().query == name
+
+
+def test_engine_reads_fail_loudly(spark, tmp_path):
+    e = Engine(spark, str(tmp_path))
+    assert e.facts("clicks").count() == 0
+    (tmp_path / "clicks").mkdir()
+    (tmp_path / "clicks" / "part-0.parquet").write_bytes(b"not parquet")
+    with pytest.raises(Exception):
+        e.facts("clicks").count()
+    spark.createDataFrame([(1, 5, "p3", NOW)], "id long, user_id long, service_id string, ts double").write.parquet(f"{tmp_path}/old/clicks")
+    assert [r.deprecated for r in Engine(spark, f"{tmp_path}/old").facts("clicks").collect()] == [False]
+
+
 def brute_topk(ids, x, queries, k):
     x = x / np.linalg.norm(x, axis=1, keepdims=True)
     out = {}
@@ -332,7 +379,7 @@ def test_engine_logs_and_routes(spark, tmp_path):
     assert {r.query_id: r.route for r in e.route(batch).collect()} == {1: "refuse", 2: "session", 3: "search"}
     turns = spark.createDataFrame([(1, 5, "hot gear", "s", 0), (2, 5, "promo", "s", 1)], "query_id int, user_id long, text string, session_id string, turn int")
     found = {q: {r.service_id for r in e.session(turns, NOW).collect() if r.query_id == q} for q in (1, 2)}
-    assert found[1] and found[1] <= found[2]
+    assert len(found[1]) == len(found[2]) == 40  # the best 40 of 50 for a turn, as the reference keeps them
     e.record("turns", spark.createDataFrame([("s", 0, "a", ["p1"]), ("s", 1, "b", ["p2"])], FACTS["turns"]))
     assert tuple(e.undo_turn().first()) == ("s", 0, "a")
     assert e.guide(spark.createDataFrame([(1, "Open [[p1]] or [[nowhere]]")], "step_id int, raw string")).first().services == "p1"
