@@ -156,8 +156,9 @@ def keep_dissimilar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         signed = signed.join(ids.select(F.coalesce(F.col(ids.columns[0]).cast("long"), F.lit(NULL_ID)).alias("id")).distinct(), "id", "left_semi")
     nodes = stored(signed.groupBy("node").agg(F.min("id").alias("least"), F.first("keys").alias("keys")), "nodes")
     members = _members(nodes.select("least", "node", F.posexplode("keys").alias("band", "k")))
-    needed = members.select("node").distinct()
-    texts = _texts(docs, id_col, text_col).select("node", "t").join(needed, "node", "left_semi").dropDuplicates(["node"])
+    # The row of the smallest id stands for a text; by id and text, copies are not dealt to one task.
+    needed = members.select("node", F.col("least").alias("id")).distinct()
+    texts = _texts(docs, id_col, text_col).join(needed, ["id", "node"], "left_semi").select("node", "t").dropDuplicates(["node"])
     sets = stored(texts.mapInArrow(hashed, "node long, hashes array<long>"), "sets")
     gone = [_dropped(members.where("first.node <> node").select(F.col("first.node").alias("a"), F.col("node").alias("b")), sets, similarity)]
     rest = _members(members.select("k", "band", "least", "node").join(gone[0], "node", "left_anti"))
