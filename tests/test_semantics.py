@@ -333,7 +333,7 @@ def test_vector_search_takes_every_hundredth_row(spark):
     few = {i for i in ids if i % 100 == 0}
     assert len(few) > 1
     blocked = V.top_k(frame.withColumnRenamed("id", "query_id"), frame, 20, block=100)  # many blocks on both sides
-    for got, queries in ((all_queries.QUERIES["vector_search"](spark, SF), few), (blocked, set(ids))):
+    for got, queries in ((all_queries.QUERIES["vector_topk"](spark, SF), few), (blocked, set(ids))):
         by = {}
         for r in got.collect():
             by.setdefault(r.query_id, []).append((r["rank"], r.id, r.cosine))
