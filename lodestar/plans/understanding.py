@@ -84,24 +84,28 @@ def parse_llm_class(spark, sf):
     return A.parse_class(answers)
 
 
-PAIRS = ", ".join(f"({i}, '{c}', '{w}')" for i, (c, ws) in enumerate(U.DOMAIN_SYNONYMS.items()) for w in [c, *ws])
-SYN = f"""pairs(ord, canonical, word) AS (VALUES {PAIRS}), links AS (SELECT DISTINCT a.ord AS a, b.ord AS b FROM pairs a JOIN pairs b USING (word)),
-reach(a, b) AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b), roots AS (SELECT a AS ord, min(b) AS root FROM reach GROUP BY 1),
-groups AS (SELECT DISTINCT p.word, r.root AS group_id, c.canonical FROM pairs p JOIN roots r USING (ord) JOIN (SELECT DISTINCT ord, canonical FROM pairs) c ON c.ord = r.root)"""
+DICTIONARY = ", ".join(f"({i}, '{c}', '{w}')" for i, (c, ws) in enumerate(U.DOMAIN_SYNONYMS.items()) for w in [c, *ws])
+#: Groups of the dictionary, then of each service's name and aliases; those that share a word, through any chain, are one.
+SYN = f"""pairs(ord, canonical, word) AS (SELECT * FROM (VALUES {DICTIONARY})
+UNION ALL SELECT ord + {len(U.DOMAIN_SYNONYMS)}, lower(service_name), lower(unnest([service_name, aliases[1], aliases[2]])) FROM kb),
+links AS (SELECT DISTINCT a.word AS a, b.word AS b FROM pairs a JOIN pairs b USING (ord) WHERE a.word <> '' AND b.word <> ''),
+reach(a, b) AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b),
+roots AS (SELECT a AS word, min(ord) AS root FROM reach JOIN pairs ON word = b GROUP BY 1),
+groups AS (SELECT DISTINCT word, root AS group_id, c.canonical FROM roots JOIN (SELECT DISTINCT ord, canonical FROM pairs) c ON c.ord = root)"""
 
 
-@query("synonym_groups", f"WITH RECURSIVE {SYN} SELECT word, group_id, canonical FROM groups")
+@query("synonym_groups", f"{with_('kb')}, {SYN} SELECT word, group_id, canonical FROM groups")
 def synonym_groups(spark, sf):
-    return _groups(spark)
+    return _groups(spark, sf)
 
 
-def _groups(spark):
-    return U.synonym_groups(U.synonym_pairs(spark))
+def _groups(spark, sf):
+    return U.synonym_groups(U.synonym_pairs(spark).unionByName(U.kb_synonym_pairs(S.catalog(spark, sf), len(U.DOMAIN_SYNONYMS))))
 
 
-@query("synonym_stats", f"WITH RECURSIVE {SYN} SELECT count(DISTINCT group_id) AS groups, count(DISTINCT word) AS tokens FROM groups")
+@query("synonym_stats", f"{with_('kb')}, {SYN} SELECT count(DISTINCT group_id) AS groups, count(DISTINCT word) AS tokens FROM groups")
 def synonym_stats(spark, sf):
-    return _groups(spark).agg(F.countDistinct("group_id").alias("groups"), F.countDistinct("word").alias("tokens"))
+    return _groups(spark, sf).agg(F.countDistinct("group_id").alias("groups"), F.countDistinct("word").alias("tokens"))
 
 
 TOKENS = f"tokens AS (SELECT DISTINCT query_id, unnest(regexp_extract_all(lower(text), {TOK})) AS token FROM asked)"
@@ -113,23 +117,28 @@ def _tokens(queries):
     return queries.select("query_id", F.explode(T.tokenize(F.col("text"))).alias("token"))
 
 
-@query("synonym_expand", f"WITH RECURSIVE {ASK}, {SYN}, {TOKENS}, {EXPAND} SELECT query_id, token FROM expanded")
+@query("synonym_expand", f"{with_('kb')}, {ASK}, {SYN}, {TOKENS}, {EXPAND} SELECT query_id, token FROM expanded")
 def synonym_expand(spark, sf):
-    return U.expand(_tokens(asked(spark, sf)), _groups(spark))
+    return U.expand(_tokens(asked(spark, sf)), _groups(spark, sf))
 
 
-@query("synonym_normalize", f"WITH RECURSIVE {ASK}, {SYN}, t AS (SELECT query_id, unnest(regexp_extract_all(lower(text), {TOK})) AS token, unnest(range(len(regexp_extract_all(lower(text), {TOK})))) AS pos FROM asked), n AS (SELECT query_id, string_agg(coalesce(canonical, token), ' ' ORDER BY pos) AS n FROM t LEFT JOIN groups ON word = token GROUP BY 1) SELECT query_id, coalesce(n, text) AS normalized FROM asked LEFT JOIN n USING (query_id)")
+@query("synonym_normalize", f"{with_('kb')}, {ASK}, {SYN}, t AS (SELECT query_id, unnest(regexp_extract_all(lower(text), {TOK})) AS token, unnest(range(len(regexp_extract_all(lower(text), {TOK})))) AS pos FROM asked), n AS (SELECT query_id, string_agg(coalesce(canonical, token), ' ' ORDER BY pos) AS n FROM t LEFT JOIN groups ON word = token GROUP BY 1) SELECT query_id, coalesce(n, text) AS normalized FROM asked LEFT JOIN n USING (query_id)")
 def synonym_normalize(spark, sf):
-    return U.normalize(asked(spark, sf), _groups(spark))
+    return U.normalize(asked(spark, sf), _groups(spark, sf))
 
 
-#: Misspellings of catalog words, ASCII alone, since the checking engine's distance counts bytes.
-SPELL = f"""words AS (SELECT DISTINCT unnest(regexp_extract_all(lower(p_name), {TOK})) AS w FROM part), typos AS (SELECT DISTINCT w || 'x' AS token FROM words UNION SELECT DISTINCT w[2:] FROM words UNION SELECT DISTINCT reverse(w) FROM words),
-vocab AS (SELECT DISTINCT term FROM post WHERE length(term) >= 2 AND regexp_full_match(term, '[ -~]+')), fix AS (SELECT token, arg_min(term, (levenshtein(token, term), length(term), term)) AS candidate, min(levenshtein(token, term)) AS distance FROM typos JOIN vocab ON abs(length(token) - length(term)) <= 2 WHERE length(token) >= 2 AND token NOT IN (SELECT term FROM post) AND levenshtein(token, term) <= 2 GROUP BY token)"""
+#: Misspellings of catalog words. The checking engine's distance counts bytes; the words asked for are ASCII, so a term without
+#: any ASCII character is as far from them as the longer of the two is long.
+SPELL = f"""words AS (SELECT DISTINCT unnest(regexp_extract_all(lower(p_name), {TOK})) AS w FROM part),
+typos AS (SELECT DISTINCT w || 'x' AS token FROM words UNION SELECT DISTINCT w[2:] FROM words UNION SELECT DISTINCT reverse(w) FROM words),
+vocab AS (SELECT DISTINCT term FROM post WHERE length(term) >= 2),
+near AS (SELECT token, term, CASE WHEN regexp_full_match(term, '[ -~]+') THEN levenshtein(token, term) ELSE greatest(length(token), length(term)) END AS d
+  FROM typos JOIN vocab ON abs(length(token) - length(term)) <= 2 WHERE length(token) >= 2 AND token NOT IN (SELECT term FROM post)),
+fix AS (SELECT token, arg_min(term, (d, length(term), term)) AS candidate, min(d) AS distance FROM near WHERE d <= 2 GROUP BY token)"""
 
 
 def _vocab(spark, sf):
-    return index(spark, sf).postings.select("term").distinct().where(F.col("term").rlike("^[ -~]+$"))
+    return index(spark, sf).postings.select("term").distinct()
 
 
 def _typos(spark, sf):
@@ -183,12 +192,12 @@ KTOK = f"kt AS (SELECT service_id, list_distinct(regexp_extract_all(lower(servic
 
 @query("deep_expand", with_("kb") + f", {ASK}, {SYN}, {TOKENS}, {EXPAND}, {KTOK}, ks AS (SELECT DISTINCT toks FROM kt), co AS (SELECT DISTINCT t.query_id, unnest(toks) AS token FROM tokens t JOIN ks ON list_contains(toks, t.token)), x AS (SELECT query_id, token, min(kind) AS kind FROM (SELECT query_id, token, 0 AS kind FROM tokens UNION ALL SELECT query_id, token, 1 FROM expanded UNION ALL SELECT query_id, token, 2 FROM co) GROUP BY ALL) SELECT query_id, token, row_number() OVER (PARTITION BY query_id ORDER BY kind, token) AS n FROM x QUALIFY n <= 40")
 def deep_expand(spark, sf):
-    return U.deep_expand(asked(spark, sf), S.catalog(spark, sf), _groups(spark))
+    return U.deep_expand(asked(spark, sf), S.catalog(spark, sf), _groups(spark, sf))
 
 
 @query("deep_search")
 def deep_search(spark, sf):
-    return A.deep_search(S.query_batch(spark), kb(spark, sf), index(spark, sf), popularity(spark, sf), _groups(spark))
+    return A.deep_search(S.query_batch(spark), kb(spark, sf), index(spark, sf), popularity(spark, sf), _groups(spark, sf))
 
 
 @query("autocomplete", DCN + """, h AS (SELECT *, round(score + 0.01 * so, 6) AS rerank_score, row_number() OVER (PARTITION BY query_id ORDER BY round(score + 0.01 * so, 6) DESC, ord) AS pos FROM f QUALIFY pos <= 10),
