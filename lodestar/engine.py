@@ -45,15 +45,27 @@ ANSWERS = "cache_key string, results array<struct<pos:int,service_id:string,pinn
 #: Users with so many queries have a history that counts; so many of the newest ones, the present one included, do. Seconds that
 #: an answer is kept for.
 HISTORY, HISTORY_WINDOW, CACHE_S = 10, 50, 300.0
+#: Related services that are kept for each service.
+RELATED = 3
 Embedder = Callable[[DataFrame, str, str], DataFrame]
+Reranker = Callable[[DataFrame], DataFrame]
+Reasoner = Callable[[DataFrame], DataFrame]
 
 
 class Engine:
     """root is a folder that all executors share. embed turns (id, text) columns of a DataFrame into (id, vec); the default is the
-    hash embedding, and a model served elsewhere can be put in its place. Its vectors are normalised here."""
+    hash embedding, and a model served elsewhere can be put in its place. Its vectors are normalised here.
 
-    def __init__(self, spark: SparkSession, root: str, embed: Embedder = V.hash_embedding, synonyms: dict[str, list[str]] | None = None):
+    rerank turns (query_id, text, index, service_id, searchable) of the recalled services, index being their place from 0, into
+    (query_id, index, relevance); reason turns (query_id, text, pos, service_id, service_name, service_intro) of the results into
+    (query_id, service_id, reason). Where they are not given, or give nothing of use, the local forms stand in."""
+
+    def __init__(
+        self, spark: SparkSession, root: str, embed: Embedder = V.hash_embedding, synonyms: dict[str, list[str]] | None = None,
+        rerank: Reranker | None = None, reason: Reasoner | None = None,
+    ):
         self.spark, self.root, self.embed, self.synonyms = spark, root.rstrip("/"), embed, synonyms
+        self.rerank, self.reason = rerank, reason
         self.kb: DataFrame | None = None
         self.index: B.Index | None = None
         self.vectors: DataFrame | None = None
@@ -74,6 +86,18 @@ class Engine:
         self._append("op_logs", self.spark.createDataFrame([(0, "import", version_id, True, now)], FACTS["op_logs"]))
         return self.open()
 
+    def start(self, given: str | None = None, default: str | None = None, now: float = 0.0) -> str | None:
+        """Open the first catalog that is there: the JSON file given, the active version, the default JSON file. None if none is."""
+        if given and K.exists(self.spark, given):
+            source = given
+        elif K.exists(self.spark, f"{self.root}/kb/active"):
+            return self.open()
+        elif default and K.exists(self.spark, default):
+            source = default
+        else:
+            return None
+        return self.import_catalog(S.searchable_text(K.read_json(self.spark, source)), uuid.uuid4().hex, now)
+
     def rollback(self, version_id: str) -> str:
         """Make an earlier version the active one."""
         self.spark.read.parquet(f"{self.root}/kb/version={version_id}")
@@ -124,6 +148,11 @@ class Engine:
             rows = rows.drop("deprecated").join(known, "service_id", "left").withColumn("deprecated", F.col("__gone").isNull()).drop("__gone")
         self._append(fact, rows.select(*[c.split()[0] for c in FACTS[fact].split(", ")]))
 
+    def reset(self) -> None:
+        """Forget all behaviour, logs and kept answers; the catalog and its versions' files stay."""
+        for name, schema in {**FACTS, "answers": ANSWERS}.items():
+            self.spark.createDataFrame([], schema).write.mode("overwrite").parquet(f"{self.root}/{name}")
+
     def facts(self, fact: str) -> DataFrame:
         """The rows of a fact; none if nothing is recorded yet. Clicks of files without the column deprecated are not deprecated."""
         rows = self._read(fact, FACTS[fact])
@@ -195,7 +224,7 @@ class Engine:
         qv = self._stored(self.query_vectors(batch, groups))
         top = self._stored(retrieve.recall(self.scores(batch, now, mode, qv, self._stored(self.terms(batch, groups))), recall))
         if mode == "hybrid":
-            ranked = retrieve.reranked(retrieve.features(top, batch, self.kb, self.popularity(now)))
+            ranked = self._reranked(top, batch, now)
         else:
             ranked = top.withColumn("rerank_score", F.col("score"))
         best = retrieve.diversified(ranked.select("query_id", "rank", "rerank_score", "service_id"), self.vectors, k, "rerank_score")
@@ -217,8 +246,37 @@ class Engine:
         shown = out.join(both, ["query_id", "service_id"], "left").join(own, "service_id").join(sure, "query_id", "left").join(batch.select("query_id", "text"), "query_id")
         score = F.coalesce("score", F.lit(1.0))
         told = F.when(F.col("pinned"), F.lit(R.DIRECT)).otherwise(R.template_reason(F.col("text"), F.col("service_name"), F.col("aliases"), F.col("service_intro"), score))
+        if self.reason:
+            asked = self._stored(shown.select("query_id", "text", "pos", "service_id", "service_name", "service_intro"))
+            shown = shown.join(self._reasons(asked), ["query_id", "service_id"], "left")
+            told = F.when(F.col("pinned"), F.lit(R.DIRECT)).otherwise(F.coalesce("said", told))
         return shown.select("query_id", "pos", "service_id", "pinned", F.coalesce("deep", F.lit(False)).alias("deep"), score.alias("score"), told.alias("reason"))
 
+    def _reranked(self, recalled: DataFrame, batch: DataFrame, now: float) -> DataFrame:
+        featured = retrieve.features(recalled, batch, self.kb, self.popularity(now))
+        if not self.rerank:
+            return retrieve.reranked(featured)
+        asked = recalled.join(batch.select("query_id", "text"), "query_id").join(self.kb.select("service_id", "searchable"), "service_id")
+        answered = self._stored(self.rerank(asked.select("query_id", "text", (F.col("rank") - 1).alias("index"), "service_id", "searchable")))
+        return retrieve.provider_reranked(featured, answered)
+
+    def _reasons(self, asked: DataFrame) -> DataFrame:
+        """(query_id, service_id, said): what the model gave as reasons, without those of other services, empty ones and those
+        that speak against the order."""
+        own = asked.select("query_id", "service_id", (F.col("pos") + 1).alias("rank"), F.count("*").over(Window.partitionBy("query_id")).alias("n"))
+        given = self.reason(asked).select("query_id", F.col("service_id").alias("id"), "reason")
+        clean = retrieve.clean_reasons(given, "id", "reason").withColumnRenamed("id", "service_id").join(own, ["query_id", "service_id"])
+        fit = clean.where(~R.contradicts_rank(F.col("reason"), F.col("rank"), F.col("n")))
+        return self._stored(fit.groupBy("query_id", "service_id").agg(F.min("reason").alias("said")))
+
+    def combination(self, batch: DataFrame, now: float) -> DataFrame:
+        """batch (query_id, user_id, steps array<string>) -> (query_id, step, label, service_id, score, reason): the first result of
+        each step that is not blank, in the steps' order from 0; a step that finds nothing has null for its service."""
+        steps = F.filter(F.transform("steps", lambda s: F.trim(s)), lambda s: s.isNotNull() & (s != ""))
+        wide = self._stored(batch.select("query_id", "user_id", F.posexplode(steps).alias("step", "label")).withColumn("one", F.to_json(F.struct("query_id", "step"))))
+        best = self.search(wide.select(F.col("one").alias("query_id"), "user_id", F.col("label").alias("text")), now).where("pos = 0")
+        return wide.join(best.select(F.col("query_id").alias("one"), "service_id", "score", "reason"), "one", "left").drop("one", "user_id")
+
     def answer(self, batch: DataFrame, now: float, mode: str = "hybrid") -> DataFrame:
         """search() of a batch, stored and written to the log: the queries join their users' histories, each gets a row in the
         search log, and what it found is kept. A query that its user has asked of this version in this mode within CACHE_S seconds
@@ -332,8 +390,20 @@ class Engine:
         return U.classify(batch, self.kb)
 
     def related(self, k: int = 3) -> DataFrame:
+        """(service_id, related_id, rank). The first RELATED are worked out once for a catalog's content and stored beside its index."""
         v = self.vectors.select(F.col("service_id").alias("id"), "vec")
-        return V.top_k(v.withColumnRenamed("id", "query_id"), v, k, exclude_self=True).select(F.col("query_id").alias("service_id"), F.col("id").alias("related_id"), "rank")
+        near = lambda: V.top_k(v.withColumnRenamed("id", "query_id"), v, max(k, RELATED), exclude_self=True).select(F.col("query_id").alias("service_id"), F.col("id").alias("related_id"), "rank")
+        if k > RELATED:
+            return near()
+        path = f"{self.root}/index/{self.version}/related"
+        if not K.exists(self.spark, f"{path}/_SUCCESS"):
+            near().write.mode("overwrite").parquet(path)
+        return self.spark.read.parquet(path).where(F.col("rank") <= k)
+
+    def write_log(self, path: str, since: float = 0.0) -> None:
+        """Append the search log from since on to a folder of text files, one JSON object a line."""
+        logs = self.searches().where(F.col("ts") >= since)
+        L.json_lines(logs, "search", F.lit("search"), F.col("ts")).write.mode("append").text(path)
 
     def dropdown(self, users: DataFrame) -> DataFrame:
         return C.dropdown(users, self.facts("queries"), self.facts("clicks"), self.kb, self.related())

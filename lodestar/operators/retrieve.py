@@ -132,6 +132,18 @@ def reranked(featured: DataFrame) -> DataFrame:
     return _ordered(featured.withColumn("rerank_score", F.round(R.heuristic(F.col("cosine"), F.col("score"), F.col("name_ov"), F.col("intro_ov")), 6)))
 
 
+def provider_reranked(featured: DataFrame, responses: DataFrame) -> DataFrame:
+    """featured in the order that a model gave: responses (query_id, index, relevance), index being the place in the recall from 0.
+
+    A candidate without relevance keeps its score, one that the model left out goes, one named twice counts by its largest
+    relevance. Places that no candidate has are dropped; a query left without any is reranked here.
+    """
+    said = responses.groupBy("query_id", (F.col("index") + 1).alias("rank")).agg(F.max("relevance").alias("__said"))
+    mapped = featured.join(said, ["query_id", "rank"]).withColumn("rerank_score", F.round(F.coalesce("__said", "score"), 6)).drop("__said")
+    rest = featured.join(mapped.select("query_id").distinct(), "query_id", "left_anti")
+    return _ordered(mapped).unionByName(reranked(rest))
+
+
 def overlap_reranked(recalled: DataFrame, batch: DataFrame, kb: DataFrame) -> DataFrame:
     """score plus 0.01 for each distinct token that query and service share."""
     j = recalled.join(batch.select("query_id", F.array_distinct(tokenize(F.col("text"))).alias("q")), "query_id").join(kb.select("service_id", "searchable"), "service_id")
@@ -145,10 +157,15 @@ def diversified(ranked: DataFrame, vectors: DataFrame, k: int = 10, rel: str = "
     return c.select("query_id", "c", F.posexplode(R.mmr(F.col("c"), k)).alias("pos", "p")).select("query_id", "pos", F.get("c", F.col("p"))["service_id"].alias("service_id"))
 
 
+def clean_reasons(reasons: DataFrame, id_col: str = "service_id", reason_col: str = "reason") -> DataFrame:
+    """reasons with tags stripped from both columns, cut to their limits, without empty ones."""
+    own = reasons.withColumns({id_col: F.substring(strip_(F.col(id_col)), 1, MAX_ID), reason_col: F.substring(strip_(strip_html(F.col(reason_col))), 1, MAX_REASON)})
+    return own.where(F.col(reason_col) != "")
+
+
 def valid_reasons(reasons: DataFrame, kb: DataFrame) -> DataFrame:
     """(service_id, reason) of known services, tags stripped, cut to the limit, without empty ones."""
-    own = reasons.select(F.substring(strip_(F.col("service_id")), 1, MAX_ID).alias("service_id"), F.substring(strip_(strip_html(F.col("reason"))), 1, MAX_REASON).alias("reason"))
-    return own.where("reason <> ''").join(kb.select("service_id"), "service_id", "left_semi")
+    return clean_reasons(reasons.select("service_id", "reason")).join(kb.select("service_id"), "service_id", "left_semi")
 
 
 def pick_component(tokens: Column, components: Column, button: Column, path: Column) -> Column:

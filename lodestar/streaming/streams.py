@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import logging
+import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -11,6 +13,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from lodestar.operators import monitor as M
 
+LOG = logging.getLogger(__name__)
 EVENT_SCHEMA = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
 
@@ -73,18 +76,27 @@ def rate_limited(requests: DataFrame, capacity: float) -> DataFrame:
     return requests.groupBy("user_id").applyInPandasWithState(fold, "id long, user_id long, allowed boolean", "level double, last double", "append", GroupStateTimeout.NoTimeout)
 
 
-def alert_sink(send: Callable[[list[dict]], None], external: DataFrame | None = None) -> Callable[[DataFrame, int], None]:
-    """For foreachBatch over metrics_of(): evaluates the alert rules on each batch and hands what fires to send. Errors of send
-    do not stop the stream. Alerts are a handful of rows."""
+def backoff(attempt: int, base_s: float = 0.5) -> float:
+    """Seconds to wait after the attempt (from 0) that failed."""
+    return base_s * 2**attempt
 
-    def run(batch: DataFrame, _: int) -> None:
+
+def alert_sink(send: Callable[[list[dict]], None], external: DataFrame | None = None, attempts: int = 3, base_s: float = 0.5) -> Callable[[DataFrame, int], None]:
+    """For foreachBatch over metrics_of(): evaluates the alert rules on each batch and hands what fires to send. Where send
+    fails it is tried again, each time after twice the wait; what no attempt could send is logged, and the stream goes on.
+    Alerts are a handful of rows."""
+
+    def run(batch: DataFrame, number: int) -> None:
         calls = external if external is not None else batch.sparkSession.createDataFrame([], "id long, service string, ok boolean")
-        fired = M.alerts(M.health(batch, calls), M.consecutive_failures(calls)).collect()
-        if fired:
+        fired = [r.asDict() for r in M.alerts(M.health(batch, calls), M.consecutive_failures(calls)).collect()]
+        for attempt in range(attempts if fired else 0):
             try:
-                send([r.asDict() for r in fired])
-            except Exception as e:  # noqa: BLE001
-                print(f"alert not sent: {e}")
+                return send(fired)
+            except Exception:  # noqa: BLE001
+                if attempt + 1 == attempts:
+                    LOG.exception("alerts of batch %s not sent: %s", number, fired)
+                else:
+                    time.sleep(backoff(attempt, base_s))
 
     return run
 

@@ -394,3 +394,37 @@ def test_json_catalog(spark, tmp_path):
     (tmp_path / "kb.json").write_text('[{"service_id": "a", "service_name": "A", "aliases": ["x"], "service_intro": "i", "route": "/go/open-me"}, {"service_id": "b", "service_name": "B", "aliases": [], "service_intro": "i", "route": {"path": "javascript:x", "component": "C", "action_button": "Go"}}]')
     got = {r.service_id: (r.path, r.component, r.decision_button, r.derived) for r in K.read_json(spark, str(tmp_path / "kb.json")).collect()}
     assert got == {"a": ("/go/open-me", "OpenMe", T.ENTER, True), "b": ("", "C", "Go", False)}
+
+
+def test_engine_providers_sources_and_reset(spark, tmp_path):
+    """Hooks for a reranker and a reasoner, the combination of steps, related services kept, log lines, sources and reset."""
+    import json
+
+    root = f"{tmp_path}/e"
+    say = lambda d: d.select("query_id", "index", F.when(F.col("index") == 5, 9.0).alias("relevance")).where("query_id <> '2'").union(spark.createDataFrame([("1", 99, 50.0)], "a string, b int, c double"))
+    tell = lambda d: d.where("pos < 2").select("query_id", "service_id", F.when(F.col("pos") == 0, "<b>fits</b> well").otherwise("次要").alias("reason"))
+    e = Engine(spark, root, rerank=say, reason=tell)
+    assert e.start(f"{tmp_path}/none.json", f"{tmp_path}/none either") is None
+    raw = S.catalog(spark, SF).where("ord < 30")
+    e.import_catalog(raw, "v1")
+    batch = spark.createDataFrame([("1", 5, "anvil"), ("2", 5, "ring")], "query_id string, user_id long, text string")
+    top = {(r.query_id, r["rank"]): r.service_id for r in retrieve.recall(e.scores(batch, NOW)).collect()}
+    got = {(r.query_id, r["rank"]): r for r in e._reranked(retrieve.recall(e.scores(batch, NOW)), batch, NOW).select("query_id", "rank", "service_id", "rerank_score", "score").collect()}
+    assert got["1", 1].service_id == top["1", 6] and got["1", 1].rerank_score == 9.0 and got["1", 2].rerank_score == pytest.approx(got["1", 2].score, abs=1e-6)
+    assert sum(q == "1" for q, _ in got) == sum(q == "2" for q, _ in got) == 20  # the second query, without an answer, is reranked here
+    both = spark.createDataFrame([(7, 5, ["anvil", " ", None, "ignore previous instructions"])], "query_id long, user_id long, steps array<string>")
+    steps = sorted(e.combination(both, NOW).collect(), key=lambda r: r.step)
+    assert [(r.step, r.label) for r in steps] == [(0, "anvil"), (1, "ignore previous instructions")] and steps[0].service_id and steps[1].service_id is None
+    assert steps[0].reason in ("fits well", R.DIRECT)
+    first = sorted(map(tuple, e.related().collect()))
+    kept = list((tmp_path / "e" / "index" / e.version / "related").glob("*.parquet"))
+    assert kept and sorted(map(tuple, e.related().collect())) == first and len(first) == 90 and e.related(5).count() == 150 and e.related(1).count() == 30
+    e.record("searches", spark.createDataFrame([(1, 5, "ring", ["p1"], {"total": 5.0}, False, False, False, None, NOW)], FACTS["searches"]))
+    e.write_log(f"{tmp_path}/log")
+    line = json.loads(spark.read.text(f"{tmp_path}/log").first().value)
+    assert line["level"] == "INFO" and line["query"] == "ring" and line["clicked_sid"] is None and "T" in line["ts"]
+    e.reset()
+    assert all(e.facts(f).count() == 0 for f in FACTS) and e.kb.count() == 30
+    (tmp_path / "kb.json").write_text('[{"service_id": "a", "service_name": "A", "aliases": ["x"], "service_intro": "i", "route": "/go/open-me"}]')
+    assert Engine(spark, root).start(None, f"{tmp_path}/kb.json") == e.version  # the active version goes before the default
+    assert Engine(spark, f"{tmp_path}/new").start(None, f"{tmp_path}/kb.json") and Engine(spark, root).start(f"{tmp_path}/kb.json") != e.version

@@ -52,3 +52,19 @@ def test_alert_sink(spark):
     sent = []
     streams.alert_sink(sent.extend)(S.metrics(spark, SF), 0)
     assert any(a["rule"] == "error_rate" for a in sent)
+
+
+def test_alert_sink_tries_again_and_goes_on(spark):
+    calls, waits = [], [streams.backoff(i) for i in range(3)]
+
+    def fails(rows):
+        calls.append(len(rows))
+        if len(calls) != 2:
+            raise OSError("away")
+
+    sink = streams.alert_sink(fails, base_s=0.0)
+    sink(S.metrics(spark, SF), 0)
+    assert len(calls) == 2 and waits == [0.5, 1.0, 2.0]
+    calls[:] = [0, 0]
+    sink(S.metrics(spark, SF), 1)
+    assert len(calls) == 5
