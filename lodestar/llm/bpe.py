@@ -354,10 +354,8 @@ class WordBpe:
                 if not part.isascii():
                     part = unicodedata.normalize("NFC", part).replace("Σ", "σ")
                 part = part.lower()
-                if (pieces := part.split()) and (CONTROL.search(part) or self.special_re and "<|" in part):
-                    # str.split takes \x1c-\x1f for white space; a special token's string made here is ordinary text.
-                    pieces = WORD.findall(part)
-                out += pieces
+                # str.split takes \x1c-\x1f for white space; a special token's string made here is ordinary text.
+                out += WORD.findall(part) if CONTROL.search(part) or self.special_re and "<|" in part else part.split()
         return out
 
     def _numbers(self, pieces: list[str]) -> np.ndarray:

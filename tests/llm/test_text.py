@@ -110,6 +110,14 @@ def test_bpe_random_texts(pair):
     check(pair, ["".join(rnd.choice(parts) for _ in range(rnd.randint(1, 30))) for _ in range(3000)])
 
 
+def test_bpe_control_characters(pair):
+    """Characters that str.split takes for white space and the library doesn't, alone, in words and beside special tokens."""
+    check(pair, ["\x1c", " \x1f ", "a <|endoftext|> \x1e", "\x1d\x1d a", "<|endoftext|>\x1c<|startoftext|>\x1f"])
+    rnd = random.Random(7)
+    parts = ["\x1c", "\x1d", "\x1e", "\x1f", " ", "\n", "\t", "a", "Word", "é", "12", "'s", "<|endoftext|>", "<|startoftext|>", "<|", "|>", "!", "日"]
+    check(pair, ["".join(rnd.choice(parts) for _ in range(rnd.randint(1, 12))) for _ in range(10_000)])
+
+
 def test_bpe_cache_turnover(pair, monkeypatch):
     monkeypatch.setattr(B, "CACHE_BYTES", 500)
     fresh = B.WordBpe(B.default_vocabulary())
