@@ -17,8 +17,8 @@ LOWER = "abcdefghijklmnopqrstuvwxyz"
 #: A row id stands in for a null id while rows are compared; it sorts before every real id.
 NULL_ID = -(2**63)
 
-#: Rows in one Arrow batch of whole texts; keeps a batch of very long texts small.
-TEXT_BATCH_ROWS = 256
+#: Rows and bytes in one Arrow batch of whole texts, at most: a batch of very long texts ends after the one that passes the bound.
+TEXT_BATCH_ROWS, TEXT_BATCH_BYTES = 256, 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -52,6 +52,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 def text_batches(spark: SparkSession) -> None:
     """Small Arrow batches for plans that hand whole texts to Python."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(TEXT_BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(TEXT_BATCH_BYTES))
 
 
 def quoted(name: str) -> Column:
