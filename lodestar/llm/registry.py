@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, line_dedup, mixing, permutation_index, quality_classifier, quality_rules, secrets, sharding, simhash, toxicity
+from . import bpe, caps, codes, fill_in_middle, line_dedup, mixing, permutation_index, quality_classifier, quality_rules, secrets, sharding, simhash, toxicity
 
 QUERIES = {
     "op1_simhash_near_dedup": simhash.query,
@@ -15,5 +15,13 @@ QUERIES = {
     "op8_mixing": mixing.query,
     "op9_bpe": bpe.query,
     "op10_quality_classifier": quality_classifier.query,
+    "op11_vector_codes": codes.query,
+    "op12_embedding_near_dedup": caps.query,
+    "op13_fill_in_middle": fill_in_middle.query,
+}
+ORACLES = {
+    "op3_line_dedup": line_dedup.SQL,
+    "op11_vector_codes": codes.SQL,
+    "op12_embedding_near_dedup": caps.SQL,
+    "op13_fill_in_middle": fill_in_middle.SQL,
 }
-ORACLES = {"op3_line_dedup": line_dedup.SQL}
