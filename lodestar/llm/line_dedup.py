@@ -55,17 +55,15 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     row, keep = packed(docs, ("n_lines", "n_dropped"))
     text = F.coalesce(quoted(text_col).cast("string"), F.lit(""))
-    keyed = docs.select(
-        row,
-        F.coalesce(quoted(id_col).cast("long"), F.lit(NULL_ID)).alias("__id"),
-        F.xxhash64(text).alias("__text_hash"),
-        F.split(text, "\n", -1).alias("__lines"),
-    )
-    keys = keyed.select(*_OWN, F.posexplode("__lines").alias("pos", "line")).select(*_OWN, "pos", line_key(F.col("line")).alias("key"))
+    names = (F.coalesce(quoted(id_col).cast("long"), F.lit(NULL_ID)).alias("__id"), F.xxhash64(text).alias("__text_hash"))
+    keyed = docs.select(row, *names)
+    keys = docs.select(*names, F.posexplode(F.split(text, "\n", -1)).alias("pos", "line")).select(*_OWN, "pos", line_key(F.col("line")).alias("key"))
     lines = keys.where(F.char_length("key") >= min_chars).select(*_OWN, "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit("line"), "key").alias("h2"))
     hits = verdicts(lines, stored(shared_lines(lines, min_docs), "shared_lines")).where(F.col("__id") != F.col("first"))
     drops = hits.groupBy(*_OWN).agg(F.collect_set("pos").alias("__drops"))
-    found = keyed.join(drops, list(_OWN), "left")
+    # The text meets its drops whole, and is cut again behind the shuffle: its lines don't travel beside it.
+    whole = F.coalesce(F.col("row").getField(text_col).cast("string"), F.lit(""))
+    found = keyed.join(drops, list(_OWN), "left").withColumn("__lines", F.split(whole, "\n", -1))
     n, dropped = F.size("__lines"), F.coalesce(F.col("__drops"), F.array().cast("array<int>"))
     kept = F.array_except(F.sequence(F.lit(0), n - 1), dropped)
     new = F.when(F.col("__drops").isNull(), F.array_join("__lines", "\n")).otherwise(F.array_join(F.transform(kept, lambda i: F.get("__lines", i)), "\n"))
