@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestar.functions.text import is_injection, strip_, tokenize
+from lodestar.operators import fuzzy
+from lodestar.operators.components import components
+from lodestar.sources.shared import stored
 
 # Fixed values, equal to those of the behaviour reproduced: connectors and phrases.
 CONNECTORS = ("并且", "同时", "而且", "和", "且", "与", "及", "+", "&")
@@ -115,20 +118,25 @@ def kb_synonym_pairs(kb: DataFrame, offset: int = 0) -> DataFrame:
 def synonym_groups(pairs: DataFrame) -> DataFrame:
     """(word, group_id, canonical): groups that share a word are one; its canonical word is that of the first registered.
 
-    Minimum labels are passed between words and groups until nothing changes. Dictionaries are small next to data, but
-    each round is a join, and its result is checkpointed. A chain of n groups takes n rounds.
+    A word ties the groups that have it to the first of them, so a word of n groups makes n edges, and the groups are components of
+    these ties. The rounds grow with the logarithm of the longest chain of groups.
     """
-    edges = pairs.select("ord", "word").distinct().persist()
-    labels = edges.select("ord").distinct().withColumn("root", F.col("ord"))
-    while True:
-        by_word = edges.join(labels, "ord").groupBy("word").agg(F.min("root").alias("root"))
-        new = edges.join(by_word, "word").groupBy("ord").agg(F.min("root").alias("root")).checkpoint()
-        changed = new.join(labels.withColumnRenamed("root", "old"), "ord").where("root <> old").limit(1).count()
-        labels = new
-        if not changed:
-            break
-    names = pairs.groupBy("ord").agg(F.first("canonical").alias("canonical"))
-    return edges.join(labels, "ord").select("word", F.col("root").alias("group_id")).distinct().join(names.withColumnRenamed("ord", "group_id"), "group_id").select("word", "group_id", "canonical")
+    own = stored(pairs.select(F.col("ord").cast("long").alias("ord"), "canonical", "word").distinct(), "pairs")
+    ties = own.join(own.groupBy("word").agg(F.min("ord").alias("first")), "word").select(F.col("ord").alias("a"), F.col("first").alias("b")).where("a <> b")
+    roots, _ = components(ties)
+    names = own.groupBy("ord").agg(F.min("canonical").alias("canonical")).withColumnRenamed("ord", "group_id")
+    kind = pairs.schema["ord"].dataType
+    found = own.join(roots.withColumnRenamed("node", "ord"), "ord", "left").select("word", F.coalesce("root", "ord").alias("group_id")).distinct()
+    return found.join(names, "group_id").select("word", F.col("group_id").cast(kind).alias("group_id"), "canonical")
+
+
+def add_synonyms(groups: DataFrame, pairs: DataFrame) -> DataFrame:
+    """synonym_groups() of what made groups and of pairs, registered later, without working out the first ones again.
+
+    An old group counts as one, so the work follows the number of groups and not the chains that made them.
+    """
+    old = groups.select(F.col("group_id").cast("long").alias("ord"), "canonical", "word")
+    return synonym_groups(old.unionByName(pairs.select(F.col("ord").cast("long").alias("ord"), "canonical", "word")))
 
 
 def expand(tokens: DataFrame, groups: DataFrame) -> DataFrame:
@@ -148,14 +156,13 @@ def normalize(queries: DataFrame, groups: DataFrame, text_col: str = "text") ->
     return queries.join(joined, "query_id", "left").select("query_id", F.coalesce("normalized", F.col(text_col)).alias("normalized"))
 
 
-def corrections(tokens: DataFrame, vocabulary: DataFrame, distance: int = 2, min_length: int = 2) -> DataFrame:
+def corrections(tokens: DataFrame, vocabulary: DataFrame, distance: int = 2, min_length: int = 2, index: DataFrame | None = None) -> DataFrame:
     """(token, candidate, distance) of tokens not in vocabulary (term): the nearest term, ties to the shorter, then smaller.
 
-    Terms are only compared with tokens of nearly their length: the join is on the length, widened by the distance.
+    Tokens and terms meet on a form that both have with letters taken out; index is the vocabulary's, where one is kept.
     """
-    vocab = vocabulary.where(F.char_length("term") >= min_length).select("term", F.explode(F.sequence(F.char_length("term") - distance, F.char_length("term") + distance)).alias("n"))
     oov = tokens.select("token").distinct().where(F.char_length("token") >= min_length).join(vocabulary.withColumnRenamed("term", "token"), "token", "left_anti")
-    near = oov.withColumn("n", F.char_length("token")).join(vocab, "n").withColumn("d", F.levenshtein("token", "term", distance)).where("d >= 0")
+    near = fuzzy.near_terms(oov, index if index is not None else fuzzy.vocabulary_index(vocabulary, distance, min_length), distance)
     best = near.groupBy("token").agg(F.min(F.struct("d", F.char_length("term").alias("len"), "term")).alias("b"))
     return best.select("token", F.col("b.term").alias("candidate"), F.col("b.d").alias("distance"))
 
@@ -174,9 +181,9 @@ def rescued(queries: DataFrame, kb: DataFrame, vocabulary: DataFrame, text_col:
     c = queries.select("query_id", text_col, preclassify(F.col(text_col)).alias("class"))
     odd = c.where("class <> 'normal'")
     by_word = odd.select("query_id", F.explode(tokenize(F.col(text_col))).alias("term")).join(vocabulary, "term", "left_semi").select("query_id")
-    names = kb.select(F.explode(F.transform(F.concat(F.array("service_name"), F.col("aliases")), F.lower)).alias("w")).distinct()
-    asked = odd.select("query_id", F.lower(strip_(F.col(text_col))).alias("q")).where("q <> ''")
-    by_name = asked.join(names, F.contains(F.col("w"), F.col("q")), "left_semi").select("query_id")
+    names = kb.select(F.explode(F.transform(F.concat(F.array("service_name"), F.col("aliases")), F.lower)).alias("text")).distinct()
+    asked = odd.select(F.col("query_id").alias("key"), F.lower(strip_(F.col(text_col))).alias("part"))
+    by_name = fuzzy.held(asked, fuzzy.gram_index(names)).withColumnRenamed("key", "query_id")
     back = by_word.union(by_name).distinct().withColumn("__back", F.lit(True))
     return c.join(back, "query_id", "left").select("query_id", "class", F.coalesce("__back", F.lit(False)).alias("rescued"))
 

@@ -1,15 +1,12 @@
-"""Vectors: hash embeddings, cosine as column expressions, and exact top-k by blocks of matrix products."""
+"""Vectors: hash embeddings and cosine as column expressions; the exact nearest rows are in cells.py."""
 
 from __future__ import annotations
 
-import math
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestar.functions.text import tokenize
+from lodestar.operators.cells import top_k  # noqa: F401
 
 HASH_DIM = 32
 
@@ -53,37 +50,3 @@ def embed_distinct(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     keyed = docs.select(id_col, F.sha2(text_col, 256).alias("h"), F.col(text_col).alias("__t"))
     vecs = hash_embedding(keyed.groupBy("h").agg(F.first("__t").alias("__t")), "h", "__t")
     return keyed.join(vecs, "h").select(id_col, "vec")
-
-
-def top_k(queries: DataFrame, rows: DataFrame, k: int, clamp: bool = True, exclude_self: bool = False, block: int = 4096) -> DataFrame:
-    """(query_id, id, cosine, rank): exact k nearest rows by cosine; queries (query_id, vec), rows (id, vec).
-
-    Both sides are cut into blocks of bounded size; a task multiplies two blocks and hands on the best k of each query.
-    Ranks are by the cosine rounded to 6 digits, then id. A cosine under 0 counts as 0 when clamp is set.
-    """
-    nr, nq = (max(1, math.ceil(df.count() / block)) for df in (rows, queries))
-    left = rows.select(F.pmod(F.xxhash64("id"), F.lit(nr)).cast("int").alias("rb"), F.explode(F.sequence(F.lit(0), F.lit(nq - 1))).alias("qb"), F.col("id").alias("key"), F.col("vec").cast("array<double>").alias("vec"), F.lit(False).alias("q"))
-    right = queries.select(F.explode(F.sequence(F.lit(0), F.lit(nr - 1))).alias("rb"), F.pmod(F.xxhash64("query_id"), F.lit(nq)).cast("int").alias("qb"), F.col("query_id").alias("key"), F.col("vec").cast("array<double>").alias("vec"), F.lit(True).alias("q"))
-    kind = rows.schema["id"].dataType.simpleString(), queries.schema["query_id"].dataType.simpleString()
-
-    def unit(vectors):
-        x = np.array(list(vectors), dtype=np.float64)
-        n = np.linalg.norm(x, axis=1, keepdims=True)
-        return np.divide(x, n, out=np.zeros_like(x), where=n > 0)
-
-    def run(t: pd.DataFrame) -> pd.DataFrame:
-        t = t.sort_values("key")
-        r, q = t[~t.q], t[t.q]
-        if not len(r) or not len(q):
-            return pd.DataFrame({"query_id": [], "id": [], "cosine": []})
-        ids, s = r.key.to_numpy(), np.round(unit(q.vec) @ unit(r.vec).T, 6)
-        out = []
-        for key, row in zip(q.key.to_numpy(), np.maximum(s, 0) + 0.0 if clamp else s + 0.0, strict=True):
-            at = np.argsort(-row, kind="stable")
-            at = at[ids[at] != key][:k] if exclude_self else at[:k]
-            out.append(pd.DataFrame({"query_id": key, "id": ids[at], "cosine": row[at]}))
-        return pd.concat(out)
-
-    found = left.unionByName(right).groupBy("rb", "qb").applyInPandas(run, f"query_id {kind[1]}, id {kind[0]}, cosine double")
-    ranked = found.withColumn("rank", F.expr("row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, id)"))
-    return ranked.where(F.col("rank") <= k)

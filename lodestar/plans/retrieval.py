@@ -12,7 +12,9 @@ from lodestar.operators import rank as R
 from lodestar.operators import recommend as C
 from lodestar.operators import retrieve
 from lodestar.operators import signals as G
+from lodestar.operators import threshold
 from lodestar.operators import vector as V
+from lodestar.sources import shared
 from lodestar.sources import tables as S
 from lodestar.sources.tables import NOW, with_
 
@@ -71,7 +73,19 @@ def popularity(spark, sf) -> DataFrame:
     return G.penalized(G.popularity_decayed(S.clicks(spark, sf), NOW), G.negative_signals(S.feedback(spark, sf), NOW))
 
 
+def services_index(spark, sf) -> threshold.Catalog:
+    """The catalog's postings and vectors in blocks, kept for the version of its table."""
+
+    def build(path: str) -> None:
+        own = S.catalog(spark, sf)
+        V.hash_embedding(kb(spark, sf), "service_id", "searchable").write.parquet(f"{path}/vectors")
+        threshold.index(own, index(spark, sf), spark.read.parquet(f"{path}/vectors"), path)
+
+    return threshold.load(spark, shared.kept(spark, "services", shared.version(spark, f"{sf}/part.parquet"), build))
+
+
 def scored(spark, sf, mode: str = "hybrid") -> DataFrame:
+    """Every service with every query: for the queries whose result is that."""
     return retrieve.scores(S.query_batch(spark), kb(spark, sf), batch_index(spark, sf), popularity(spark, sf), mode)
 
 
@@ -175,7 +189,7 @@ for _mode, _name, _sql in (("hybrid", "hybrid_score", HYBRID), ("keyword", "hybr
 
 
 def recall(spark, sf, k: int = 20) -> DataFrame:
-    return retrieve.recall(scored(spark, sf), k)
+    return threshold.top(S.query_batch(spark), services_index(spark, sf), popularity(spark, sf), "hybrid", k)
 
 
 @query("recall_top20", RECALL + " SELECT query_id, rank, service_id, score FROM recall")
@@ -186,7 +200,8 @@ def recall_top20(spark, sf):
 @query("candidate_prune", PARTS + """, b AS (SELECT query_id, service_id, row_number() OVER (PARTITION BY query_id ORDER BY round(bmn, 6) DESC, ord) AS r FROM parts QUALIFY r <= 100), v AS (SELECT query_id, service_id, row_number() OVER (PARTITION BY query_id ORDER BY round(vec, 6) DESC, ord) AS r FROM parts QUALIFY r <= 100)
 SELECT query_id, service_id FROM b UNION SELECT query_id, service_id FROM v""")
 def candidate_prune(spark, sf):
-    return retrieve.pruned(scored(spark, sf), 100)
+    lists = threshold.signal_lists(S.query_batch(spark), services_index(spark, sf), popularity(spark, sf), 100)
+    return lists.select("query_id", F.col("id").alias("service_id")).distinct()
 
 
 QTOK = f"qs AS (SELECT query_id, text, list_distinct(regexp_extract_all(lower(text), {TOK})) AS qtok FROM batch)"
@@ -248,8 +263,7 @@ def reason_monotonicity(spark, sf):
 
 def _lists(spark, sf) -> DataFrame:
     """Rank lists of two signals per query: keywords and vector."""
-    s = scored(spark, sf)
-    return retrieve.signal_lists(s, 20)
+    return threshold.signal_lists(S.query_batch(spark), services_index(spark, sf), popularity(spark, sf), 20)
 
 
 LISTS = PARTS + """, lists AS (SELECT query_id, 0 AS list, service_id AS id, row_number() OVER (PARTITION BY query_id ORDER BY round(bmn, 6) DESC, ord) AS rank FROM parts QUALIFY rank <= 20
