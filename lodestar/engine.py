@@ -6,6 +6,7 @@ catalog, stored as Parquet under its content hash, and read back, so a question
 
 from __future__ import annotations
 
+import hashlib
 import time
 import uuid
 from collections.abc import Callable
@@ -25,10 +26,14 @@ from lodestar.operators import rank as R
 from lodestar.operators import recommend as C
 from lodestar.operators import retrieve
 from lodestar.operators import session as H
+from lodestar.operators import fuzzy
 from lodestar.operators import signals as G
+from lodestar.operators import threshold
 from lodestar.operators import understand as U
 from lodestar.operators import vector as V
+from lodestar.sources import shared
 from lodestar.sources import tables as S
+from lodestar.sources.commits import Commits, Numbers
 
 #: Tables of behaviour: append-only facts.
 FACTS = {
@@ -69,6 +74,9 @@ class Engine:
         self.kb: DataFrame | None = None
         self.index: B.Index | None = None
         self.vectors: DataFrame | None = None
+        self.blocks: threshold.Catalog | None = None
+        self.groups: DataFrame | None = None
+        self.spelling: DataFrame | None = None
         self.version = ""
 
     # Catalog ------------------------------------------------------------------------------------------------------
@@ -90,7 +98,7 @@ class Engine:
         """Open the first catalog that is there: the JSON file given, the active version, the default JSON file. None if none is."""
         if given and K.exists(self.spark, given):
             source = given
-        elif K.exists(self.spark, f"{self.root}/kb/active"):
+        elif K.active_version(self.spark, f"{self.root}/kb"):
             return self.open()
         elif default and K.exists(self.spark, default):
             source = default
@@ -105,28 +113,35 @@ class Engine:
         return self.open()
 
     def open(self) -> str:
-        """Load the active version; its index and vectors are built only if none are stored under its hash."""
+        """Load the active version; what answers questions is built only if none is stored under its hash: postings and vectors in
+        blocks, forms of the vocabulary, and the synonym groups of this engine's dictionary."""
         self.kb = S.searchable_text(K.active(self.spark, f"{self.root}/kb"))
-        kb_hash = K.merkle_hash(self.kb).first()["kb_hash"]
-        path = f"{self.root}/index/{kb_hash}"
-        self.version = kb_hash
-        try:
-            self.index = B.load(self.spark, path)
-            self.vectors = self.spark.read.parquet(f"{path}/vectors")
-        except AnalysisException as e:
-            if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):  # nothing there yet, or not all of it
-                raise
-            B.save(B.build(S.catalog_fields(self.kb).withColumnRenamed("service_id", "id")), path)
-            self.embed(self.kb, "service_id", "searchable").write.mode("overwrite").parquet(f"{path}/vectors")
-            self.index = B.load(self.spark, path)
-            self.vectors = self.spark.read.parquet(f"{path}/vectors")
-        return kb_hash
+        self.version = K.merkle_hash(self.kb).first()["kb_hash"]
+        path, read = f"{self.root}/index/{self.version}", self.spark.read.parquet
+
+        def build(place: str) -> None:
+            B.save(B.build(S.catalog_fields(self.kb).withColumnRenamed("service_id", "id")), place)
+            self.embed(self.kb, "service_id", "searchable").write.parquet(f"{place}/vectors")
+            index = B.load(self.spark, place)
+            threshold.index(self.kb, index, read(f"{place}/vectors"), f"{place}/blocks")
+            fuzzy.vocabulary_index(index.terms.select("term").distinct()).write.parquet(f"{place}/forms")
+
+        shared.whole(self.spark, path, build)
+        self.index, self.vectors, self.spelling = B.load(self.spark, path), read(f"{path}/vectors"), read(f"{path}/forms")
+        self.blocks = threshold.load(self.spark, f"{path}/blocks")
+        known = U.DOMAIN_SYNONYMS if self.synonyms is None else self.synonyms
+        words = f"{self.root}/synonyms/{self.version}-{hashlib.sha256(repr(known).encode()).hexdigest()[:16]}"
+        pairs = lambda: U.synonym_pairs(self.spark, known).unionByName(U.kb_synonym_pairs(self.kb, len(known)))
+        with shared.passing(self.spark):
+            shared.whole(self.spark, words, lambda place: U.synonym_groups(pairs()).write.parquet(place))
+        self.groups = read(words)
+        return self.version
 
     def versions(self) -> DataFrame:
         """(created_at, version_id, active) of the imported versions, newest first."""
-        pointed = self.spark.read.parquet(f"{self.root}/kb/active").first()[0]
         made = self.facts("op_logs").where("op = 'import' AND ok").groupBy("version_id").agg(F.max("ts").alias("created_at"))
-        return K.list_versions(made).withColumn("active", F.col("version_id") == pointed)
+        activated = self.spark.createDataFrame([(0, K.active_version(self.spark, f"{self.root}/kb"))], "activated_at int, version_id string")
+        return K.list_versions(made, activated)
 
     def embedding_status(self) -> DataFrame:
         """One row: total, embedded and missing services of the active version."""
@@ -171,46 +186,62 @@ class Engine:
 
     # Questions ----------------------------------------------------------------------------------------------------
 
-    def _groups(self) -> DataFrame:
-        """Of the dictionary, and then of each service's name with its aliases."""
-        known = U.DOMAIN_SYNONYMS if self.synonyms is None else self.synonyms
-        return U.synonym_groups(U.synonym_pairs(self.spark, known).unionByName(U.kb_synonym_pairs(self.kb, len(known))))
-
     def _stored(self, df: DataFrame) -> DataFrame:
-        """df written under root and read back: steps of a question that later ones read more than once."""
-        path = f"{self.root}/runs/{uuid.uuid4().hex}"
-        df.write.parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
+        """Steps of a question that later ones read more than once; they go when the question is answered."""
+        return shared.stored(df, "step")
 
-    def terms(self, batch: DataFrame, groups: DataFrame) -> DataFrame:
+    def _answered(self, df: DataFrame) -> DataFrame:
+        """A question's result, before its steps go."""
+        return shared.stored(df, "result", keep=True)
+
+    def _first_id(self, n: int, now: float) -> int:
+        """The first of n ids that no other row of the store has."""
+        return Numbers(Commits(self.spark, f"{self.root}/numbers")).take(n, now)
+
+    def terms(self, batch: DataFrame) -> DataFrame:
         """(query_id, term, qtf): a query's words, those of their synonyms, and the nearest known word for each unknown one."""
-        words = U.expand(batch.select("query_id", F.explode(tokenize(F.col("text"))).alias("token")), groups)
-        fixed = U.corrections(words, self.index.terms.select("term").distinct()).select("token", "candidate")
+        words = U.expand(batch.select("query_id", F.explode(tokenize(F.col("text"))).alias("token")), self.groups)
+        fixed = U.corrections(words, self.index.terms.select("term").distinct(), index=self.spelling).select("token", "candidate")
         near = words.join(fixed, "token").select("query_id", F.col("candidate").alias("token"))
         return words.unionByName(near).distinct().select("query_id", F.col("token").alias("term"), F.lit(1).cast("long").alias("qtf"))
 
-    def plain_vectors(self, batch: DataFrame, groups: DataFrame) -> DataFrame:
-        return self.embed(U.normalize(batch, groups), "query_id", "normalized").select("query_id", "vec")
+    def plain_vectors(self, batch: DataFrame) -> DataFrame:
+        return self.embed(U.normalize(batch, self.groups), "query_id", "normalized").select("query_id", "vec")
 
     def history_vectors(self, history: DataFrame) -> DataFrame:
         """history (query_id, query, i) with the vectors of its queries; each distinct text is embedded once."""
         return history.join(self.embed(history.select("query").distinct(), "query", "query"), "query")
 
-    def query_vectors(self, batch: DataFrame, groups: DataFrame) -> DataFrame:
+    def query_vectors(self, batch: DataFrame) -> DataFrame:
         """(query_id, vec) of the queries in canonical words, drawn towards the history of users with HISTORY queries or more."""
-        own = self.plain_vectors(batch, groups)
-        asked = self.facts("queries")
+        own = self.plain_vectors(batch)
+        asked = self.facts("queries").join(batch.select("user_id").distinct(), "user_id", "left_semi")
         often = asked.groupBy("user_id").agg(F.count("*").alias("n")).where(F.col("n") >= HISTORY)
         history = H.history(batch.join(often.select("user_id"), "user_id", "left_semi"), asked, HISTORY_WINDOW - 1)
         return H.din(own, self.history_vectors(history))
 
     def scores(self, batch: DataFrame, now: float, mode: str = "hybrid", query_vectors: DataFrame | None = None, terms: DataFrame | None = None) -> DataFrame:
-        """All services scored for each query (query_id, user_id, text)."""
-        groups = self._stored(self._groups()) if query_vectors is None or terms is None else None
-        qv = query_vectors if query_vectors is not None else self._stored(self.query_vectors(batch, groups))
-        words = terms if terms is not None else self._stored(self.terms(batch, groups))
+        """All services scored for each query (query_id, user_id, text): the full scan, for those who want every score."""
+        qv = query_vectors if query_vectors is not None else self._stored(self.query_vectors(batch))
+        words = terms if terms is not None else self._stored(self.terms(batch))
         return retrieve.scores(batch, self.kb, self.index, self.popularity(now), mode, qv, self.vectors, words)
 
+    def asked(self, batch: DataFrame, now: float, mode: str = "hybrid", query_vectors: DataFrame | None = None, terms: DataFrame | None = None) -> threshold.Asked:
+        """The batch before it meets the services: its best() ones, or the scores of given pairs()."""
+        qv = query_vectors if query_vectors is not None else self._stored(self.query_vectors(batch))
+        words = terms if terms is not None else self._stored(self.terms(batch))
+        return threshold.Asked(batch, self.blocks, self._stored(self.popularity(now)), mode, qv, words)
+
+    def recall(self, batch: DataFrame, now: float, k: int = 20, mode: str = "hybrid", query_vectors: DataFrame | None = None, terms: DataFrame | None = None) -> DataFrame:
+        """(query_id, service_id, ord, cos, vec, bmn, popn, score, rank): the k best services of each query, as a full scan finds them."""
+        return self.asked(batch, now, mode, query_vectors, terms).best(k).best
+
+    def score_pairs(self, pairs: DataFrame, now: float, mode: str = "hybrid") -> DataFrame:
+        """pairs (query_id, user_id, text, service_id) -> the scores of these services for these queries, without meeting any other."""
+        with shared.passing(self.spark):
+            batch = self._stored(pairs.select("query_id", "user_id", "text").distinct())
+            return self._answered(self.asked(batch, now, mode).pairs(pairs))
+
     def search(self, batch: DataFrame, now: float, mode: str = "hybrid", recall: int = 20, k: int = 10) -> DataFrame:
         """(query_id, pos, service_id, pinned, deep, score, reason): recall, rerank, diversify; results that are not sure are fused
         with a second recall by expanded words; a query that names a service has it first.
@@ -218,11 +249,15 @@ class Engine:
         Modes keyword and semantic keep the order of their recall and are not reranked. Queries that hold nothing, or an injected
         prompt, have no results.
         """
+        with shared.passing(self.spark):
+            return self._answered(self._search(batch, now, mode, recall, k))
+
+    def _search(self, batch: DataFrame, now: float, mode: str, recall: int, k: int) -> DataFrame:
         clean = T.sanitize_query(F.col("text"))
         batch = batch.where(~T.is_injection(F.col("text"))).withColumn("text", clean).where("text <> ''")
-        groups, batch = self._stored(self._groups()), self._stored(batch.select("query_id", "user_id", "text"))
-        qv = self._stored(self.query_vectors(batch, groups))
-        top = self._stored(retrieve.recall(self.scores(batch, now, mode, qv, self._stored(self.terms(batch, groups))), recall))
+        batch = self._stored(batch.select("query_id", "user_id", "text"))
+        qv = self._stored(self.query_vectors(batch))
+        top = self._stored(self.recall(batch, now, recall, mode, qv))
         if mode == "hybrid":
             ranked = self._reranked(top, batch, now)
         else:
@@ -231,12 +266,12 @@ class Engine:
         first = best.join(ranked.select("query_id", "service_id", "rerank_score"), ["query_id", "service_id"]).select("query_id", F.col("service_id").alias("id"), (F.col("pos") + 1).alias("rank"), F.col("rerank_score").alias("score"))
         first = self._stored(first)
         meant = U.classify(batch, self.kb).select("query_id", "intent")
-        known = self.facts("queries").select("user_id").distinct().withColumn("__known", F.lit(True))
+        known = self.facts("queries").join(batch.select("user_id").distinct(), "user_id", "left_semi").select("user_id").distinct().withColumn("__known", F.lit(True))
         about = batch.join(meant, "query_id").join(known, "user_id", "left").select("query_id", "intent", F.col("__known").isNull().alias("cold"))
         sure = R.confidence(first.join(about, "query_id"), F.col("intent"), F.col("cold")).select("query_id", "deep")
         sure = self._stored(sure)
         unsure = self._stored(batch.join(sure.where("deep"), "query_id", "left_semi"))
-        again = self._stored(retrieve.recall(self.scores(unsure, now, mode, qv, self._stored(A.deep_terms(unsure, self.kb, groups))), 30))
+        again = self._stored(self.recall(unsure, now, 30, mode, qv, self._stored(A.deep_terms(unsure, self.kb, self.groups))))
         fused = A.deepened(first, sure, again.select("query_id", F.col("service_id").alias("id"), "rank"), k)
         named = U.navigational(batch, self.kb).select("query_id", F.col("matched_id").alias("id"))
         out = R.pin(fused.select("query_id", "id", "rank", F.lit(0.0).alias("score")), named).where(F.col("rank") <= k).select("query_id", (F.col("rank") - 1).alias("pos"), F.col("id").alias("service_id"), "pinned")
@@ -252,6 +287,17 @@ class Engine:
             told = F.when(F.col("pinned"), F.lit(R.DIRECT)).otherwise(F.coalesce("said", told))
         return shown.select("query_id", "pos", "service_id", "pinned", F.coalesce("deep", F.lit(False)).alias("deep"), score.alias("score"), told.alias("reason"))
 
+    def reasons(self, pairs: DataFrame) -> DataFrame:
+        """pairs (query_id, text, pos, service_id, score) -> (query_id, service_id, reason): the model's reason where it gives a fit one,
+        else the template's."""
+        with shared.passing(self.spark):
+            shown = self._stored(pairs.join(self.kb.select("service_id", "service_name", "aliases", "service_intro"), "service_id"))
+            told = R.template_reason(F.col("text"), F.col("service_name"), F.col("aliases"), F.col("service_intro"), F.col("score"))
+            if self.reason:
+                shown = shown.join(self._reasons(shown.select("query_id", "text", "pos", "service_id", "service_name", "service_intro")), ["query_id", "service_id"], "left")
+                told = F.coalesce("said", told)
+            return self._answered(shown.select("query_id", "service_id", told.alias("reason")))
+
     def _reranked(self, recalled: DataFrame, batch: DataFrame, now: float) -> DataFrame:
         featured = retrieve.features(recalled, batch, self.kb, self.popularity(now))
         if not self.rerank:
@@ -273,7 +319,7 @@ class Engine:
         """batch (query_id, user_id, steps array<string>) -> (query_id, step, label, service_id, score, reason): the first result of
         each step that is not blank, in the steps' order from 0; a step that finds nothing has null for its service."""
         steps = F.filter(F.transform("steps", lambda s: F.trim(s)), lambda s: s.isNotNull() & (s != ""))
-        wide = self._stored(batch.select("query_id", "user_id", F.posexplode(steps).alias("step", "label")).withColumn("one", F.to_json(F.struct("query_id", "step"))))
+        wide = shared.stored(batch.select("query_id", "user_id", F.posexplode(steps).alias("step", "label")).withColumn("one", F.to_json(F.struct("query_id", "step"))), "steps", keep=True)
         best = self.search(wide.select(F.col("one").alias("query_id"), "user_id", F.col("label").alias("text")), now).where("pos = 0")
         return wide.join(best.select(F.col("query_id").alias("one"), "service_id", "score", "reason"), "one", "left").drop("one", "user_id")
 
@@ -281,79 +327,139 @@ class Engine:
         """search() of a batch, stored and written to the log: the queries join their users' histories, each gets a row in the
         search log, and what it found is kept. A query that its user has asked of this version in this mode within CACHE_S seconds
         is answered from what was kept."""
-        began, run = time.time(), f"{int(now * 1000)}-{uuid.uuid4().hex[:8]}"
+        began = time.time()
         cleaned = batch.withColumn("text", T.sanitize_query(F.col("text")))
         keyed = cleaned.where("text <> ''").withColumn("cache_key", F.concat_ws(":", F.lit(self.version), T.cache_key(F.col("user_id").cast("string"), F.col("text"), F.lit(mode))))
-        kept = self._read("answers", ANSWERS).where((F.col("ts") > now - CACHE_S) & (F.col("ts") <= now))
+        kept = self._read("answers", ANSWERS).where((F.col("ts") > now - CACHE_S) & (F.col("ts") <= now)).join(keyed.select("cache_key").distinct(), "cache_key", "left_semi")
         newest = kept.groupBy("cache_key").agg(F.max_by("results", "ts").alias("results"))
         hit = keyed.join(newest, "cache_key").select("query_id", "user_id", "text", "cache_key", "results", F.lit(True).alias("cache_hit"))
         found = self.search(keyed.join(newest, "cache_key", "left_anti").select("query_id", "user_id", "text"), now, mode)
         listed = found.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("pos", "service_id", "pinned", "deep", "score", "reason"))).alias("results"))
-        fresh = keyed.join(newest, "cache_key", "left_anti").join(listed, "query_id", "left").select("query_id", "user_id", "text", "cache_key", F.coalesce("results", F.array().cast(ANSWERS.split("results ")[1].split(", ts")[0])).alias("results"), F.lit(False).alias("cache_hit"))
-        path = f"{self.root}/runs/{run}"
-        hit.unionByName(fresh).write.parquet(path)
-        done = self.spark.read.parquet(path)
+        none = F.array().cast(ANSWERS.split("results ")[1].split(", ts")[0])
+        fresh = keyed.join(newest, "cache_key", "left_anti").join(listed, "query_id", "left").select("query_id", "user_id", "text", "cache_key", F.coalesce("results", none).alias("results"), F.lit(False).alias("cache_hit"))
+        done = self._numbered(hit.unionByName(fresh), now)
         total = (time.time() - began) * 1000
-        number = F.lit(int(now * 1000)) * 1_000_000 + F.pmod(F.xxhash64("query_id", "user_id", "text"), F.lit(1_000_000))
-        self._append("queries", done.select(number.alias("id"), "user_id", F.col("text").alias("query"), F.lit(float(now)).alias("ts")))
         top_ids = F.transform("results", lambda r: r["service_id"])
+        # The log comes first: a query that is in the history has its log, and an answer is kept only after both.
         self._append("searches", done.select(
-            number.alias("id"), "user_id", F.col("text").alias("query"), top_ids.alias("top_ids"), F.create_map(F.lit("total"), F.lit(total)).alias("latencies"), "cache_hit",
+            "id", "user_id", F.col("text").alias("query"), top_ids.alias("top_ids"), F.create_map(F.lit("total"), F.lit(total)).alias("latencies"), "cache_hit",
             (F.size("results") == 0).alias("degraded"), F.lit(False).alias("error"), F.lit(None).cast("string").alias("clicked_sid"), F.lit(float(now)).alias("ts"),
         ))
+        self._append("queries", done.select("id", "user_id", F.col("text").alias("query"), F.lit(float(now)).alias("ts")))
         self._append("answers", done.where("NOT cache_hit").select("cache_key", "results", F.lit(float(now)).alias("ts")))
         return done.select("query_id", "cache_hit", F.inline("results"))
 
+    def _numbered(self, df: DataFrame, now: float) -> DataFrame:
+        """df, stored, with an id for each row: the place of the row after the first id of a range that is this run's alone."""
+        # The low 33 bits of the built-in id count within a partition; both are written down, so that they hold.
+        df = df.select("*", F.spark_partition_id().alias("__p"), F.monotonically_increasing_id().bitwiseAND(F.lit(2**33 - 1)).alias("__i"))
+        df = shared.stored(df, "numbered", keep=True)
+        parts = df.groupBy("__p").agg(F.count("*").alias("n")).orderBy("__p").collect()  # as many numbers as partitions
+        at, starts = self._first_id(sum(r.n for r in parts), now), []
+        for r in parts:
+            starts.append((r["__p"], at))
+            at += r.n
+        starts = self.spark.createDataFrame(starts, "__p int, __start long")
+        return df.join(F.broadcast(starts), "__p").withColumn("id", F.col("__start") + F.col("__i")).drop("__p", "__i", "__start")
+
     def intersection(self, batch: DataFrame, now: float, recall: int = 30) -> DataFrame:
         """Services that all sub-queries of a query find, by the connectors in its text; else their fused union."""
         parts = batch.select("query_id", "user_id", F.posexplode(U.split_subqueries(F.col("text"))).alias("list", "text"))
         wide = parts.withColumn("sub", F.concat_ws("/", F.col("query_id").cast("string"), F.col("list").cast("string")))
-        top = retrieve.recall(self.scores(wide.select(F.col("sub").alias("query_id"), "user_id", "text"), now), recall)
-        lists = top.withColumnRenamed("query_id", "sub").join(wide.select("sub", "query_id", "list"), "sub").select("query_id", "list", F.col("service_id").alias("id"), "rank")
-        return R.intersect(lists, ["query_id"], recall)
-
-    def route(self, batch: DataFrame, connectors=U.CONNECTORS) -> DataFrame:
-        """(query_id, class, intent, route, sub_queries): the method that answers each query.
-
-        A query of an odd class that the catalog's words do not take back is refused, an attack always; several
-        sub-queries go to intersection, requests for steps to guide, running sessions (a column session_id that is not
-        null) to session, all others to search.
+        with shared.passing(self.spark):
+            wide = self._stored(wide)
+            top = self.recall(wide.select(F.col("sub").alias("query_id"), "user_id", "text"), now, recall)
+            lists = top.withColumnRenamed("query_id", "sub").join(wide.select("sub", "query_id", "list"), "sub").select("query_id", "list", F.col("service_id").alias("id"), "rank")
+            return self._answered(R.intersect(lists, ["query_id"], recall))
+
+    def route(self, batch: DataFrame, connectors=U.CONNECTORS, answers: DataFrame | None = None) -> DataFrame:
+        """(query_id, class, intent, route, sub_queries, steps): the method that answers each query.
+
+        A query of an odd class that the catalog's words do not take back is refused, an attack always. What a model says of a query
+        that the rules let pass, answers (query_id, answer json), comes next: one that it finds irrelevant is refused unless the catalog's words take it
+        back, one that it takes apart goes to combination with its steps. Several sub-queries go to intersection, requests for steps to
+        guide, running sessions (a column session_id that is not null) to session, all others to search.
         """
-        judged = U.rescued(batch, self.kb, self.index.postings.select("term").distinct())
+        judged = U.rescued(batch, self.kb, self.index.terms.select("term").distinct())
         running = F.col("session_id").isNotNull() if "session_id" in batch.columns else None
         meant = U.classify(batch, self.kb, connectors=connectors, has_session=running).select("query_id", "intent", "sub_queries")
-        refused = (F.col("class") == "prompt_attack") | (F.col("class") != "normal") & ~F.col("rescued")
+        said = A.parse_class(answers).select("query_id", "category", "steps") if answers is not None else None
+        own = judged.join(meant, "query_id")
+        none = F.array().cast("array<string>")
+        own = own.join(said, "query_id", "left") if said is not None else own.withColumns({"category": F.lit(None).cast("string"), "steps": none})
+        odd = (F.col("class") != "normal") & ~F.col("rescued")
+        known = U.named_words(batch, self.kb, self.index.terms.select("term").distinct()).withColumn("__known", F.lit(True)) if said is not None else None
+        if known is not None:
+            own = own.join(known, "query_id", "left")
+            odd = odd | ((F.col("category") == "irrelevant") & F.col("__known").isNull())
         way = (
-            F.when(refused, "refuse").when(F.size("sub_queries") > 1, "intersection").when(F.col("intent") == "guide", "guide")
-            .when(F.col("intent") == "conversational", "session").otherwise("search")
+            F.when((F.col("class") == "prompt_attack") | F.coalesce(odd, F.lit(False)), "refuse").when(F.col("category") == "combination", "combination")
+            .when(F.size("sub_queries") > 1, "intersection").when(F.col("intent") == "guide", "guide").when(F.col("intent") == "conversational", "session").otherwise("search")
         )
-        return judged.join(meant, "query_id").select("query_id", "class", "intent", way.alias("route"), "sub_queries")
+        return own.select("query_id", "class", "intent", way.alias("route"), "sub_queries", F.coalesce("steps", none).alias("steps"))
+
+    def guide_search(self, batch: DataFrame, now: float, steps: DataFrame | None = None, k: int = 10) -> tuple[DataFrame, DataFrame]:
+        """batch (query_id, user_id, text) -> ((query_id, step_id, step_text, services), (query_id, pos, service_id, score)).
+
+        steps (query_id, step_id, raw) is what a model wrote from the candidates, of which only references to known services stay. A query
+        with a step that is left has these; the others have the k best of a recall of 20, reranked and diversified, and are logged as
+        degraded. All of them join their users' histories and the log.
+        """
+        with shared.passing(self.spark):
+            batch = self._stored(batch.select("query_id", "user_id", T.sanitize_query(F.col("text")).alias("text")).where("text <> ''"))
+            told = self.spark.createDataFrame([], "query_id long, step_id long, step_text string, services string")
+            if steps is not None:
+                wide = self._stored(steps.select(F.to_json(F.struct("query_id", "step_id")).alias("one"), "query_id", "step_id", "raw"))
+                own = A.guide_steps(wide.select(F.col("one").alias("step_id"), "raw"), self.kb).withColumnRenamed("step_id", "one")
+                place = Window.partitionBy("query_id").orderBy("step_id")
+                told = wide.drop("raw").join(own, "one").drop("one").withColumn("__n", F.row_number().over(place)).where(F.col("__n") <= A.MAX_STEPS).drop("__n")
+            told = self._answered(told)
+            rest = self._stored(batch.join(told.select("query_id").distinct(), "query_id", "left_anti"))
+            ranked = self._stored(self._reranked(self._stored(self.recall(rest, now, 20)), rest, now))
+            best = retrieve.diversified(ranked.select("query_id", "rank", "rerank_score", "service_id"), self.vectors, k, "rerank_score")
+            listed = self._answered(best.join(ranked.select("query_id", "service_id", F.col("rerank_score").alias("score")), ["query_id", "service_id"]).select("query_id", "pos", "service_id", "score"))
+            ids = F.array_compact(F.flatten(F.collect_list(F.split("services", ","))))
+            shown = told.groupBy("query_id").agg(F.slice(ids, 1, 10).alias("top_ids"), F.lit(False).alias("degraded")).unionByName(
+                listed.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "service_id"))), lambda r: r["service_id"]).alias("top_ids"), F.lit(True).alias("degraded")))
+            done = self._numbered(batch.join(shown, "query_id", "left").select("user_id", "text", F.coalesce("top_ids", F.array().cast("array<string>")).alias("top_ids"), F.coalesce("degraded", F.lit(True)).alias("degraded")), now)
+        self._append("searches", done.select(
+            "id", "user_id", F.col("text").alias("query"), "top_ids", F.create_map().cast("map<string,double>").alias("latencies"), F.lit(False).alias("cache_hit"),
+            "degraded", F.lit(False).alias("error"), F.lit(None).cast("string").alias("clicked_sid"), F.lit(float(now)).alias("ts"),
+        ))
+        self._append("queries", done.select("id", "user_id", F.col("text").alias("query"), F.lit(float(now)).alias("ts")))
+        return told, listed
 
     def session(self, turns: DataFrame, now: float, k: int = 40) -> DataFrame:
         """turns (query_id, user_id, text, session_id, turn) -> (query_id, service_id, score, rank): the best k for a turn of all that
         its session has found. A first turn is searched as any query; the vector of a later one is drawn towards the turns before,
         and recalls k services beside theirs."""
-        groups, batch = self._stored(self._groups()), turns.select("query_id", "user_id", "text")
+        with shared.passing(self.spark):
+            return self._answered(self._session(turns, now, k))
+
+    def _session(self, turns: DataFrame, now: float, k: int) -> DataFrame:
+        batch = turns.select("query_id", "user_id", "text")
         before = turns.select("session_id", F.col("turn").alias("then"), F.col("text").alias("query"))
         w = Window.partitionBy("query_id").orderBy(F.desc("then"))
         past = turns.select("query_id", "session_id", "turn").join(before, "session_id").where("then < turn").select("query_id", "query", F.row_number().over(w).alias("i"))
         later = turns.where("turn > 0").select("query_id")
-        fused = H.din(self.plain_vectors(batch.join(later, "query_id", "left_semi"), groups), self.history_vectors(past))
-        qv = self._stored(fused.unionByName(self.query_vectors(batch.join(later, "query_id", "left_anti"), groups)))
-        scored = self._stored(self.scores(batch, now, "hybrid", qv, self._stored(self.terms(batch, groups))).select("query_id", "service_id", "ord", "score"))
-        return H.refined(scored, retrieve.recall(scored, k), turns.select("query_id", "session_id", "turn"), k)
+        fused = H.din(self.plain_vectors(batch.join(later, "query_id", "left_semi")), self.history_vectors(past))
+        qv = self._stored(fused.unionByName(self.query_vectors(batch.join(later, "query_id", "left_anti"))))
+        asked = self.asked(batch, now, "hybrid", qv)
+        found = self._stored(asked.best(k).best.select("query_id", "service_id"))
+        seen = self._stored(H.seen(found, turns.select("query_id", "session_id", "turn")))
+        return H.best(asked.pairs(seen), k)
 
     def session_search(self, turns: DataFrame, now: float, k: int = 10) -> DataFrame:
         """session() of the turns, reranked and diversified: (query_id, pos, service_id). What each turn found is recorded, and its
         query joins the user's history."""
-        found = self._stored(self.session(turns, now))
+        found = self.session(turns, now)
         listed = found.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "service_id"))), lambda r: r["service_id"]).alias("top_ids"))
         recorded = turns.join(listed, "query_id").select(F.col("session_id").cast("string"), F.col("turn").cast("int").alias("turn_idx"), F.col("text").alias("query"), "top_ids")
         self._append("turns", recorded)
-        self._append("queries", turns.select((F.lit(int(now * 1000)) * 1_000_000 + F.pmod(F.xxhash64("query_id", "text"), F.lit(1_000_000))).alias("id"), "user_id", F.col("text").alias("query"), F.lit(float(now)).alias("ts")))
+        self._append("queries", self._numbered(turns.select("user_id", F.col("text").alias("query")), now).select("id", "user_id", "query", F.lit(float(now)).alias("ts")))
         batch = turns.select("query_id", "user_id", "text")
         own = found.join(self.kb.select("service_id", "ord"), "service_id")
-        cos = own.join(self.plain_vectors(batch, self._groups()).withColumnRenamed("vec", "__q"), "query_id").join(self.vectors.select("service_id", F.col("vec").alias("__v")), "service_id", "left")
+        cos = own.join(self.plain_vectors(batch).withColumnRenamed("vec", "__q"), "query_id").join(self.vectors.select("service_id", F.col("vec").alias("__v")), "service_id", "left")
         cos = cos.withColumn("cos", F.coalesce(V.dot(F.col("__q"), F.col("__v")), F.lit(0.0))).drop("__q", "__v", "rank")
         ranked = retrieve.reranked(retrieve.features(cos, batch, self.kb, self.popularity(now)))
         return retrieve.diversified(ranked.select("query_id", "rank", "rerank_score", "service_id"), self.vectors, k, "rerank_score")
@@ -376,15 +482,25 @@ class Engine:
         """requests (service_id, name, action) with allowed: the catalog offers that action."""
         return K.whitelisted(requests, self.kb)
 
-    def deep_search(self, batch: DataFrame, now: float) -> DataFrame:
-        groups = self._stored(self._groups())
-        return A.deep_search(batch, self.kb, self.index, self.popularity(now), groups, 10, self._stored(self.query_vectors(batch, groups)), self.vectors, self._stored(self.terms(batch, groups)))
+    def deep_search(self, batch: DataFrame, now: float, k: int = 10) -> DataFrame:
+        """(query_id, id, rrf, rank, deep): the k best, reranked and diversified, fused with a second recall by expanded words where they are not sure."""
+        with shared.passing(self.spark):
+            batch = self._stored(batch)
+            qv = self._stored(self.query_vectors(batch))
+            ranked = self._stored(self._reranked(self._stored(self.recall(batch, now, 20, query_vectors=qv)), batch, now))
+            best = retrieve.diversified(ranked.select("query_id", "rank", "rerank_score", "service_id"), self.vectors, k, "rerank_score")
+            first = self._stored(best.join(ranked.select("query_id", "service_id", "rerank_score"), ["query_id", "service_id"]).select("query_id", F.col("service_id").alias("id"), (F.col("pos") + 1).alias("rank"), F.col("rerank_score").alias("score")))
+            sure = self._stored(R.confidence(first.select("query_id", "rank", "score"), F.lit("default"), F.lit(False)).select("query_id", "deep"))
+            unsure = self._stored(batch.join(sure.where("deep"), "query_id", "left_semi"))
+            again = self.recall(unsure, now, 30, query_vectors=qv, terms=self._stored(A.deep_terms(unsure, self.kb, self.groups)))
+            return self._answered(A.deepened(first.select("query_id", "id", "rank"), sure, again.select("query_id", F.col("service_id").alias("id"), "rank"), k))
 
     def autocomplete(self, batch: DataFrame, now: float) -> DataFrame:
-        return A.autocomplete(retrieve.recall(self.scores(batch, now), 20), batch, self.kb, self.facts("clicks"))
+        with shared.passing(self.spark):
+            return self._answered(A.autocomplete(self.recall(batch, now, 20), batch, self.kb, self.facts("clicks")))
 
     def suggest(self, batch: DataFrame) -> DataFrame:
-        return U.suggest(batch, self.index.postings.select("term").distinct())
+        return U.suggest(batch, self.index.terms.select("term").distinct(), self.spelling)
 
     def classify(self, batch: DataFrame) -> DataFrame:
         return U.classify(batch, self.kb)
@@ -393,11 +509,10 @@ class Engine:
         """(service_id, related_id, rank). The first RELATED are worked out once for a catalog's content and stored beside its index."""
         v = self.vectors.select(F.col("service_id").alias("id"), "vec")
         near = lambda: V.top_k(v.withColumnRenamed("id", "query_id"), v, max(k, RELATED), exclude_self=True).select(F.col("query_id").alias("service_id"), F.col("id").alias("related_id"), "rank")
-        if k > RELATED:
-            return near()
-        path = f"{self.root}/index/{self.version}/related"
-        if not K.exists(self.spark, f"{path}/_SUCCESS"):
-            near().write.mode("overwrite").parquet(path)
+        with shared.passing(self.spark):
+            if k > RELATED:
+                return self._answered(near())
+            path = shared.whole(self.spark, f"{self.root}/related/{self.version}", lambda place: near().write.parquet(place))
         return self.spark.read.parquet(path).where(F.col("rank") <= k)
 
     def write_log(self, path: str, since: float = 0.0) -> None:

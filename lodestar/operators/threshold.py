@@ -131,9 +131,10 @@ def _bm25(visits: DataFrame, wanted: DataFrame, catalog: Catalog) -> DataFrame:
     return hits.groupBy("query_id", F.col("id").alias("service_id")).agg(F.sum(F.col("w") * _impact()).alias("bm25"))
 
 
-def _extremes(bounds: DataFrame, wanted: DataFrame, terms: DataFrame, catalog: Catalog) -> DataFrame:
-    """(query_id, lo, hi): the smallest and largest BM25 score over all services, for the queries that have a word of the catalog."""
-    met = bounds.where("word_bound > 0")
+def _extremes(met: DataFrame, wanted: DataFrame, terms: DataFrame, catalog: Catalog) -> DataFrame:
+    """(query_id, lo, hi): the smallest and largest BM25 score over all services, for the queries that have a word of the catalog.
+
+    met (query_id, block, word_bound): the blocks with such a word."""
     first = met.withColumn("r", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("word_bound"), "block"))).where(F.col("r") <= FIRST)
     seen = _bm25(first, wanted, catalog).groupBy("query_id").agg(F.max("bm25").alias("found"))
     # Only queries whose words could cover the catalog need their smallest score; it is 0 for all others.
@@ -154,77 +155,97 @@ class Found:
     met: DataFrame
 
 
-def search(batch: DataFrame, catalog: Catalog, popularity: DataFrame, mode: str = "hybrid", k: int = 20, query_vectors: DataFrame | None = None, terms: DataFrame | None = None) -> Found:
-    """batch (query_id, text) -> the k best services of each query, (query_id, service_id, ord, cos, vec, bmn, popn, score, rank), ties by ord.
+class Asked:
+    """A batch of queries before they meet services: bounds (query_id, block, services, bound), and the exact scores of given services.
 
-    The scores are those of retrieve.scores: mode gives the weights, and bmn and vec alone rank by one signal. Signals of no
-    weight aren't worked out and are 0. terms (query_id, term, qtf) are the words for BM25, if not those of the texts. Steps that
-    are read more than once are written to the shared folder.
+    Signals of no weight in the mode aren't worked out and are 0. What is read more than once is written to the shared folder.
     """
-    wv, wk, wp = MODES[mode]
-    shells = catalog.shells
-    ids = batch.select("query_id")
-    if wv:
-        qv = query_vectors if query_vectors is not None else V.hash_embedding(batch, "query_id", "text")
-        qv = stored(ids.join(qv.select("query_id", "vec"), "query_id", "left"), "vectors")
-    else:
-        qv = ids.withColumn("vec", F.lit(None).cast("array<double>"))
-    bounds = _angular(qv, shells)
-    if wp:
-        popn = _scaled(popularity)
-        known = catalog.services.select("service_id", "block").join(popn, "service_id").groupBy("block").agg(F.max("popn").alias("pop_bound"))
-        bounds = bounds.join(known, "block", "left").withColumn("pop_bound", F.coalesce("pop_bound", F.lit(0.0)))
-    else:
-        bounds = bounds.withColumn("pop_bound", F.lit(0.0))
-    wanted = None
-    if wk:
-        terms = stored(terms if terms is not None else B.query_terms(batch), "terms")
-        stats = catalog.bm25.terms.join(catalog.bm25.fields.where("avgdl > 0"), "field")
-        idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
-        wanted = stored(terms.join(stats, "term").select("query_id", "field", "term", "avgdl", (F.col("weight") * F.col("qtf") * idf).alias("w")), "wanted")
-        words = wanted.join(catalog.tops, ["field", "term"]).groupBy("query_id", "block").agg(F.sum(F.col("w") * F.col("top")).alias("word_bound"))
-        bounds = stored(bounds.join(words, ["query_id", "block"], "left").withColumn("word_bound", F.coalesce("word_bound", F.lit(0.0))), "bounds")
-        extremes = stored(_extremes(bounds, wanted, terms, catalog), "extremes")
-        bounds = bounds.join(extremes, "query_id", "left")
-        lo, hi = F.coalesce("lo", F.lit(0.0)), F.coalesce("hi", F.lit(0.0))
-        share = F.when(N.close(hi, lo), 0.0).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), (F.col("word_bound") * (1 + SLACK) - lo) / (hi - lo))))
-        # A service with no word of the query has a score of 0, below the smallest where all have one.
-        bounds = bounds.withColumn("word_share", share).drop("lo", "hi", "word_bound")
-    else:
-        bounds, extremes = bounds.withColumn("word_share", F.lit(0.0)), None
-    bounds = bounds.select("query_id", "block", "services", (wv * F.col("cos_bound") + wk * F.col("word_share") + wp * F.col("pop_bound")).alias("bound"))
-    order = Window.partitionBy("query_id").orderBy(F.desc("bound"), "block")
-    before = F.sum("services").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    bounds = stored(bounds.withColumn("first", F.coalesce(before, F.lit(0)) < k), "blocks")
-
-    def scored(visits: DataFrame) -> DataFrame:
-        j = catalog.services.join(visits.select("query_id", "block"), "block").select("query_id", "service_id", "ord", F.col("vec").alias("kvec"))
+
+    def __init__(self, batch: DataFrame, catalog: Catalog, popularity: DataFrame, mode: str = "hybrid", query_vectors: DataFrame | None = None, terms: DataFrame | None = None):
+        self.catalog, self.mode = catalog, mode
+        wv, wk, wp = MODES[mode]
+        ids = batch.select("query_id")
+        self.vectors = self.wanted = self.extremes = self.popularity = None
         if wv:
-            j = j.join(qv.withColumnRenamed("vec", "qvec"), "query_id").withColumn("cos", F.coalesce(V.dot(F.col("qvec"), F.col("kvec")), F.lit(0.0))).drop("qvec")
-        else:
-            j = j.withColumn("cos", F.lit(0.0))
+            qv = query_vectors if query_vectors is not None else V.hash_embedding(batch, "query_id", "text")
+            self.vectors = stored(ids.join(qv.select("query_id", "vec"), "query_id", "left"), "vectors")
+        bounds = _angular(self.vectors if wv else ids.withColumn("vec", F.lit(None).cast("array<double>")), catalog.shells)
+        pop_bound = word_share = F.lit(0.0)
+        if wp:
+            self.popularity = _scaled(popularity)
+            known = catalog.services.select("service_id", "block").join(self.popularity, "service_id").groupBy("block").agg(F.max("popn").alias("pop_bound"))
+            bounds, pop_bound = bounds.join(known, "block", "left"), F.coalesce("pop_bound", F.lit(0.0))
         if wk:
-            j = j.join(_bm25(visits, wanted, catalog), ["query_id", "service_id"], "left").join(extremes, "query_id", "left")
+            terms = stored(terms if terms is not None else B.query_terms(batch), "terms")
+            stats = catalog.bm25.terms.join(catalog.bm25.fields.where("avgdl > 0"), "field")
+            idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
+            self.wanted = stored(terms.join(stats, "term").select("query_id", "field", "term", "avgdl", (F.col("weight") * F.col("qtf") * idf).alias("w")), "wanted")
+            words = stored(self.wanted.join(catalog.tops, ["field", "term"]).groupBy("query_id", "block").agg(F.sum(F.col("w") * F.col("top")).alias("word_bound")), "words")
+            self.extremes = stored(_extremes(words, self.wanted, terms, catalog), "extremes")
+            bounds = bounds.join(words, ["query_id", "block"], "left").join(self.extremes, "query_id", "left")
+            lo, hi, most = (F.coalesce(c, F.lit(0.0)) for c in ("lo", "hi", "word_bound"))
+            word_share = F.when(N.close(hi, lo), 0.0).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), (most * (1 + SLACK) - lo) / (hi - lo))))
+        self.bounds = bounds.select("query_id", "block", "services", (wv * F.col("cos_bound") + wk * word_share + wp * pop_bound).alias("bound"))
+
+    def visited(self, visits: DataFrame) -> DataFrame:
+        """Scores of all services of the blocks that each query visits (query_id, block)."""
+        met = self.catalog.services.join(visits.select("query_id", "block"), "block")
+        return self._scored(met, _bm25(visits, self.wanted, self.catalog) if self.wanted is not None else None)
+
+    def pairs(self, pairs: DataFrame) -> DataFrame:
+        """Scores of the pairs (query_id, service_id), and of no others; services that the catalog lacks are left out."""
+        met = self.catalog.services.join(pairs.select("query_id", "service_id").distinct(), "service_id")
+        words = None
+        if self.wanted is not None:
+            asked = met.select("query_id", F.col("service_id").alias("id"), "block").join(self.wanted, "query_id")
+            hits = self.catalog.bm25.postings.join(asked, ["field", "term", "block", "id"])
+            words = hits.groupBy("query_id", F.col("id").alias("service_id")).agg(F.sum(F.col("w") * _impact()).alias("bm25"))
+        return self._scored(met, words)
+
+    def _scored(self, met: DataFrame, words: DataFrame | None) -> DataFrame:
+        j = met.select("query_id", "service_id", "ord", F.col("vec").alias("kvec"))
+        cos = bmn = popn = F.lit(0.0)
+        if self.vectors is not None:
+            j, cos = j.join(self.vectors.withColumnRenamed("vec", "qvec"), "query_id"), F.coalesce(V.dot(F.col("qvec"), F.col("kvec")), F.lit(0.0))
+        if words is not None:
+            j = j.join(words, ["query_id", "service_id"], "left").join(self.extremes, "query_id", "left")
             value, lo, hi = (F.coalesce(c, F.lit(0.0)) for c in ("bm25", "lo", "hi"))
-            j = j.withColumn("bmn", F.when(N.close(hi, lo), 0.0).otherwise((value - lo) / (hi - lo))).drop("bm25", "lo", "hi")
-        else:
-            j = j.withColumn("bmn", F.lit(0.0))
-        j = j.join(popn, "service_id", "left").withColumn("popn", F.coalesce("popn", F.lit(0.0))) if wp else j.withColumn("popn", F.lit(0.0))
-        j = j.withColumn("vec", F.greatest(F.lit(0.0), F.col("cos")))
-        whole = R.hybrid(F.col("vec"), F.col("bmn"), F.col("popn"), mode) if mode in ("hybrid", "keyword", "semantic") else F.col(mode)
-        return j.select("query_id", "service_id", "ord", "cos", "vec", "bmn", "popn", F.round(whole, C.DIGITS).alias("score"))
-
-    ranked = lambda df: df.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "ord"))).where(F.col("rank") <= k)
-    start = stored(ranked(scored(bounds.where("first"))), "start")
-    floor = start.where(F.col("rank") == k).select("query_id", F.col("score").alias("floor"))
-    # Of services whose score rounds to 0 only those of the smallest ord can count, and these are in few blocks.
-    least = catalog.services.select("block", "ord").orderBy("ord").limit(k).select("block").distinct().withColumn("least", F.lit(True))
-    rest = bounds.where("NOT first").join(F.broadcast(floor) if batch.count() <= 100_000 else floor, "query_id", "left").join(F.broadcast(least), "block", "left")
-    rest = rest.where((F.col("bound") >= F.coalesce("floor", F.lit(0.0)) - C.MARGIN) & ((F.col("bound") >= C.MARGIN / 4) | F.col("least")))
-    rest = stored(rest.select("query_id", "block", "services"), "rest")
-    best = ranked(start.drop("rank").unionByName(scored(rest)))
-    met = bounds.where("first").select("query_id", "services").unionByName(rest.select("query_id", "services")).groupBy("query_id").agg(F.sum("services").alias("services"))
-    return Found(best, met)
+            bmn = F.when(N.close(hi, lo), 0.0).otherwise((value - lo) / (hi - lo))
+        if self.popularity is not None:
+            j, popn = j.join(self.popularity, "service_id", "left"), F.coalesce("popn", F.lit(0.0))
+        j = j.select("query_id", "service_id", "ord", cos.alias("cos"), F.greatest(F.lit(0.0), cos).alias("vec"), bmn.alias("bmn"), popn.alias("popn"))
+        whole = F.col(self.mode) if self.mode in ("bmn", "vec") else R.hybrid(F.col("vec"), F.col("bmn"), F.col("popn"), self.mode)
+        return j.withColumn("score", F.round(whole, C.DIGITS))
+
+    def best(self, k: int) -> Found:
+        """The k best services of each query, ties by ord."""
+        order = Window.partitionBy("query_id").orderBy(F.desc("bound"), "block")
+        before = F.sum("services").over(order.rowsBetween(Window.unboundedPreceding, -1))
+        bounds = stored(self.bounds.withColumn("first", F.coalesce(before, F.lit(0)) < k), "blocks")
+        start = stored(_ranked(self.visited(bounds.where("first")), k), "start")
+        floor = start.where(F.col("rank") == k).select("query_id", F.col("score").alias("floor"))
+        # Of services whose score rounds to 0 only those of the smallest ord can count, and these are in k blocks at most.
+        least = self.catalog.services.select("block", "ord").orderBy("ord").limit(k).select("block").distinct().withColumn("least", F.lit(True))
+        rest = bounds.where("NOT first").join(floor, "query_id", "left").join(F.broadcast(least), "block", "left")
+        rest = rest.where((F.col("bound") >= F.coalesce("floor", F.lit(0.0)) - C.MARGIN) & ((F.col("bound") >= C.MARGIN / 4) | F.col("least")))
+        rest = stored(rest.select("query_id", "block", "services"), "rest")
+        best = _ranked(start.drop("rank").unionByName(self.visited(rest)), k)
+        met = bounds.where("first").select("query_id", "services").unionByName(rest.select("query_id", "services")).groupBy("query_id").agg(F.sum("services").alias("services"))
+        return Found(best, met)
+
+
+def _ranked(scored: DataFrame, k: int) -> DataFrame:
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "ord")
+    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+def search(batch: DataFrame, catalog: Catalog, popularity: DataFrame, mode: str = "hybrid", k: int = 20, query_vectors: DataFrame | None = None, terms: DataFrame | None = None) -> Found:
+    """batch (query_id, text) -> the k best services of each query, (query_id, service_id, ord, cos, vec, bmn, popn, score, rank), ties by ord.
+
+    The scores are those of retrieve.scores: mode gives the weights, and the modes bmn and vec rank by one signal alone. terms (query_id, term,
+    qtf) are the words for BM25, if not those of the texts.
+    """
+    return Asked(batch, catalog, popularity, mode, query_vectors, terms).best(k)
 
 
 def top(batch: DataFrame, catalog: Catalog, popularity: DataFrame, mode: str = "hybrid", k: int = 20, query_vectors: DataFrame | None = None, terms: DataFrame | None = None) -> DataFrame:

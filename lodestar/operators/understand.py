@@ -167,24 +167,27 @@ def corrections(tokens: DataFrame, vocabulary: DataFrame, distance: int = 2, min
     return best.select("token", F.col("b.term").alias("candidate"), F.col("b.d").alias("distance"))
 
 
-def suggest(queries: DataFrame, vocabulary: DataFrame, text_col: str = "text") -> DataFrame:
+def suggest(queries: DataFrame, vocabulary: DataFrame, index: DataFrame | None = None, text_col: str = "text") -> DataFrame:
     """(query_id, suggestion) of queries in which a token could be corrected."""
     tokens = queries.select("query_id", F.posexplode(tokenize(F.col(text_col))).alias("pos", "token"))
-    fixed = tokens.join(corrections(tokens, vocabulary), "token", "left")
+    fixed = tokens.join(corrections(tokens, vocabulary, index=index), "token", "left")
     out = fixed.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", F.coalesce("candidate", "token").alias("t")))), lambda s: s["t"]), " ").alias("suggestion"), F.count("candidate").alias("n"))
     return out.where("n > 0").select("query_id", "suggestion")
 
 
-def rescued(queries: DataFrame, kb: DataFrame, vocabulary: DataFrame, text_col: str = "text") -> DataFrame:
-    """(query_id, class, rescued): a query classed as not normal is taken back if it has a word of the vocabulary (term), or is
-    part of a name or alias."""
-    c = queries.select("query_id", text_col, preclassify(F.col(text_col)).alias("class"))
-    odd = c.where("class <> 'normal'")
-    by_word = odd.select("query_id", F.explode(tokenize(F.col(text_col))).alias("term")).join(vocabulary, "term", "left_semi").select("query_id")
+def named_words(queries: DataFrame, kb: DataFrame, vocabulary: DataFrame, text_col: str = "text") -> DataFrame:
+    """(query_id) of queries that have a word of the vocabulary (term), or are part of a service's name or alias."""
+    by_word = queries.select("query_id", F.explode(tokenize(F.col(text_col))).alias("term")).join(vocabulary, "term", "left_semi").select("query_id")
     names = kb.select(F.explode(F.transform(F.concat(F.array("service_name"), F.col("aliases")), F.lower)).alias("text")).distinct()
-    asked = odd.select(F.col("query_id").alias("key"), F.lower(strip_(F.col(text_col))).alias("part"))
+    asked = queries.select(F.col("query_id").alias("key"), F.lower(strip_(F.col(text_col))).alias("part"))
     by_name = fuzzy.held(asked, fuzzy.gram_index(names)).withColumnRenamed("key", "query_id")
-    back = by_word.union(by_name).distinct().withColumn("__back", F.lit(True))
+    return by_word.union(by_name).distinct()
+
+
+def rescued(queries: DataFrame, kb: DataFrame, vocabulary: DataFrame, text_col: str = "text") -> DataFrame:
+    """(query_id, class, rescued): a query classed as not normal is taken back if it is of the catalog's words or names."""
+    c = queries.select("query_id", text_col, preclassify(F.col(text_col)).alias("class"))
+    back = named_words(c.where("class <> 'normal'"), kb, vocabulary, text_col).withColumn("__back", F.lit(True))
     return c.join(back, "query_id", "left").select("query_id", "class", F.coalesce("__back", F.lit(False)).alias("rescued"))
 
 

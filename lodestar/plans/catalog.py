@@ -158,10 +158,11 @@ def extract_json(spark, sf):
     return S.table(spark, sf, "documents").select("doc_id", T.extract_json(F.expr(ANSWER.replace("chr(10)", "char(10)"))).alias("found"))
 
 
-@query("kb_versions_list", "SELECT o_orderdate AS created_at, 'v' || o_orderkey AS version_id, o_orderkey = (SELECT arg_max(o_orderkey, (o_orderdate, 'v' || o_orderkey)) FROM orders) AS active FROM orders")
+@query("kb_versions_list", "SELECT o_orderdate AS created_at, 'v' || o_orderkey AS version_id, o_orderkey = (SELECT arg_max(l_orderkey, (l_shipdate, 'v' || l_orderkey)) FROM lineitem) AS active FROM orders")
 def kb_versions_list(spark, sf):
     v = S.table(spark, sf, "orders").select(F.col("o_orderdate").alias("created_at"), F.concat(F.lit("v"), F.col("o_orderkey").cast("string")).alias("version_id"))
-    return K.list_versions(v)
+    shipped = S.table(spark, sf, "lineitem").select(F.col("l_shipdate").alias("activated_at"), F.concat(F.lit("v"), F.col("l_orderkey").cast("string")).alias("version_id"))
+    return K.list_versions(v, shipped)
 
 
 @query("kb_op_logs_by_op", "SELECT event_id AS id, event_type AS op, value > 50 AS ok FROM events WHERE event_type = 'signup' ORDER BY id DESC LIMIT 50")

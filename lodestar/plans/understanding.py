@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestar.functions import text as T
 from lodestar.operators import answers as A
-from lodestar.operators import retrieve
+from lodestar.operators import fuzzy, retrieve
 from lodestar.operators import signals as G
 from lodestar.operators import understand as U
+from lodestar.sources import shared
 from lodestar.sources import tables as S
 from lodestar.sources.tables import with_
 
@@ -100,6 +103,16 @@ def synonym_groups(spark, sf):
 
 
 def _groups(spark, sf):
+    """The groups, kept for the version of the catalog's table."""
+
+    def build(path: str) -> None:
+        _made_groups(spark, sf).write.parquet(f"{path}/groups")
+
+    words = hashlib.sha256(repr(U.DOMAIN_SYNONYMS).encode()).hexdigest()[:16]
+    return spark.read.parquet(f"{shared.kept(spark, f'synonyms-{words}', shared.version(spark, f'{sf}/part.parquet'), build)}/groups")
+
+
+def _made_groups(spark, sf):
     return U.synonym_groups(U.synonym_pairs(spark).unionByName(U.kb_synonym_pairs(S.catalog(spark, sf), len(U.DOMAIN_SYNONYMS))))
 
 
@@ -141,6 +154,17 @@ def _vocab(spark, sf):
     return index(spark, sf).postings.select("term").distinct()
 
 
+def _spelling(spark, sf):
+    """(term) of the vocabulary and (key, term) of its forms, kept for the version of the catalog's table."""
+
+    def build(path: str) -> None:
+        _vocab(spark, sf).write.parquet(f"{path}/terms")
+        fuzzy.vocabulary_index(spark.read.parquet(f"{path}/terms")).write.parquet(f"{path}/forms")
+
+    path = shared.kept(spark, "spelling", shared.version(spark, f"{sf}/part.parquet"), build)
+    return spark.read.parquet(f"{path}/terms"), spark.read.parquet(f"{path}/forms")
+
+
 def _typos(spark, sf):
     w = S.table(spark, sf, "part").select(F.explode(T.tokenize(F.col("p_name"))).alias("w")).distinct()
     return w.select(F.explode(F.array(F.concat("w", F.lit("x")), F.substr("w", F.lit(2)), F.reverse("w"))).alias("token")).distinct()
@@ -148,20 +172,22 @@ def _typos(spark, sf):
 
 @query("spell_correct", INDEX + f", {SPELL} SELECT token, candidate, distance FROM fix")
 def spell_correct(spark, sf):
-    return U.corrections(_typos(spark, sf), _vocab(spark, sf))
+    terms, forms = _spelling(spark, sf)
+    return U.corrections(_typos(spark, sf), terms, index=forms)
 
 
-@query("spell_suggest", INDEX + f""", {SPELL.replace('typos AS (', 'typos AS (SELECT DISTINCT token FROM qtok UNION ', 1).replace('words AS', f"qtok AS (SELECT event_id AS query_id, unnest(string_split(replace(p_name, 'l', ''), ' ')) AS token, unnest(range(2)) AS pos FROM events JOIN part ON p_partkey = event_id % 2000), words AS", 1)},
+@query("spell_suggest", INDEX + f""", {SPELL.replace('typos AS (', 'typos AS (SELECT DISTINCT token FROM qtok UNION ', 1).replace('words AS', f"qtok AS (SELECT event_id AS query_id, unnest(string_split(replace(p_name, 'l', ''), ' ')) AS token, unnest(range(2)) AS pos FROM events JOIN part ON p_partkey = event_id % (SELECT count(*) FROM part)), words AS", 1)},
 j AS (SELECT query_id, string_agg(coalesce(candidate, token), ' ' ORDER BY pos) AS suggestion, count(candidate) AS n FROM qtok LEFT JOIN fix USING (token) GROUP BY 1) SELECT query_id, suggestion FROM j WHERE n > 0""")
 def spell_suggest(spark, sf):
-    e = S.table(spark, sf, "events").select(F.col("event_id").alias("query_id"), (F.col("event_id") % 2000).alias("p_partkey"))
+    parts = S.table(spark, sf, "part").count()
+    e = S.table(spark, sf, "events").select(F.col("event_id").alias("query_id"), (F.col("event_id") % parts).alias("p_partkey"))
     q = e.join(S.table(spark, sf, "part"), "p_partkey").select("query_id", F.translate("p_name", "l", "").alias("text"))
-    return U.suggest(q, _vocab(spark, sf))
+    return U.suggest(q, *_spelling(spark, sf))
 
 
 @query("phonetic_suggest")
 def phonetic_suggest(spark, sf):
-    return U.phonetic(_typos(spark, sf), _vocab(spark, sf))
+    return U.phonetic(_typos(spark, sf), _spelling(spark, sf)[0])
 
 
 @query("completion_validate", f"WITH {ASK}, c AS (SELECT query_id, substring(trim(text), 1, 5) AS partial, substring(trim(regexp_replace(CASE query_id % 4 WHEN 0 THEN text WHEN 1 THEN 'x' || text WHEN 2 THEN substring(trim(text), 1, 5) ELSE trim(text) || ' more' END, ' {{2,}}', ' ', 'g')), 1, 50) AS completion FROM (SELECT query_id, replace(text, chr(10), '') AS text FROM asked)) SELECT query_id, partial, CASE WHEN starts_with(completion, partial) AND length(completion) > length(partial) THEN completion END AS completion FROM c")

@@ -5,8 +5,10 @@ from __future__ import annotations
 import hashlib
 import re
 import tempfile
+import threading
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,20 +24,39 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+_scopes = threading.local()
+
+
+@contextmanager
+def passing(spark: SparkSession) -> Iterator[None]:
+    """Tables that stored() writes in this block, in this thread, go when it ends. Results are to be stored after it."""
+    outer, _scopes.paths = getattr(_scopes, "paths", None), []
+    try:
+        yield
+    finally:
+        for path in _scopes.paths:
+            fs, at = file_system(spark, path)
+            fs.delete(at.getParent(), True)
+        _scopes.paths = outer
+
+
+def stored(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """df written as Parquet to the shared folder and read back: what later steps read more than once is worked out once.
 
-    The lineage ends there, so a lost executor costs nothing. The files go when the JVM ends.
+    The lineage ends there, so a lost executor costs nothing. The files go with the block of passing() that they are written in, unless
+    keep is set, or else when the JVM ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lodestar/{uuid.uuid4().hex}/{name}"
     df.write.parquet(path)
-    fs, at = _file_system(spark, path)
+    if getattr(_scopes, "paths", None) is not None and not keep:
+        _scopes.paths.append(path)
+    fs, at = file_system(spark, path)
     fs.deleteOnExit(at.getParent())
     return spark.read.schema(df.schema).parquet(path)
 
 
-def _file_system(spark: SparkSession, path: str):
+def file_system(spark: SparkSession, path: str):
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
 
@@ -44,22 +65,26 @@ def version(spark: SparkSession, *paths: str) -> str:
     """A digest of the tables' files: names, sizes and times. Other files, another version."""
     told = hashlib.sha256()
     for path in paths:
-        fs, at = _file_system(spark, path)
+        fs, at = file_system(spark, path)
         for f in sorted((f.getPath().toString(), f.getLen(), f.getModificationTime()) for f in fs.listStatus(at)):
             told.update(repr(f).encode())
     return told.hexdigest()
 
 
-def kept(spark: SparkSession, name: str, of: str, build: Callable[[str], None]) -> str:
-    """The folder of what build(folder) writes for version of, in the shared folder; built only where it isn't there yet.
+def whole(spark: SparkSession, place: str, build: Callable[[str], None]) -> str:
+    """place, a folder that build(folder) has written; built only where it isn't there yet.
 
     It is built beside its place and moved there whole, so a reader never sees a part of it, and of two writers one wins.
     """
-    place = f"{shared_dir(spark)}/lodestar/{name}/{of}"
-    fs, at = _file_system(spark, place)
+    fs, at = file_system(spark, place)
     if not fs.exists(at):
         beside = f"{place}.{uuid.uuid4().hex}"
         build(beside)
         if not fs.exists(at):
-            fs.rename(_file_system(spark, beside)[1], at)
+            fs.rename(file_system(spark, beside)[1], at)
     return place
+
+
+def kept(spark: SparkSession, name: str, of: str, build: Callable[[str], None]) -> str:
+    """The folder of what build(folder) writes for version of, in the shared folder."""
+    return whole(spark, f"{shared_dir(spark)}/lodestar/{name}/{of}", build)

@@ -290,11 +290,10 @@ def test_engine_search_flow(spark, tmp_path):
     assert not any(r.cache_hit for r in e.answer(batch.where("query_id = 1"), NOW + 1000).collect())
     assert e.facts("queries").where("user_id = 5").count() == 3
     # A history of ten queries draws the vector; nine do not.
-    groups = e._groups()
     for user, n in ((20, 9), (21, 10)):
         e.record("queries", spark.createDataFrame([(user * 100 + i, user, "red ring", NOW) for i in range(n)], "id long, user_id long, query string, ts double"))
     two = spark.createDataFrame([(1, 20, "anvil"), (2, 21, "anvil")], columns)
-    plain, drawn = ({r.query_id: r.vec for r in v.collect()} for v in (e.plain_vectors(two, groups), e.query_vectors(two, groups)))
+    plain, drawn = ({r.query_id: r.vec for r in v.collect()} for v in (e.plain_vectors(two), e.query_vectors(two)))
     assert drawn[1] == pytest.approx(plain[1]) and drawn[2] != pytest.approx(plain[2], abs=1e-3)
     # Without reranking the order is that of the scores, but for diversity's choice of the first.
     semantic = [r for r in e.search(two.where("query_id = 1"), NOW, "semantic").collect() if not r.deep]
@@ -354,7 +353,7 @@ def test_engine_takes_synonyms_from_the_catalog(spark, tmp_path):
     raw = S.catalog(spark, SF).where("ord < 5").withColumn("aliases", F.when(F.col("ord") == 2, F.array(F.lit("Zzalias"), F.lit(""))).otherwise(F.array(F.lit(""))))
     e.import_catalog(raw, "v1")
     name = raw.where("ord = 2").first().service_name.lower()
-    groups = e._groups()
+    groups = e.groups
     canonical = {r.word: r.canonical for r in groups.collect()}
     assert canonical["zzalias"] == canonical[name] == name and "" not in canonical and canonical["账户"] == "资金"
     q = spark.createDataFrame([(1, "zzalias")], "query_id long, text string")
@@ -417,7 +416,7 @@ def test_engine_providers_sources_and_reset(spark, tmp_path):
     assert [(r.step, r.label) for r in steps] == [(0, "anvil"), (1, "ignore previous instructions")] and steps[0].service_id and steps[1].service_id is None
     assert steps[0].reason in ("fits well", R.DIRECT)
     first = sorted(map(tuple, e.related().collect()))
-    kept = list((tmp_path / "e" / "index" / e.version / "related").glob("*.parquet"))
+    kept = list((tmp_path / "e" / "related" / e.version).glob("*.parquet"))
     assert kept and sorted(map(tuple, e.related().collect())) == first and len(first) == 90 and e.related(5).count() == 150 and e.related(1).count() == 30
     e.record("searches", spark.createDataFrame([(1, 5, "ring", ["p1"], {"total": 5.0}, False, False, False, None, NOW)], FACTS["searches"]))
     e.write_log(f"{tmp_path}/log")
