@@ -19,6 +19,7 @@ from lodestar.functions import text as T
 from lodestar.functions.text import tokenize
 from lodestar.operators import answers as A
 from lodestar.operators import bm25 as B
+from lodestar.operators import dcn
 from lodestar.operators import kb as K
 from lodestar.operators import logs as L
 from lodestar.operators import monitor as M
@@ -77,6 +78,7 @@ class Engine:
         self.blocks: threshold.Catalog | None = None
         self.groups: DataFrame | None = None
         self.spelling: DataFrame | None = None
+        self.network: dcn.Network | None = None
         self.version = ""
 
     # Catalog ------------------------------------------------------------------------------------------------------
@@ -135,8 +137,37 @@ class Engine:
         with shared.passing(self.spark):
             shared.whole(self.spark, words, lambda place: U.synonym_groups(pairs()).write.parquet(place))
         self.groups = read(words)
+        newest = self._rounds().newest()
+        self.network = dcn.load(self.spark, newest[1], self.kb.count()) if newest else None
         return self.version
 
+    def _rounds(self) -> Commits:
+        """The trained rerankers of this version of the catalog, in order."""
+        return Commits(self.spark, f"{self.root}/reranker/{self.version}/rounds")
+
+    def train_reranker(self, now: float, steps: int = dcn.STEPS) -> dict:
+        """Train the reranker on the recorded clicks and the queries before them, and rank by it from now on.
+
+        Gives trained, positives, negatives, round and losses. It takes LEAST_CLICKS clicks and two services; with fewer nothing changes. Weights belong to
+        a version of the catalog: another version has its own, or ranks by the fixed weights.
+        """
+        with shared.passing(self.spark):
+            clicks = self.facts("clicks").where("NOT deprecated").select("id", "user_id", "service_id", "ts")
+            found = G.as_of(clicks, self.facts("queries"), "query").where(F.col("matched_id").isNotNull())
+            pairs = self._stored(dcn.training_pairs(found.select("id", "service_id", F.col("matched").alias("query")), self.kb))
+            counts = {r.label: r["count"] for r in pairs.groupBy("label").count().collect()}
+            done = {"trained": False, "positives": counts.get(1, 0), "negatives": counts.get(0, 0), "round": None, "losses": []}
+            services = self.kb.count()
+            if done["positives"] < dcn.LEAST_CLICKS or services < 2:
+                return done
+            samples = self._stored(dcn.samples(pairs, self.kb, self.vectors, self.popularity(now), self.embed))
+            net, losses = dcn.train(samples, dcn.initial(services), steps)
+        path = f"{self.root}/reranker/{self.version}/{uuid.uuid4().hex}"
+        dcn.save(self.spark, net, path)
+        number, _ = self._rounds().append(lambda _: path)
+        self.network = net
+        return done | {"trained": True, "round": number, "losses": losses}
+
     def versions(self) -> DataFrame:
         """(created_at, version_id, active) of the imported versions, newest first."""
         made = self.facts("op_logs").where("op = 'import' AND ok").groupBy("version_id").agg(F.max("ts").alias("created_at"))
@@ -230,7 +261,7 @@ class Engine:
         """The batch before it meets the services: its best() ones, or the scores of given pairs()."""
         qv = query_vectors if query_vectors is not None else self._stored(self.query_vectors(batch))
         words = terms if terms is not None else self._stored(self.terms(batch))
-        return threshold.Asked(batch, self.blocks, self._stored(self.popularity(now)), mode, qv, words)
+        return threshold.Asked(batch, self.blocks, self.popularity(now), mode, qv, words)
 
     def recall(self, batch: DataFrame, now: float, k: int = 20, mode: str = "hybrid", query_vectors: DataFrame | None = None, terms: DataFrame | None = None) -> DataFrame:
         """(query_id, service_id, ord, cos, vec, bmn, popn, score, rank): the k best services of each query, as a full scan finds them."""
@@ -300,6 +331,8 @@ class Engine:
 
     def _reranked(self, recalled: DataFrame, batch: DataFrame, now: float) -> DataFrame:
         featured = retrieve.features(recalled, batch, self.kb, self.popularity(now))
+        if not self.rerank and self.network:
+            return retrieve.network_reranked(featured, dcn.score(featured, self.network))
         if not self.rerank:
             return retrieve.reranked(featured)
         asked = recalled.join(batch.select("query_id", "text"), "query_id").join(self.kb.select("service_id", "searchable"), "service_id")
@@ -351,16 +384,9 @@ class Engine:
 
     def _numbered(self, df: DataFrame, now: float) -> DataFrame:
         """df, stored, with an id for each row: the place of the row after the first id of a range that is this run's alone."""
-        # The low 33 bits of the built-in id count within a partition; both are written down, so that they hold.
-        df = df.select("*", F.spark_partition_id().alias("__p"), F.monotonically_increasing_id().bitwiseAND(F.lit(2**33 - 1)).alias("__i"))
-        df = shared.stored(df, "numbered", keep=True)
-        parts = df.groupBy("__p").agg(F.count("*").alias("n")).orderBy("__p").collect()  # as many numbers as partitions
-        at, starts = self._first_id(sum(r.n for r in parts), now), []
-        for r in parts:
-            starts.append((r["__p"], at))
-            at += r.n
-        starts = self.spark.createDataFrame(starts, "__p int, __start long")
-        return df.join(F.broadcast(starts), "__p").withColumn("id", F.col("__start") + F.col("__i")).drop("__p", "__i", "__start")
+        df = shared.numbered(df)
+        first = self._first_id(df.count(), now)
+        return df.withColumn("id", F.col("no") + first).drop("no")
 
     def intersection(self, batch: DataFrame, now: float, recall: int = 30) -> DataFrame:
         """Services that all sub-queries of a query find, by the connectors in its text; else their fused union."""

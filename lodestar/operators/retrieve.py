@@ -132,6 +132,13 @@ def reranked(featured: DataFrame) -> DataFrame:
     return _ordered(featured.withColumn("rerank_score", F.round(R.heuristic(F.col("cosine"), F.col("score"), F.col("name_ov"), F.col("intro_ov")), 6)))
 
 
+def network_reranked(featured: DataFrame, judged: DataFrame) -> DataFrame:
+    """featured in the order of judged (query_id, service_id, dcn_score); a query of one candidate has the fixed weights."""
+    n = F.count("*").over(Window.partitionBy("query_id"))
+    own = F.when(n > 1, F.col("dcn_score")).otherwise(R.heuristic(F.col("cosine"), F.col("score"), F.col("name_ov"), F.col("intro_ov")))
+    return _ordered(featured.join(judged, ["query_id", "service_id"]).withColumn("rerank_score", F.round(own, 6)).drop("dcn_score"))
+
+
 def provider_reranked(featured: DataFrame, responses: DataFrame) -> DataFrame:
     """featured in the order that a model gave: responses (query_id, index, relevance), index being the place in the recall from 0.
 

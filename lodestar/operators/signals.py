@@ -7,6 +7,10 @@ from pyspark.sql import functions as F
 
 TAU, WINDOW_DAYS = 30 * 86400.0, 90
 QUICK_MS, PENALTY = 3000, 0.5
+#: Clickers of a service over which they are dealt in blocks of so many, and such services that are broadcast, at most.
+HEAVY, MAX_HEAVY = 2_000, 100_000
+#: Segments of time for attribution.
+SEGMENTS = 32
 
 
 def popularity_decayed(clicks: DataFrame, now: float, window_days: float = WINDOW_DAYS, tau: float = TAU) -> DataFrame:
@@ -34,15 +38,22 @@ def collaborative(clicks: DataFrame, users: DataFrame | None = None) -> DataFram
     that user_id has clicked; co_count: how many such users. Deprecated clicks bridge, but are neither seed nor result.
 
     users (user_id): only for these. The plan starts from their services and goes outward, so that pairs of users
-    are formed for those who ask alone.
+    are formed for those who ask alone. The clickers of a service that has more than HEAVY of them are dealt in blocks, so that
+    its pairs are many tasks.
     """
     live = clicks.where(~F.col("deprecated")).select("user_id", "service_id").distinct()
     seeds = live if users is None else live.join(users.select("user_id").distinct(), "user_id", "left_semi")
     bridging = clicks.select(F.col("user_id").alias("other"), "service_id").distinct()
-    pairs = seeds.join(bridging, "service_id").where(F.col("user_id") != F.col("other")).select("user_id", "other").distinct()
+    heavy = bridging.groupBy("service_id").agg(F.count("*").alias("n")).where(F.col("n") > HEAVY).select("service_id", F.ceil(F.col("n") / HEAVY).cast("int").alias("blocks"))
+    if heavy.limit(MAX_HEAVY + 1).count() <= MAX_HEAVY:
+        heavy = F.broadcast(heavy)
+    blocks = F.coalesce("blocks", F.lit(1))
+    seeds, alone = seeds.join(heavy, "service_id", "left").select("user_id", "service_id", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block")), seeds
+    bridging = bridging.join(heavy, "service_id", "left").select("other", "service_id", F.pmod(F.xxhash64("other"), blocks).cast("int").alias("block"))
+    pairs = seeds.join(bridging, ["service_id", "block"]).where(F.col("user_id") != F.col("other")).select("user_id", "other").distinct()
     theirs = live.select(F.col("user_id").alias("other"), "service_id")
     found = pairs.join(theirs, "other").groupBy("user_id", "service_id").agg(F.count("*").alias("co_count"))
-    return found.join(seeds, ["user_id", "service_id"], "left_anti")
+    return found.join(alone, ["user_id", "service_id"], "left_anti")
 
 
 def recent_distinct(rows: DataFrame, value: str, limit: int) -> DataFrame:
@@ -53,13 +64,30 @@ def recent_distinct(rows: DataFrame, value: str, limit: int) -> DataFrame:
     return first.withColumn("rn", F.row_number().over(w.orderBy(F.desc("__id")))).where(F.col("rn") <= limit).drop("__id")
 
 
-def as_of(left: DataFrame, right: DataFrame, value: str, keep: str = "id") -> DataFrame:
+def as_of(left: DataFrame, right: DataFrame, value: str, keep: str = "id", segments: int = SEGMENTS) -> DataFrame:
     """left with, per row, the value and id of the newest row of right of the same user at or before its ts.
 
-    One sort by user and time of both tables together; rows of right come first at equal times. Nothing is multiplied.
+    Time is cut into segments with about as many rows each, and a user's rows of a segment are sorted together, those of right first at
+    equal times. Into each segment the user's last row of right from the ones before is carried, so a user with most of all rows
+    is many tasks. Nothing is multiplied. Rows without a time match nothing.
     """
     marks = left.select("user_id", "ts", F.col(keep).alias("__id"), F.lit(1).alias("__side"), F.lit(None).cast("long").alias("__rid"), F.lit(None).cast(right.schema[value].dataType).alias("__value"), F.struct(*left.columns).alias("__row"))
-    offers = right.select("user_id", "ts", F.col("id").alias("__id"), F.lit(0).alias("__side"), F.col("id").alias("__rid"), F.col(value).alias("__value"), F.lit(None).cast(marks.schema["__row"].dataType).alias("__row"))
-    w = Window.partitionBy("user_id").orderBy("ts", "__side", "__id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    seen = marks.unionByName(offers).select("__side", "__row", F.last("__rid", ignorenulls=True).over(w).alias("matched_id"), F.last("__value", ignorenulls=True).over(w).alias("matched"))
-    return seen.where("__side = 1").select("__row.*", "matched_id", "matched")
+    offers = right.select("user_id", "ts", F.col("id").alias("__id"), F.lit(0).alias("__side"), F.col("id").alias("__rid"), F.col(value).alias("__value"), F.lit(None).cast(marks.schema["__row"].dataType).alias("__row")).where("ts IS NOT NULL")
+    cuts = sorted(set(left.select("ts").union(right.select("ts")).approxQuantile("ts", [i / segments for i in range(1, segments)], 0.005))) if segments > 1 else []
+    cut = sum((F.when(F.col("ts") >= c, 1).otherwise(0) for c in cuts), F.lit(0)) if cuts else F.lit(0)
+    marks, offers = marks.withColumn("__seg", cut), offers.withColumn("__seg", cut)
+    every = marks.unionByName(offers)
+    if cuts:
+        last = offers.groupBy("user_id", "__seg").agg(F.max(F.struct("ts", "__id", "__rid", "__value")).alias("__last"))
+        asked = marks.where("ts IS NOT NULL").select("user_id", "__seg", F.lit(True).alias("__asked")).distinct()
+        # A user has as many rows here as segments.
+        before = F.last("__last", ignorenulls=True).over(Window.partitionBy("user_id").orderBy("__seg").rowsBetween(Window.unboundedPreceding, -1))
+        carried = last.join(asked, ["user_id", "__seg"], "full_outer").withColumn("__last", before).where("__asked AND __last IS NOT NULL")
+        every = every.unionByName(carried.select(
+            "user_id", F.lit(None).cast(marks.schema["ts"].dataType).alias("ts"), F.lit(0).cast(marks.schema["__id"].dataType).alias("__id"), F.lit(0).alias("__side"), F.col("__last.__rid").alias("__rid"),
+            F.col("__last.__value").alias("__value"), F.lit(None).cast(marks.schema["__row"].dataType).alias("__row"), "__seg",
+        ))
+    w = Window.partitionBy("user_id", "__seg").orderBy(F.col("ts").asc_nulls_first(), "__side", "__id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    timed = F.col("ts").isNotNull()
+    seen = every.select("__side", "__row", F.when(timed, F.last("__rid", ignorenulls=True).over(w)).alias("matched_id"), F.when(timed, F.last(F.when(F.col("__rid").isNotNull(), F.struct("__value")), ignorenulls=True).over(w)).alias("m"))
+    return seen.where("__side = 1").select("__row.*", "matched_id", F.col("m.__value").alias("matched"))

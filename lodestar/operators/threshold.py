@@ -88,7 +88,19 @@ def index(kb: DataFrame, bm25: B.Index, vectors: DataFrame, path: str, per_cell:
     return load(spark, path)
 
 
+#: Catalogs by session and path: what lies under a path doesn't change, and its small tables are read once.
+_loaded: dict[tuple[str, str], Catalog] = {}
+
+
 def load(spark, path: str) -> Catalog:
+    """A stored catalog. Its pivots and shells are read once in a session."""
+    key = (spark.sparkContext.applicationId, path)
+    if key not in _loaded:
+        _loaded[key] = _load(spark, path)
+    return _loaded[key]
+
+
+def _load(spark, path: str) -> Catalog:
     pivots = np.array([r.vec for r in spark.read.parquet(f"{path}/pivots").orderBy("pivot").collect()], np.float64)
     rows = spark.read.parquet(f"{path}/shells").orderBy("block").collect()
     of = lambda c, kind: np.array([r[c] for r in rows], kind)
@@ -172,11 +184,11 @@ class Asked:
         bounds = _angular(self.vectors if wv else ids.withColumn("vec", F.lit(None).cast("array<double>")), catalog.shells)
         pop_bound = word_share = F.lit(0.0)
         if wp:
-            self.popularity = _scaled(popularity)
+            self.popularity = _scaled(stored(popularity.select("service_id", "popularity"), "popularity"))
             known = catalog.services.select("service_id", "block").join(self.popularity, "service_id").groupBy("block").agg(F.max("popn").alias("pop_bound"))
             bounds, pop_bound = bounds.join(known, "block", "left"), F.coalesce("pop_bound", F.lit(0.0))
         if wk:
-            terms = stored(terms if terms is not None else B.query_terms(batch), "terms")
+            terms = terms if terms is not None else B.query_terms(batch)
             stats = catalog.bm25.terms.join(catalog.bm25.fields.where("avgdl > 0"), "field")
             idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
             self.wanted = stored(terms.join(stats, "term").select("query_id", "field", "term", "avgdl", (F.col("weight") * F.col("qtf") * idf).alias("w")), "wanted")

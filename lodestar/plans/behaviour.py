@@ -98,17 +98,18 @@ def query_history(spark, sf):
 
 @query("click_query_pairs", with_("clicks", "queries") + "SELECT c.id, c.service_id, q.query, q.id AS query_id FROM (SELECT c.id, c.service_id, max(q.id) AS qid FROM clicks c JOIN queries q ON q.user_id = c.user_id AND q.ts <= c.ts GROUP BY ALL) c JOIN queries q ON q.id = c.qid")
 def click_query_pairs(spark, sf):
-    return _pairs(spark, sf).select("id", "service_id", "query", "query_id")
+    return attributed(spark, sf).select("id", "service_id", "query", "query_id")
 
 
-def _pairs(spark, sf):
+def attributed(spark, sf):
+    """Clicks with the last query of their user before them."""
     a = G.as_of(S.clicks(spark, sf).select("id", "user_id", "service_id", "ts"), S.queries(spark, sf), "query")
     return a.where(F.col("matched_id").isNotNull()).select("id", "service_id", F.col("matched").alias("query"), F.col("matched_id").alias("query_id"))
 
 
 @query("dcn_training_pairs")
 def dcn_training_pairs(spark, sf):
-    return dcn.training_pairs(_pairs(spark, sf), S.catalog(spark, sf))
+    return dcn.training_pairs(attributed(spark, sf), S.catalog(spark, sf))
 
 
 @query("log_click_backfill", with_("clicks", "logs") + """, shown AS (SELECT id, user_id, ts, 'p' || (CAST(substr(query, 2) AS INT) + 20 * unnest(range(5))) AS service_id FROM logs WHERE clicked_sid IS NULL),

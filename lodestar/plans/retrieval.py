@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestar.functions.text import tokenize
 from lodestar.operators import bm25 as B
+from lodestar.operators import dcn
 from lodestar.operators import normalize as N
 from lodestar.operators import rank as R
 from lodestar.operators import recommend as C
@@ -230,12 +231,28 @@ def rerank_overlap(spark, sf):
     return retrieve.overlap_reranked(recall(spark, sf), S.query_batch(spark), kb(spark, sf)).select("query_id", "service_id", "rerank_score", "rank")
 
 
+def _reranker(spark, sf):
+    """The reranker trained on the clicks, kept for the version of the tables that it learns from."""
+    from .behaviour import attributed
+
+    services = S.table(spark, sf, "part").count()
+
+    def build(path: str) -> None:
+        pairs = dcn.training_pairs(attributed(spark, sf), S.catalog(spark, sf))
+        vectors = V.hash_embedding(kb(spark, sf), "service_id", "searchable")
+        own = dcn.samples(pairs, kb(spark, sf), vectors, G.popularity_decayed(S.clicks(spark, sf), NOW), V.hash_embedding)
+        net, _ = dcn.train(shared.stored(own, "samples"), dcn.initial(services))
+        dcn.save(spark, net, f"{path}/weights")
+
+    path = shared.kept(spark, "reranker", shared.version(spark, f"{sf}/part.parquet", f"{sf}/events.parquet"), build)
+    return dcn.load(spark, f"{path}/weights", services)
+
+
 @query("rerank_dcn")
 def rerank_dcn(spark, sf):
-    from lodestar.operators import dcn
-
-    f = _features(spark, sf)
-    return dcn.score(f, dcn.initial(S.table(spark, sf, "part").count(), seed=2022)).select("query_id", "service_id", F.round("dcn_score", 6).alias("dcn_score"))
+    scored = dcn.score(_features(spark, sf), _reranker(spark, sf))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.round("dcn_score", 6)), "service_id"))
+    return scored.select("query_id", "service_id", F.round("dcn_score", 6).alias("dcn_score"), rank.alias("rank"))
 
 
 @query("template_reason", DCN + """, m AS (SELECT *, '综合分' || printf('%.4f', round(score, 4)) || '。' AS tail, len([t for t in qtok if contains(service_name, t)]) > 0 OR contains(qtext, service_name) AS nh, [a for a in aliases if contains(qtext, a) OR len([t for t in qtok if contains(a, t)]) > 0] AS ah, len([t for t in qtok if contains(service_intro, t)]) > 0 AS ih FROM f)

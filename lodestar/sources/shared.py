@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -88,3 +89,18 @@ def whole(spark: SparkSession, place: str, build: Callable[[str], None]) -> str:
 def kept(spark: SparkSession, name: str, of: str, build: Callable[[str], None]) -> str:
     """The folder of what build(folder) writes for version of, in the shared folder."""
     return whole(spark, f"{shared_dir(spark)}/lodestar/{name}/{of}", build)
+
+
+def numbered(df: DataFrame, order: str | None = None) -> DataFrame:
+    """df, stored, with no: 0, 1, 2, ... in the order of a column, or in any order; without all rows in one task."""
+    if order:
+        df = df.repartitionByRange(order).sortWithinPartitions(order)
+    # The low 33 bits of the built-in id count within a partition; both are written down, so that they hold.
+    df = df.select("*", F.spark_partition_id().alias("__p"), F.monotonically_increasing_id().bitwiseAND(F.lit(2**33 - 1)).alias("__i"))
+    df = stored(df, "numbered", keep=True)
+    at, starts = 0, []
+    for r in df.groupBy("__p").agg(F.count("*").alias("n")).orderBy("__p").collect():  # as many numbers as partitions
+        starts.append((r["__p"], at))
+        at += r.n
+    starts = df.sparkSession.createDataFrame(starts, "__p int, __start long")
+    return df.join(F.broadcast(starts), "__p").withColumn("no", F.col("__start") + F.col("__i")).drop("__p", "__i", "__start")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lodestar.engine import FACTS, Engine
 from lodestar.functions import text as T
 from lodestar.operators import bm25 as B
-from lodestar.operators import dcn, kb as K, logs as L, monitor as M, normalize as N, rank as R, retrieve, session as E, signals as G, understand as U, vector as V
+from lodestar.operators import kb as K, logs as L, monitor as M, normalize as N, rank as R, retrieve, session as E, signals as G, understand as U, vector as V
 from lodestar.plans import all_queries
 from lodestar.sources import tables as S
 
@@ -213,15 +213,6 @@ def test_sessions(spark):
     assert [round(r.score, 2) for r in E.rebuilt(t).orderBy("pos").collect()] == [1.0, 0.99]
 
 
-def test_dcn_is_deterministic_and_learns():
-    rng = np.random.default_rng(0)
-    net, idx, x = dcn.initial(50), rng.integers(0, 50, 200), rng.random((200, len(dcn.DENSE)))
-    y = (x[:, 0] > 0.5).astype(float)
-    assert np.array_equal(net.forward(idx, x), dcn.initial(50).forward(idx, x))
-    loss = lambda n: float(-np.mean(y * np.log(n.forward(idx, x)) + (1 - y) * np.log(1 - n.forward(idx, x))))
-    assert loss(dcn.fit(net, idx, x, y)) < loss(net)
-
-
 def test_every_pair_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(retrieve, "BATCH", 3)
     a, b = spark.range(10).withColumnRenamed("id", "query_id"), spark.range(7).withColumnRenamed("id", "service_id")
