@@ -525,8 +525,9 @@ class Engine:
         with shared.passing(self.spark):
             return self._answered(A.autocomplete(self.recall(batch, now, 20), batch, self.kb, self.facts("clicks")))
 
-    def suggest(self, batch: DataFrame) -> DataFrame:
-        return U.suggest(batch, self.index.terms.select("term").distinct(), self.spelling)
+    def suggest(self, batch: DataFrame, readings: DataFrame | None = None) -> DataFrame:
+        """(query_id, suggestion); readings (char, reading) lets unknown words be told by their sound."""
+        return U.suggest(batch, self.index.terms.select("term").distinct(), self.spelling, readings=readings)
 
     def classify(self, batch: DataFrame) -> DataFrame:
         return U.classify(batch, self.kb)

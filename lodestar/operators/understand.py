@@ -167,10 +167,14 @@ def corrections(tokens: DataFrame, vocabulary: DataFrame, distance: int = 2, min
     return best.select("token", F.col("b.term").alias("candidate"), F.col("b.d").alias("distance"))
 
 
-def suggest(queries: DataFrame, vocabulary: DataFrame, index: DataFrame | None = None, text_col: str = "text") -> DataFrame:
-    """(query_id, suggestion) of queries in which a token could be corrected."""
+def suggest(queries: DataFrame, vocabulary: DataFrame, index: DataFrame | None = None, text_col: str = "text", readings: DataFrame | None = None) -> DataFrame:
+    """(query_id, suggestion) of queries in which a token could be corrected; with readings, a token that has no near term is
+    given one that sounds alike."""
     tokens = queries.select("query_id", F.posexplode(tokenize(F.col(text_col))).alias("pos", "token"))
-    fixed = tokens.join(corrections(tokens, vocabulary, index=index), "token", "left")
+    near = corrections(tokens, vocabulary, index=index).select("token", "candidate")
+    if readings is not None:
+        near = near.unionByName(phonetic(tokens.join(near, "token", "left_anti"), vocabulary, readings))
+    fixed = tokens.join(near, "token", "left")
     out = fixed.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", F.coalesce("candidate", "token").alias("t")))), lambda s: s["t"]), " ").alias("suggestion"), F.count("candidate").alias("n"))
     return out.where("n > 0").select("query_id", "suggestion")
 
@@ -191,11 +195,41 @@ def rescued(queries: DataFrame, kb: DataFrame, vocabulary: DataFrame, text_col:
     return c.join(back, "query_id", "left").select("query_id", "class", F.coalesce("__back", F.lit(False)).alias("rescued"))
 
 
-def phonetic(tokens: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """(token, candidate): the shortest term that sounds alike (soundex, which stands in for a dictionary of sounds)."""
-    oov = tokens.select("token").distinct().join(vocabulary.withColumnRenamed("term", "token"), "token", "left_anti").withColumn("s", F.soundex("token"))
-    hit = oov.join(vocabulary.select("term", F.soundex("term").alias("s")), "s").groupBy("token").agg(F.min(F.struct(F.char_length("term").alias("n"), "term")).alias("b"))
-    return hit.select("token", F.col("b.term").alias("candidate"))
+#: What letters sound like where no table of readings is given: one letter for each group that is easily mistaken, none for vowels.
+LETTER_SOUNDS = {"b": "bfpv", "c": "cgjkqsxz", "d": "dt", "l": "l", "m": "mn", "r": "r", "": "aeiouhwy"}
+
+
+def letter_readings(spark: SparkSession) -> DataFrame:
+    """(char, reading) of LETTER_SOUNDS."""
+    return spark.createDataFrame([(c, sound) for sound, letters in LETTER_SOUNDS.items() for c in letters], "char string, reading string")
+
+
+def sounds(words: DataFrame, readings: DataFrame) -> DataFrame:
+    """words (word), readings (char, reading) -> (word, sound): what a word can sound like, one row for each combination of its characters' readings.
+
+    A character of several readings is each of them in turn; one that the table lacks stands for itself, in lower case. Words without a sound are
+    left out. The rows of a word are the product of its readings, all of them: words are short.
+    """
+    chars = words.select("word").distinct().select("word", F.posexplode(F.split(F.lower("word"), "")).alias("pos", "char"))
+    known = readings.groupBy(F.lower("char").alias("char")).agg(F.array_sort(F.collect_set(F.lower("reading"))).alias("options"))
+    each = chars.join(known, "char", "left").select("word", F.struct("pos", F.coalesce("options", F.array("char")).alias("options")).alias("c"))
+    listed = each.groupBy("word").agg(F.transform(F.array_sort(F.collect_list("c")), lambda c: c["options"]).alias("options"))
+    joined = F.aggregate("options", F.array(F.lit("")), lambda done, more: F.array_distinct(F.flatten(F.transform(done, lambda d: F.transform(more, lambda m: F.concat(d, m))))))
+    return listed.select("word", F.explode(joined).alias("sound")).where("sound <> ''")
+
+
+def phonetic(tokens: DataFrame, vocabulary: DataFrame, readings: DataFrame | None = None) -> DataFrame:
+    """(token, candidate) of tokens not in vocabulary (term): the shortest term that sounds alike, ties to the smaller one.
+
+    Words sound alike if some reading of one is some reading of the other; they are joined on the sounds. readings (char, reading) is the table
+    of a script's sounds, such as the syllables of Chinese characters; without one, letters that are easily mistaken sound alike.
+    """
+    table = readings if readings is not None else letter_readings(tokens.sparkSession)
+    oov = tokens.select("token").distinct().join(vocabulary.withColumnRenamed("term", "token"), "token", "left_anti")
+    mine = sounds(oov.withColumnRenamed("token", "word"), table).withColumnRenamed("word", "token")
+    hit = mine.join(sounds(vocabulary.withColumnRenamed("term", "word"), table).withColumnRenamed("word", "term"), "sound")
+    best = hit.groupBy("token").agg(F.min(F.struct(F.char_length("term").alias("n"), "term")).alias("b"))
+    return best.select("token", F.col("b.term").alias("candidate"))
 
 
 def deep_expand(queries: DataFrame, kb: DataFrame, groups: DataFrame, limit: int = 40, text_col: str = "text") -> DataFrame:

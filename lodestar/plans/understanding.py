@@ -185,7 +185,13 @@ def spell_suggest(spark, sf):
     return U.suggest(q, *_spelling(spark, sf))
 
 
-@query("phonetic_suggest")
+#: A word as it sounds by its letters: those of a group become one, vowels go.
+SOUND = "regexp_replace(translate(lower({c}), 'fpvgjkqsxztn', 'bbbcccccccdm'), '[aeiouhwy]', '', 'g')"
+
+
+@query("phonetic_suggest", INDEX + f""", {SPELL}, mine AS (SELECT token, {SOUND.format(c='token')} AS sound FROM typos WHERE token NOT IN (SELECT term FROM post)),
+theirs AS (SELECT DISTINCT term, {SOUND.format(c='term')} AS sound FROM post)
+SELECT token, arg_min(term, (length(term), term)) AS candidate FROM mine JOIN theirs USING (sound) WHERE sound <> '' GROUP BY token""")
 def phonetic_suggest(spark, sf):
     return U.phonetic(_typos(spark, sf), _spelling(spark, sf)[0])
 

@@ -198,3 +198,25 @@ def test_synonym_chains_and_additions(spark):
     want = U.synonym_groups(pairs.unionByName(more))
     got = U.add_synonyms(groups, more)
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_words_that_sound_alike(spark):
+    """By a table of readings: characters of several readings, syllables that run together, unknown characters, no sound at all."""
+    table = {"订": ["ding"], "单": ["dan", "shan", "chan"], "丹": ["dan"], "顶": ["ding"], "山": ["shan"], "西": ["xi"], "安": ["an"], "先": ["xian"], "a": [""]}
+    readings = spark.createDataFrame([(c, r) for c, rs in table.items() for r in rs], "char string, reading string")
+    terms, tokens = ["订单", "西安", "山", "abc", "订单x"], ["订丹", "顶山", "先", "丹", "ABC", "bc", "订单", "a", "订丹X", "", "日"]
+
+    def said(word):
+        out = {""}
+        for c in word.lower():
+            out = {o + r for o in out for r in table.get(c, [c])}
+        return out - {""}
+
+    t, v = spark.createDataFrame([(x,) for x in tokens], "token string"), spark.createDataFrame([(x,) for x in terms], "term string")
+    got = {r.token: r.candidate for r in U.phonetic(t, v, readings).collect()}
+    want = {a: min(near, key=lambda x: (len(x), x)) for a in tokens if a not in terms and (near := [b for b in terms if said(a) & said(b)])}
+    assert got == want and got["订丹"] == "订单" and got["先"] == "西安" and got["顶山"] == "订单"
+    q = spark.createDataFrame([(1, "先 订丹")], "query_id int, text string")
+    far = spark.createDataFrame([("长长西安安",), ("订单",)], "term string")
+    assert U.suggest(q, far, readings=readings).first().suggestion == "先 订单"
+    assert U.suggest(spark.createDataFrame([(1, "先")], "query_id int, text string"), v, readings=readings).first().suggestion == "西安"
