@@ -23,9 +23,10 @@ from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 from lodestar.sources.shared import stored
 
-#: Pivots, at most, and vectors of a cell, on average, while pivots suffice.
-MAX_PIVOTS, CELL = 1_024, 256
-#: Shells of a cell: bands of this many equal angles.
+#: Pivots, at most, and vectors of a cell, on average, while pivots suffice. A question that bounds nothing meets every shell, so
+#: shells are not made small for their own sake.
+MAX_PIVOTS, CELL = 1_024, 2_048
+#: Bands of equal angles around a pivot; neighbours are joined to shells of half a cell's vectors or more.
 SHELLS = 64
 #: Vectors of a shell that meet questions in one block, and questions that they meet at a time.
 BLOCK, QUESTIONS = 2_048, 2_048
@@ -116,13 +117,20 @@ def build(rows: DataFrame, block: int = BLOCK, per_cell: int = CELL) -> Cells:
     width = math.pi / SHELLS
     placed = stored(assigned(own, pivots).withColumn("band", F.floor(F.col("angle") / F.lit(width)).cast("int")), "cells")
     bands = placed.groupBy("cell", "band").agg(F.min("angle").alias("low"), F.max("angle").alias("high"), F.count("*").alias("n")).orderBy("cell", "band").collect()
-    of = lambda c, kind: np.array([r[c] for r in bands], kind)
-    n = of("n", np.int64)
+    shells, least = [], max(1, per_cell // 2)
+    for r in bands:
+        if shells and shells[-1][0].cell == r.cell and sum(x.n for x in shells[-1]) < least:
+            shells[-1].append(r)
+        else:
+            shells.append([r])
+    n = np.array([sum(r.n for r in own) for own in shells], np.int64)
     parts = -(-n // block)
-    # As many rows as shells: at most MAX_PIVOTS times SHELLS, and one for zeros.
-    names = rows.sparkSession.createDataFrame([(r.cell, r.band, i, int(p)) for i, (r, p) in enumerate(zip(bands, parts, strict=True))], "cell int, band int, shell int, parts int")
+    # As many rows as bands: at most MAX_PIVOTS times SHELLS, and one for zeros.
+    names = [(r.cell, r.band, i, int(p)) for i, (own, p) in enumerate(zip(shells, parts, strict=True)) for r in own]
+    names = rows.sparkSession.createDataFrame(names, "cell int, band int, shell int, parts int")
     cut = placed.join(F.broadcast(names), ["cell", "band"]).select("id", "vec", "shell", F.pmod(F.xxhash64("id"), "parts").cast("int").alias("part"))
-    return Cells(cut, Shells(pivots, of("cell", np.int64), of("low", np.float64), of("high", np.float64), n, parts))
+    of = lambda f, kind: np.array([f(own) for own in shells], kind)
+    return Cells(cut, Shells(pivots, of(lambda own: own[0].cell, np.int64), of(lambda own: min(r.low for r in own), np.float64), of(lambda own: max(r.high for r in own), np.float64), n, parts))
 
 
 def _first_shells(x: np.ndarray, c: Shells, enough: int) -> np.ndarray:
