@@ -35,6 +35,7 @@ from lodestar.operators import vector as V
 from lodestar.sources import shared
 from lodestar.sources import tables as S
 from lodestar.sources.commits import Commits, Numbers
+from lodestar.streaming import live
 
 #: Tables of behaviour: append-only facts.
 FACTS = {
@@ -595,6 +596,13 @@ class Engine:
     def realtime(self, now: float, window_s: float = 60.0) -> DataFrame:
         return M.realtime(self.metrics(), now, window_s)
 
+    def watch(self, path: str, send: Callable[[dict], None] | None = None, window_s: float = 60.0, now: Callable[[], float] = time.time, every: str | None = None):
+        """Start a stream over the search log that keeps its newest rows under path and hands send health and realtime figures
+        after each batch; see streaming.live.watch()."""
+        total = F.coalesce(F.try_element_at("latencies", F.lit("total")), F.lit(0.0))
+        logs = self.spark.readStream.schema(FACTS["searches"]).parquet(f"{self.root}/searches")
+        return live.watch(logs.withColumn("total_ms", total), path, send, lambda: self.facts("external"), window_s, now, every=every)
+
     def sql(self, text: str, **args) -> DataFrame:
         """SQL over the engine's tables by name: {kb}, {clicks}, {queries}, {feedback}; values are passed as parameters, not as text."""
         return self.spark.sql(text, args=args or None, kb=self.kb, **{f: self.facts(f) for f in FACTS})

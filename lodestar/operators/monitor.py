@@ -66,7 +66,11 @@ def stage_percentiles(metrics: DataFrame, ps=(50, 95, 99)) -> DataFrame:
 def health(metrics: DataFrame, external: DataFrame, recent: int = RECENT) -> DataFrame:
     """One row: counts and rates of all time, and of the newest events."""
     life = metrics.agg(F.count("*").alias("search_total"), F.count_if("error").alias("search_errors"), F.count_if("cache_hit").alias("hits"))
-    last = metrics.orderBy(F.desc("id")).limit(recent)
+    return health_of(life, metrics.orderBy(F.desc("id")).limit(recent), external)
+
+
+def health_of(life: DataFrame, last: DataFrame, external: DataFrame) -> DataFrame:
+    """health() from one row of counts (search_total, search_errors, hits) and the newest events."""
     now = last.agg(F.count("*").alias("recent_total"), F.count_if("error").alias("re"), F.count_if("degraded").alias("rd"), F.collect_list("total_ms").alias("v"))
     ext = external.agg(F.count_if("ok").alias("ok"), F.count("*").alias("calls"))
 
