@@ -425,6 +425,16 @@ class Engine:
         )
         return own.select("query_id", "class", "intent", way.alias("route"), "sub_queries", F.coalesce("steps", none).alias("steps"))
 
+    def ranked(self, batch: DataFrame, now: float, k: int = 10) -> DataFrame:
+        """(query_id, pos, service_id, score): the k best of a recall of 20, reranked and diversified, and no more than that."""
+        with shared.passing(self.spark):
+            return self._answered(self._ranked(self._stored(batch), now, k))
+
+    def _ranked(self, batch: DataFrame, now: float, k: int, query_vectors: DataFrame | None = None) -> DataFrame:
+        ranked = self._stored(self._reranked(self._stored(self.recall(batch, now, 20, query_vectors=query_vectors)), batch, now))
+        best = retrieve.diversified(ranked.select("query_id", "rank", "rerank_score", "service_id"), self.vectors, k, "rerank_score")
+        return best.join(ranked.select("query_id", "service_id", F.col("rerank_score").alias("score")), ["query_id", "service_id"]).select("query_id", "pos", "service_id", "score")
+
     def guide_search(self, batch: DataFrame, now: float, steps: DataFrame | None = None, k: int = 10) -> tuple[DataFrame, DataFrame]:
         """batch (query_id, user_id, text) -> ((query_id, step_id, step_text, services), (query_id, pos, service_id, score)).
 
@@ -442,9 +452,7 @@ class Engine:
                 told = wide.drop("raw").join(own, "one").drop("one").withColumn("__n", F.row_number().over(place)).where(F.col("__n") <= A.MAX_STEPS).drop("__n")
             told = self._answered(told)
             rest = self._stored(batch.join(told.select("query_id").distinct(), "query_id", "left_anti"))
-            ranked = self._stored(self._reranked(self._stored(self.recall(rest, now, 20)), rest, now))
-            best = retrieve.diversified(ranked.select("query_id", "rank", "rerank_score", "service_id"), self.vectors, k, "rerank_score")
-            listed = self._answered(best.join(ranked.select("query_id", "service_id", F.col("rerank_score").alias("score")), ["query_id", "service_id"]).select("query_id", "pos", "service_id", "score"))
+            listed = self._answered(self._ranked(rest, now, k))
             ids = F.array_compact(F.flatten(F.collect_list(F.split("services", ","))))
             shown = told.groupBy("query_id").agg(F.slice(ids, 1, 10).alias("top_ids"), F.lit(False).alias("degraded")).unionByName(
                 listed.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "service_id"))), lambda r: r["service_id"]).alias("top_ids"), F.lit(True).alias("degraded")))
@@ -484,6 +492,10 @@ class Engine:
         recorded = turns.join(listed, "query_id").select(F.col("session_id").cast("string"), F.col("turn").cast("int").alias("turn_idx"), F.col("text").alias("query"), "top_ids")
         self._append("turns", recorded)
         self._append("queries", self._numbered(turns.select("user_id", F.col("text").alias("query")), now).select("id", "user_id", "query", F.lit(float(now)).alias("ts")))
+        return self.session_ranked(found, turns, now, k)
+
+    def session_ranked(self, found: DataFrame, turns: DataFrame, now: float, k: int = 10) -> DataFrame:
+        """What session() found for these turns, reranked by the turns' own vectors and diversified: (query_id, pos, service_id)."""
         batch = turns.select("query_id", "user_id", "text")
         own = found.join(self.kb.select("service_id", "ord"), "service_id")
         cos = own.join(self.plain_vectors(batch).withColumnRenamed("vec", "__q"), "query_id").join(self.vectors.select("service_id", F.col("vec").alias("__v")), "service_id", "left")
@@ -514,9 +526,7 @@ class Engine:
         with shared.passing(self.spark):
             batch = self._stored(batch)
             qv = self._stored(self.query_vectors(batch))
-            ranked = self._stored(self._reranked(self._stored(self.recall(batch, now, 20, query_vectors=qv)), batch, now))
-            best = retrieve.diversified(ranked.select("query_id", "rank", "rerank_score", "service_id"), self.vectors, k, "rerank_score")
-            first = self._stored(best.join(ranked.select("query_id", "service_id", "rerank_score"), ["query_id", "service_id"]).select("query_id", F.col("service_id").alias("id"), (F.col("pos") + 1).alias("rank"), F.col("rerank_score").alias("score")))
+            first = self._stored(self._ranked(batch, now, k, qv).select("query_id", F.col("service_id").alias("id"), (F.col("pos") + 1).alias("rank"), "score"))
             sure = self._stored(R.confidence(first.select("query_id", "rank", "score"), F.lit("default"), F.lit(False)).select("query_id", "deep"))
             unsure = self._stored(batch.join(sure.where("deep"), "query_id", "left_semi"))
             again = self.recall(unsure, now, 30, query_vectors=qv, terms=self._stored(A.deep_terms(unsure, self.kb, self.groups)))

@@ -1,6 +1,6 @@
 """Every query of the engine proper, by name."""
 
-from . import behaviour, catalog, monitoring, retrieval, understanding  # noqa: F401
+from . import behaviour, catalog, flow, monitoring, retrieval, understanding  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -227,11 +227,6 @@ def deep_expand(spark, sf):
     return U.deep_expand(asked(spark, sf), S.catalog(spark, sf), _groups(spark, sf))
 
 
-@query("deep_search")
-def deep_search(spark, sf):
-    return A.deep_search(S.query_batch(spark), kb(spark, sf), index(spark, sf), popularity(spark, sf), _groups(spark, sf))
-
-
 @query("autocomplete", DCN + """, h AS (SELECT *, round(score + 0.01 * so, 6) AS rerank_score, row_number() OVER (PARTITION BY query_id ORDER BY round(score + 0.01 * so, 6) DESC, ord) AS pos FROM f QUALIFY pos <= 10),
 uc AS (SELECT user_id, service_id, row_number() OVER (PARTITION BY user_id ORDER BY count(*) DESC, service_id) AS r FROM clicks WHERE NOT deprecated GROUP BY user_id, service_id QUALIFY r <= 3)
 SELECT h.query_id, pos, h.service_id, CASE WHEN contains(lower(service_name), lower(trim(qtext))) THEN service_name WHEN contains(lower(aliases[1]), lower(trim(qtext))) THEN aliases[1] WHEN contains(lower(aliases[2]), lower(trim(qtext))) THEN aliases[2] ELSE service_name END AS matched_text,
