@@ -57,6 +57,10 @@ RELATED = 3
 Embedder = Callable[[DataFrame, str, str], DataFrame]
 Reranker = Callable[[DataFrame], DataFrame]
 Reasoner = Callable[[DataFrame], DataFrame]
+Completer = Callable[[DataFrame], DataFrame]
+Classifier = Callable[[DataFrame], DataFrame]
+#: Queries and clicks of a user that a completion is told of.
+RECENT = 5
 
 
 class Engine:
@@ -65,14 +69,18 @@ class Engine:
 
     rerank turns (query_id, text, index, service_id, searchable) of the recalled services, index being their place from 0, into
     (query_id, index, relevance); reason turns (query_id, text, pos, service_id, service_name, service_intro) of the results into
-    (query_id, service_id, reason). Where they are not given, or give nothing of use, the local forms stand in."""
+    (query_id, service_id, reason). Where they are not given, or give nothing of use, the local forms stand in.
+
+    complete turns (query_id, partial, queries array<string>, clicks array<string>), the user's newest distinct queries and names of
+    clicked services, into (query_id, completion); classifier turns (query_id, text) of the queries that the rules let pass into
+    (query_id, answer), JSON as answers.parse_class() reads it. Without them there are no completions and the rules alone decide."""
 
     def __init__(
         self, spark: SparkSession, root: str, embed: Embedder = V.hash_embedding, synonyms: dict[str, list[str]] | None = None,
-        rerank: Reranker | None = None, reason: Reasoner | None = None,
+        rerank: Reranker | None = None, reason: Reasoner | None = None, complete: Completer | None = None, classifier: Classifier | None = None,
     ):
         self.spark, self.root, self.embed, self.synonyms = spark, root.rstrip("/"), embed, synonyms
-        self.rerank, self.reason = rerank, reason
+        self.rerank, self.reason, self.complete, self.classifier = rerank, reason, complete, classifier
         self.kb: DataFrame | None = None
         self.index: B.Index | None = None
         self.vectors: DataFrame | None = None
@@ -403,12 +411,14 @@ class Engine:
         """(query_id, class, intent, route, sub_queries, steps): the method that answers each query.
 
         A query of an odd class that the catalog's words do not take back is refused, an attack always. What a model says of a query
-        that the rules let pass, answers (query_id, answer json), comes next: one that it finds irrelevant is refused unless the catalog's words take it
+        that the rules let pass, answers (query_id, answer json), or else the engine's classifier, comes next: one that it finds irrelevant is refused unless the catalog's words take it
         back, one that it takes apart goes to combination with its steps. Several sub-queries go to intersection, requests for steps to
         guide, running sessions (a column session_id that is not null) to session, all others to search.
         """
         judged = U.rescued(batch, self.kb, self.index.terms.select("term").distinct())
         running = F.col("session_id").isNotNull() if "session_id" in batch.columns else None
+        if answers is None and self.classifier:
+            answers = self.classifier(batch.join(judged.where("class = 'normal'"), "query_id", "left_semi").select("query_id", "text"))
         meant = U.classify(batch, self.kb, connectors=connectors, has_session=running).select("query_id", "intent", "sub_queries")
         said = A.parse_class(answers).select("query_id", "category", "steps") if answers is not None else None
         own = judged.join(meant, "query_id")
@@ -425,6 +435,62 @@ class Engine:
         )
         return own.select("query_id", "class", "intent", way.alias("route"), "sub_queries", F.coalesce("steps", none).alias("steps"))
 
+    def ask(self, batch: DataFrame, now: float, connectors=U.CONNECTORS, answers: DataFrame | None = None) -> DataFrame:
+        """(query_id, route, pos, service_id, score, reason): each query answered by the method that route() names for it.
+
+        A refused query has no rows. Of a combination pos is the step, and a step that found nothing has no service. Intersections and
+        sessions have no reasons, and no scores. Queries of running sessions need columns session_id and turn, with the session's
+        earlier turns in the same batch. Only the methods that some query of the batch needs are run.
+        """
+        with shared.passing(self.spark):
+            batch = self._stored(batch)
+            ways = self._stored(self.route(batch, connectors, answers))
+            parts = [self.spark.createDataFrame([], batch.select("query_id").schema).select("query_id", F.lit("").alias("route"), F.lit(0).alias("pos"), F.lit("").alias("service_id"), F.lit(0.0).alias("score"), F.lit("").alias("reason"))]
+
+            def own(way: str) -> DataFrame:
+                return self._stored(batch.join(ways.where(F.col("route") == way), "query_id", "left_semi"))
+
+            def put(way: str, df: DataFrame, **columns) -> None:
+                none = {"score": F.lit(None).cast("double"), "reason": F.lit(None).cast("string")}
+                parts.append(df.withColumns(columns | {c: v for c, v in none.items() if c not in df.columns}).select("query_id", F.lit(way).alias("route"), F.col("pos").cast("int"), "service_id", "score", "reason"))
+
+            needed = {r.route for r in ways.select("route").distinct().collect()}
+            if "search" in needed:
+                put("search", self.answer(own("search"), now))
+            if "intersection" in needed:
+                put("intersection", self.intersection(own("intersection"), now), pos=F.col("rank") - 1, service_id=F.col("id"))
+            if "guide" in needed:
+                put("guide", self.guide_search(own("guide"), now)[1])
+            if "session" in needed:
+                put("session", self.session_search(own("session"), now))
+            if "combination" in needed:
+                put("combination", self.combination(own("combination").join(ways.select("query_id", "steps"), "query_id"), now), pos=F.col("step"))
+            out = parts[0]
+            for part in parts[1:]:
+                out = out.unionByName(part)
+            return self._answered(out)
+
+    def completions(self, batch: DataFrame) -> DataFrame:
+        """batch (query_id, user_id, text) -> (query_id, completion): what the model makes of a partial query, where it begins with what was
+        typed and is longer. None for blank queries, or without a model."""
+        if not self.complete:
+            return batch.select("query_id", F.lit(None).cast("string").alias("completion")).where("false")
+        typed = batch.select("query_id", "user_id", T.sanitize_query(F.col("text")).alias("partial")).where("partial <> ''")
+        users = typed.select("user_id").distinct()
+
+        def newest(rows: DataFrame, value: str) -> DataFrame:
+            return G.recent_distinct(rows.join(users, "user_id", "left_semi"), value, RECENT).select("user_id", "rn", F.col(value).alias("value"))
+
+        def listed(rows: DataFrame, name: str) -> DataFrame:
+            return rows.groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rn", "value"))), lambda r: r["value"]).alias(name))
+
+        clicked = newest(self.facts("clicks"), "service_id").join(self.kb.select(F.col("service_id").alias("value"), "service_name"), "value").select("user_id", "rn", F.col("service_name").alias("value"))
+        told = typed.join(listed(newest(self.facts("queries"), "query"), "queries"), "user_id", "left").join(listed(clicked, "clicks"), "user_id", "left")
+        none = F.array().cast("array<string>")
+        asked = told.select("query_id", "partial", F.coalesce("queries", none).alias("queries"), F.coalesce("clicks", none).alias("clicks"))
+        said = self.complete(asked).select("query_id", F.col("completion").alias("__said"))
+        return typed.join(said, "query_id").select("query_id", A.completion(F.col("partial"), F.col("__said")).alias("completion")).where("completion IS NOT NULL")
+
     def ranked(self, batch: DataFrame, now: float, k: int = 10) -> DataFrame:
         """(query_id, pos, service_id, score): the k best of a recall of 20, reranked and diversified, and no more than that."""
         with shared.passing(self.spark):

@@ -81,10 +81,11 @@ def rescue_irrelevant(spark, sf):
     return U.rescued(asked(spark, sf), S.catalog(spark, sf), index(spark, sf).postings.select("term").distinct())
 
 
-@query("parse_llm_class")
+@query("parse_llm_class", rf"""WITH {ASK}, s AS (SELECT query_id, [x for x in [regexp_replace(y, '^\s+|\s+$', '', 'g') for y in string_split(text, ' ')] if x <> ''][1:5] AS steps, substring(regexp_replace(text, '^\s+|\s+$', '', 'g'), 1, 120) AS reason, query_id % 3 = 0 AS asks FROM asked)
+SELECT query_id, CASE WHEN asks AND len(steps) >= 2 THEN 'combination' ELSE 'normal_financial' END AS category, CASE WHEN asks AND len(steps) >= 2 THEN array_to_string(steps, '|') ELSE '' END AS steps, reason FROM s""")
 def parse_llm_class(spark, sf):
     answers = asked(spark, sf).select("query_id", F.to_json(F.struct(F.when(F.col("query_id") % 3 == 0, "combination").otherwise("normal_financial").alias("category"), F.split("text", " ").alias("steps"), F.col("text").alias("reason"))).alias("answer"))
-    return A.parse_class(answers)
+    return A.parse_class(answers).withColumn("steps", F.array_join("steps", "|"))
 
 
 DICTIONARY = ", ".join(f"({i}, '{c}', '{w}')" for i, (c, ws) in enumerate(U.DOMAIN_SYNONYMS.items()) for w in [c, *ws])
