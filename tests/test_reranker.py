@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestar.engine import Engine
-from lodestar.operators import dcn
+from lodestar.operators import coclicks, dcn
 from lodestar.operators import signals as G
 from lodestar.sources import tables as S
 
@@ -163,3 +163,20 @@ def test_heavy_users_and_services_are_many_tasks(spark, monkeypatch):
     assert {(r.user_id, r.service_id): r.co_count for r in found.collect()} == want
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "block" in plan
+
+
+@pytest.mark.parametrize("blocks", [(8_192, 65_536, 4_000_000, 128), (7, 9, 4_000_000, 4), (20, 100, 50, 16)])
+def test_co_clicks_without_rows_for_pairs(spark, monkeypatch, blocks):
+    """Beyond MAX_PAIRS profiles meet in blocks: the same counts, also for some users alone and for users of one profile; no pair is shuffled."""
+    clicks = spark.createDataFrame([(u, f"s{s}", s == 3) for u in range(120) for s in {(u % 40) * 7 % 19, (u % 40) * 5 % 13 + 10, 3 if u % 2 else 4}] + [(500, "alone", False), (501, "s3", True), (None, "s1", False)], "user_id long, service_id string, deprecated boolean")
+    some = clicks.where("user_id % 7 = 0").select("user_id")
+    want = [{tuple(r) for r in G.collaborative(clicks, u).collect()} for u in (None, some)]
+    monkeypatch.setattr(G, "MAX_PAIRS", 0)
+    sizes = dict(zip(("ASKING", "COUNTED", "ENTRIES", "GROUP"), blocks))
+    for name, value in sizes.items():
+        monkeypatch.setattr(coclicks, name, value)
+    run = coclicks._counts
+    monkeypatch.setattr(coclicks, "_counts", lambda a, b: (setattr(coclicks, "GROUP", sizes["GROUP"]), run(a, b))[1])
+    found = [G.collaborative(clicks, u) for u in (None, some)]
+    assert [{tuple(r) for r in f.collect()} for f in found] == want and all(want)
+    assert "other" not in found[0]._jdf.queryExecution().optimizedPlan().toString()
