@@ -418,3 +418,42 @@ def test_engine_providers_sources_and_reset(spark, tmp_path):
     (tmp_path / "kb.json").write_text('[{"service_id": "a", "service_name": "A", "aliases": ["x"], "service_intro": "i", "route": "/go/open-me"}]')
     assert Engine(spark, root).start(None, f"{tmp_path}/kb.json") == e.version  # the active version goes before the default
     assert Engine(spark, f"{tmp_path}/new").start(None, f"{tmp_path}/kb.json") and Engine(spark, root).start(f"{tmp_path}/kb.json") != e.version
+
+
+def test_guess_you_like_by_blocks_of_profiles(spark, monkeypatch):
+    from lodestar.plans import all_queries
+
+    want = sorted(map(tuple, all_queries.QUERIES["guess_you_like"](spark, SF).collect()))
+    monkeypatch.setattr(G, "MAX_PAIRS", 0)
+    assert sorted(map(tuple, all_queries.QUERIES["guess_you_like"](spark, SF).collect())) == want and want
+
+
+def test_dropdown_by_blocks_of_profiles(spark, monkeypatch):
+    from lodestar.plans import all_queries
+
+    want = sorted(map(tuple, all_queries.QUERIES["dropdown"](spark, SF).collect()))
+    monkeypatch.setattr(G, "MAX_PAIRS", 0)
+    assert sorted(map(tuple, all_queries.QUERIES["dropdown"](spark, SF).collect())) == want and want
+
+
+def test_sides_as_large_as_the_catalog_are_not_broadcast(spark):
+    """hybrid_score and hybrid_keyword: a broadcast of all services (or their postings) would pass the driver."""
+    from lodestar.plans import retrieval as P
+
+    assert P.dealt(spark, SF).rdd.getNumPartitions() == 1 and P.dealt(spark, "/root/testdata/sf0.1").rdd.getNumPartitions() == 8
+    for mode in ("hybrid", "keyword"):
+        plan = P.scored(spark, SF, mode)._jdf.queryExecution().optimizedPlan().toString()
+        semi = [line for line in plan.splitlines() if "Join LeftSemi" in line and "service_id" in line]
+        assert semi and all("strategy=merge" in line for line in semi)
+
+
+def test_session_refine_and_mmr_select_read_stored_vectors(spark, monkeypatch):
+    """Neither works out the vectors or the scores of the whole catalog."""
+    from lodestar.plans import all_queries
+    from lodestar.plans import retrieval as P
+
+    P.services_index(spark, SF)
+    monkeypatch.setattr(P, "scored", None)
+    monkeypatch.setattr(P, "kb", None)
+    for name in ("session_refine", "mmr_select"):
+        assert all_queries.QUERIES[name](spark, SF).count() > 0
