@@ -10,12 +10,13 @@ from lodestar.operators import logs as L
 from lodestar.operators import recommend as C
 from lodestar.operators import session as E
 from lodestar.operators import signals as G
+from lodestar.operators import threshold
 from lodestar.operators import vector as V
 from lodestar.sources import tables as S
 from lodestar.sources.tables import NOW, with_
 
 from .registry import query
-from .retrieval import EMBED, INDEX, RECALL, embed_sql, kb, recall, scored
+from .retrieval import EMBED, INDEX, RECALL, embed_sql, kb, popularity, recall, services_index
 
 POP = "SELECT service_id, round(sum(exp(-greatest(0.0, 1706659200.0 - ts) / 2592000.0)), 6) AS popularity FROM clicks WHERE ts >= 1706659200.0 - {d} * 86400 GROUP BY 1"
 
@@ -206,8 +207,9 @@ def din_query_vector(spark, sf):
 @query("session_refine", RECALL + ", s AS (SELECT query_id, query_id % 3 AS session_id, query_id // 3 AS turn FROM batch), seen AS (SELECT DISTINCT a.query_id, r.service_id FROM s a JOIN s b ON a.session_id = b.session_id AND b.turn <= a.turn JOIN recall r ON r.query_id = b.query_id), x AS (SELECT sc.query_id, sc.service_id, sc.score, row_number() OVER (PARTITION BY sc.query_id ORDER BY score DESC, ord) AS rank FROM scored sc JOIN seen USING (query_id, service_id)) SELECT query_id, service_id, score, rank FROM x WHERE rank <= 40")
 def session_refine(spark, sf):
     turns = S.query_batch(spark).select("query_id", (F.col("query_id") % 3).alias("session_id"), F.floor(F.col("query_id") / 3).alias("turn"))
-    s = scored(spark, sf)
-    return E.refined(s, recall(spark, sf), turns, 40)
+    # Scored are the pairs that the turns recalled, a few for each query, and no others.
+    asked = threshold.Asked(S.query_batch(spark), services_index(spark, sf), popularity(spark, sf))
+    return E.best(asked.pairs(E.seen(recall(spark, sf), turns)), 40)
 
 
 @query("suggest_context", with_("clicks", "queries", "kb") + ", " + _recent_sql("queries", "query", "rq", 5) + ", " + _recent_sql("clicks", "service_id", "rc", 5) + """
