@@ -4,6 +4,12 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from lodestar.operators import cells as C
+from lodestar.operators import threshold
+from lodestar.operators import understand as U
+from lodestar.operators import vector as V
+from lodestar.plans import retrieval as P
+
+SF = "/root/testdata/sf0.001"
 
 
 def test_a_question_goes_once_to_a_pack_of_shells(spark):
@@ -21,3 +27,37 @@ def test_packs_are_bounded_and_large_shells_stand_alone():
     n = np.array([10_000, 5_000, 3_000, 40_000, 1, 2])
     shells = C.Shells(np.zeros((1, 2)), n * 0, n * 0.0, n * 0.0, n, -(-n // C.BLOCK))
     assert C._packs(shells).tolist() == [0, 0, 1, 2, 3, 3]
+
+
+def test_texts_are_made_behind_the_deal(spark):
+    for df in (P.vectors(spark, SF), P.index(spark, SF).lengths):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert "translate" not in plan[plan.index("RepartitionByExpression") :]
+
+
+def test_a_word_of_all_services_is_many_tasks(spark, tmp_path):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        own = P.dealt(spark, SF)
+        catalog = threshold.index(own, P.index(spark, SF), P.vectors(spark, SF), f"file://{tmp_path}/index", per_cell=8)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    word = catalog.bm25.postings.where("term = 'size'").select(F.input_file_name().alias("f")).distinct().count()
+    assert word > 1
+
+
+def test_equal_groups_of_synonyms_make_no_ties(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(U, "components", lambda edges, f=U.components: (seen.append(edges.count()), f(edges))[1])
+    pairs = [(i, "a", w) for i in range(50) for w in ("a", "b")] + [(50, "c", "c"), (50, "c", "b"), (51, "d", "d")]
+    got = U.synonym_groups(spark.createDataFrame(pairs, "ord int, canonical string, word string"))
+    assert {tuple(r) for r in got.collect()} == {("a", 0, "a"), ("b", 0, "a"), ("c", 0, "a"), ("d", 51, "d")}
+    assert seen == [1]
+
+
+def test_rows_of_one_id_and_long_texts_are_one_sum(spark):
+    texts = [("a", "x y"), ("a", "y"), ("b", "x y y"), ("c", " "), ("d", None), ("e", "x y y " * 20_000)]
+    got = {r.id: r.vec for r in V.hash_embedding(spark.createDataFrame(texts, "id string, text string"), "id", "text").collect()}
+    assert set(got) == {"a", "b", "e"}
+    assert np.allclose(got["a"], got["b"], atol=1e-12) and np.allclose(got["a"], got["e"], atol=1e-12)
+    assert abs(np.linalg.norm(got["a"]) - 1) < 1e-12
