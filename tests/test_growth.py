@@ -61,3 +61,10 @@ def test_rows_of_one_id_and_long_texts_are_one_sum(spark):
     assert set(got) == {"a", "b", "e"}
     assert np.allclose(got["a"], got["b"], atol=1e-12) and np.allclose(got["a"], got["e"], atol=1e-12)
     assert abs(np.linalg.norm(got["a"]) - 1) < 1e-12
+
+
+def test_pairs_are_dealt_without_their_vectors(spark):
+    asked = threshold.Asked(P.S.query_batch(spark), P.services_index(spark, SF), P.popularity(spark, SF))
+    df = asked.visited(asked.bounds)
+    text = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "aggregate(" in text and "aggregate(" not in text.splitlines()[0]  # the cosine lies below the joins with words and popularity
