@@ -148,10 +148,10 @@ def recent_search_logs(spark, sf):
 
 
 def _related(spark, sf) -> DataFrame:
-    """Catalog stand-in: services 0..9 steps on by id."""
+    """Catalog stand-in: services 1 to 3 steps on by id, for those that have clicks: nobody's last click is another."""
     c = S.catalog(spark, sf)
     n = c.select(F.col("ord").alias("o"), F.col("service_id").alias("related_id"))
-    steps = c.select("service_id", F.posexplode(F.array(*[F.col("ord") + d for d in (1, 2, 3)])).alias("rank", "o"))
+    steps = c.join(S.clicks(spark, sf).select("service_id").distinct(), "service_id", "left_semi").select("service_id", F.posexplode(F.array(*[F.col("ord") + d for d in (1, 2, 3)])).alias("rank", "o"))
     return steps.join(n, "o").select("service_id", "related_id", (F.col("rank") + 1).alias("rank"))
 
 

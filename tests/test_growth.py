@@ -1,9 +1,14 @@
 """Steps whose rows or work must not grow faster than their tables."""
 
+from collections import Counter
+
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from lodestar.operators import cells as C
+from lodestar.operators import coclicks
+from lodestar.operators import signals as G
 from lodestar.operators import threshold
 from lodestar.operators import understand as U
 from lodestar.operators import vector as V
@@ -68,3 +73,26 @@ def test_pairs_are_dealt_without_their_vectors(spark):
     df = asked.visited(asked.bounds)
     text = df._jdf.queryExecution().optimizedPlan().toString()
     assert "aggregate(" in text and "aggregate(" not in text.splitlines()[0]  # the cosine lies below the joins with words and popularity
+
+
+@pytest.mark.parametrize("held", [8_000_000, 10])
+def test_no_more_co_clicks_than_count_leave_a_task(spark, monkeypatch, held):
+    clicks = spark.createDataFrame([(u, f"s{s:02}", s == 3) for u in range(90) for s in {u * 7 % 19, u * 5 % 13 + 10, u * 3 % 11}], "user_id long, service_id string, deprecated boolean")
+    every, most = sorted(map(tuple, G.collaborative(clicks).collect())), Counter()
+    want = [r for r in sorted(every, key=lambda r: (r[0], -r[2], r[1])) if most.update([r[0]]) or most[r[0]] <= 2]
+    assert sorted(map(tuple, G.collaborative(clicks, best=2).collect())) == sorted(want) and len(want) < len(every)
+    sizes = []
+    run = coclicks._sums
+    for name, value in (("ASKING", 30), ("COUNTED", 25), ("LEAST", 20), ("HELD", held)):
+        monkeypatch.setattr(coclicks, name, value)
+    monkeypatch.setattr(coclicks, "_sums", lambda *a: (sizes.append(a), run(*a))[1])
+    assert sorted(map(tuple, coclicks.by_profiles(clicks, best=2).collect())) == sorted(want)
+    assert sorted(map(tuple, coclicks.by_profiles(clicks).collect())) == every
+    assert [a[2] for a in sizes] == [2, None]
+
+
+def test_related_services_of_clicked_ones_alone(spark):
+    from lodestar.plans import behaviour
+
+    clicked = {r.service_id for r in P.S.clicks(spark, SF).collect()}
+    assert {r.service_id for r in behaviour._related(spark, SF).collect()} <= clicked
