@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from lodestar.engine import Engine
 from lodestar.operators import coclicks, dcn
 from lodestar.operators import signals as G
+from lodestar.operators import vector as V
 from lodestar.sources import tables as S
 
 NOW, SF = 1_700_000_000.0, "/root/testdata/sf0.001"
@@ -180,3 +181,19 @@ def test_co_clicks_without_rows_for_pairs(spark, monkeypatch, blocks):
     found = [G.collaborative(clicks, u) for u in (None, some)]
     assert [{tuple(r) for r in f.collect()} for f in found] == want and all(want)
     assert "other" not in found[0]._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_repeated_clicks_are_one_sample_with_a_count(spark):
+    """The gradient is that of all rows, and no pair is dealt out by its query."""
+    names = ["red bolt", "blue ring", "hot gear"]
+    kb = spark.createDataFrame([(f"s{i}", i, names[i % 3], f"size {names[i % 3]} {i}") for i in range(12)], "service_id string, ord long, service_name string, service_intro string")
+    pairs = spark.createDataFrame([(i, names[i % 3], f"s{i % 4}", 1) for i in range(60)] + [(i, names[i % 3], f"s{i % 12}", 0) for i in range(60)], "id long, query string, service_id string, label int")
+    vec = V.hash_embedding(kb, "service_id", "service_intro")
+    pop = spark.createDataFrame([(f"s{i}", float(i)) for i in range(4)], "service_id string, popularity double")
+    every, few = (dcn.samples(p, kb, vec, pop, V.hash_embedding) for p in (pairs, dcn.grouped(pairs)))
+    assert every.count() == 120 and few.count() == 72
+    net = dcn.initial(12)
+    (loss, g, n), (loss_, g_, n_) = dcn.summed(every, net), dcn.summed(few, net)
+    assert n == n_ == 120 and np.isclose(loss, loss_) and all(np.allclose(a, b) for a, b in zip(g, g_))
+    plan = few._jdf.queryExecution().optimizedPlan().toString()
+    assert "strategy=broadcast" in plan
