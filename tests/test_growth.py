@@ -96,3 +96,10 @@ def test_related_services_of_clicked_ones_alone(spark):
 
     clicked = {r.service_id for r in P.S.clicks(spark, SF).collect()}
     assert {r.service_id for r in behaviour._related(spark, SF).collect()} <= clicked
+
+
+def test_vectors_and_matches_of_all_services_are_not_broadcast(spark):
+    """hybrid_semantic and bm25_multifield: the file of part is small beside what comes from it."""
+    for df, key in ((P.scored(spark, SF, "semantic"), "kvec"), (P.bm25_multifield(spark, SF), "LeftOuter")):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert key in plan and any("LeftOuter" in line and "rightHint=(strategy=merge)" in line for line in plan.splitlines())
