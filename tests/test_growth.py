@@ -103,3 +103,33 @@ def test_vectors_and_matches_of_all_services_are_not_broadcast(spark):
     for df, key in ((P.scored(spark, SF, "semantic"), "kvec"), (P.bm25_multifield(spark, SF), "LeftOuter")):
         plan = df._jdf.queryExecution().optimizedPlan().toString()
         assert key in plan and any("LeftOuter" in line and "rightHint=(strategy=merge)" in line for line in plan.splitlines())
+
+
+@pytest.mark.parametrize("named", [64, 1])
+def test_postings_of_the_batch_are_read_by_name(spark, monkeypatch, named):
+    """candidate_prune: passes over the postings skip the pages of other words, where the batch has few; the result is the same with many."""
+    monkeypatch.setattr(threshold, "NAMED", named)
+    catalog, batch = P.services_index(spark, SF), P.S.query_batch(spark).where("query_id IN (1, 4, 9)")
+    asked = threshold.Asked(batch, catalog, P.popularity(spark, SF), "bmn")
+    for df in (asked.catalog.bm25.postings, asked.catalog.tops):
+        assert ("Or(EqualTo(term,ring),EqualTo(term," in df._jdf.queryExecution().executedPlan().toString()) == (named > 1)
+    words = {r.term for r in asked.catalog.bm25.postings.select("term").distinct().collect()}
+    assert words == {"small", "ring"} if named > 1 else len(words) > 2
+    got = asked.best(50).best.select("query_id", "service_id", "bmn").collect()
+    want = P.retrieve.scores(batch, P.kb(spark, SF), P.batch_index(spark, SF), P.popularity(spark, SF), "keyword").select("query_id", "service_id", "bmn")
+    exact = {(r.query_id, r.service_id): r.bmn for r in want.collect()}
+    assert len(got) == 150 and all(abs(exact[r.query_id, r.service_id] - r.bmn) < 1e-9 for r in got)
+
+
+def test_the_index_joins_vectors_and_sorts_no_postings_to_place_them(spark, monkeypatch, tmp_path):
+    """candidate_prune: services meet their vectors once, not for each pass over them; postings meet their service without being sorted."""
+    seen, names = [], []
+    monkeypatch.setattr(threshold, "stored", lambda df, name, f=threshold.stored: (names.append(name), f(df, name))[1])
+    monkeypatch.setattr(threshold.C, "build", lambda rows, per_cell, f=threshold.C.build: (seen.append(rows._jdf.queryExecution().optimizedPlan().toString()), f(rows, per_cell=per_cell))[1])
+    hints, hint = [], type(spark.range(0)).hint
+    monkeypatch.setattr(type(spark.range(0)), "hint", lambda self, name, *a: (hints.append(name), hint(self, name, *a))[1])
+    texts = spark.createDataFrame([(f"s{i}", i, f"w{i % 7} w{i % 3}") for i in range(40)], "service_id string, ord long, searchable string")
+    bm25 = threshold.B.build(texts.select(F.col("service_id").alias("id"), F.lit("a").alias("field"), F.lit(1.0).alias("weight"), F.col("searchable").alias("text")))
+    catalog = threshold.index(texts, bm25, V.hash_embedding(texts, "service_id", "searchable"), f"file://{tmp_path}/index", per_cell=8)
+    assert names == ["own"] and "Join" not in seen[0] and hints == ["shuffle_hash"]
+    assert catalog.services.count() == 40 and catalog.bm25.postings.count() == bm25.postings.count()
