@@ -154,6 +154,18 @@ def test_mmr_equals_plain_python(spark):
     assert df.select(R.mmr(F.slice("c", 1, 4), 6)).first()[0] == [0, 1, 2, 3]
 
 
+def test_mmr_ties_do_not_follow_the_order_of_summing(spark):
+    """Texts of the same words in another order are equal candidates, though the last digits of their vectors differ."""
+    words = "small red ring steel page size 7 brand 17 open".split()
+    texts = [(i, " ".join(words[i:] + words[:i])) for i in range(len(words))] + [(10, "blue widget"), (11, " ".join(reversed(words)))]
+    vec = {r.id: r.vec for r in V.hash_embedding(spark.createDataFrame(texts, "id int, text string"), "id", "text").collect()}
+    same = [vec[i] for i in (*range(10), 11)]
+    assert len({tuple(v) for v in same}) > 1 and np.ptp(np.array(same), axis=0).max() < 1e-14
+    for order in (same, same[::-1]):
+        df = spark.createDataFrame([([(0.5, vec[10])] + [(0.2, v) for v in order],)], "c array<struct<rel:double,vec:array<double>>>")
+        assert df.select(R.mmr(F.col("c"), 10)).first()[0] == list(range(10))
+
+
 def test_confidence(spark):
     def run(scores, intent="default", cold=False):
         df = spark.createDataFrame([(1, i + 1, s) for i, s in enumerate(scores)], "query_id int, rank int, score double")
